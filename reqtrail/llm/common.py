@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import gc
+import math
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of text in one range of ids, and the most ranges.
+RANGE_BYTES, MOST_RANGES = 24 << 20, 40_000
 WHITE = bytes([0x20, *range(0x09, 0x0E)])
 #: Bytes of text that one numpy step works on; arrays of eight bytes a byte stay near 100 MB.
 STEP_BYTES = 2 << 20
@@ -166,3 +170,31 @@ def lowered(data: np.ndarray) -> np.ndarray:
     """A-Z to a-z, all other bytes as they are."""
     upper = (data >= 65) & (data <= 90)
     return data + (upper.astype(np.uint8) << 5)
+
+
+def id_ranges(docs: DataFrame) -> list[int]:
+    """Ascending upper bounds (inclusive) that cut the ids into ranges of about RANGE_BYTES of text; the last range is open."""
+    size = docs.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
+    n = min(MOST_RANGES, max(1, math.ceil(size / RANGE_BYTES)))
+    if n == 1:
+        return []
+    cuts = docs.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)], 10 * n)).first()[0] or []
+    return sorted(set(cuts))
+
+
+def range_of(ident: Column, cuts: list[int]) -> Column:
+    """Number of the range of an id: in two steps over a square root of the cuts each; a null id is in range 0."""
+    if not cuts:
+        return F.lit(0)
+    width = math.ceil(math.sqrt(len(cuts)))
+    rows = [cuts[i : i + width] for i in range(0, len(cuts), width)]
+    coarse = F.size(F.filter(F.lit([r[-1] for r in rows]), lambda c: c < ident))
+    table = F.array(*[F.lit(r) for r in rows])
+    fine = F.size(F.filter(F.coalesce(F.get(table, coarse), F.lit([]).cast("array<bigint>")), lambda c: c < ident))
+    return F.when(ident.isNull(), F.lit(0)).otherwise((coarse * width + fine).cast("int"))
+
+
+def release(spark: SparkSession) -> None:
+    """Have the driver collect its garbage, upon which Spark deletes the shuffle files of steps that are done."""
+    gc.collect()
+    spark._jvm.System.gc()

@@ -7,18 +7,16 @@ retain all of them (scale 1). Two fingerprints are compared at the coarser of th
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import id_ranges, range_of
+
 WORDS = 5
 SCALE = 8
 ALL = 128
 TOP = 1 << 63
-#: Bytes of text in one range of ids, and the most ranges; one window task holds a range.
-RANGE_BYTES, MOST_RANGES = 24 << 20, 40_000
 
 
 def shingle_hashes(text: Column, words: int = WORDS) -> Column:
@@ -59,28 +57,6 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a == b, F.lit(1.0)).otherwise(F.coalesce(part, F.lit(0.0)))
 
 
-def id_ranges(docs: DataFrame) -> list[int]:
-    """Ascending upper bounds (inclusive) that cut the ids into ranges of about RANGE_BYTES of text; the last range is open."""
-    size = docs.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
-    n = min(MOST_RANGES, max(1, math.ceil(size / RANGE_BYTES)))
-    if n == 1:
-        return []
-    cuts = docs.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)], 10 * n)).first()[0] or []
-    return sorted(set(cuts))
-
-
-def range_of(ident: Column, cuts: list[int]) -> Column:
-    """Number of the range of an id: in two steps over a square root of the cuts each; a null id is in range 0."""
-    if not cuts:
-        return F.lit(0)
-    width = math.ceil(math.sqrt(len(cuts)))
-    rows = [cuts[i : i + width] for i in range(0, len(cuts), width)]
-    coarse = F.size(F.filter(F.lit([r[-1] for r in rows]), lambda c: c < ident))
-    table = F.array(*[F.lit(r) for r in rows])
-    fine = F.size(F.filter(F.coalesce(F.get(table, coarse), F.lit([]).cast("array<bigint>")), lambda c: c < ident))
-    return F.when(ident.isNull(), F.lit(0)).otherwise((coarse * width + fine).cast("int"))
-
-
 def with_next(docs: DataFrame) -> DataFrame:
     """docs (doc_id, _text) with a sketch and the text and sketch of the next row in descending doc_id; after the last comes the first.
 

@@ -25,6 +25,8 @@ SAMPLE_ROWS, LEXICON, EXCEPTIONS = 20_000, 2_000, 500
 LONGEST = 14
 SHORTEST = 3
 LEAST_WEIGHT = 3.0
+#: About the log of the number of candidate terms: fewer than one is expected to pass by chance.
+LEAST_SURPRISE = 12.0
 # Letters of other scripts that look like Latin ones, and digits and signs that stand for letters.
 HOMOGLYPHS = dict(zip("абвгдеёзикмнорстухѕіјԁԛԝһӏαβγεηικνορτυχω", "abbrdeeeukmhopctyxsijdqwhlabyenikvoptuxw", strict=True))
 DIGITS = {"0": "o", "1": "i", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "l", "€": "e"}
@@ -84,7 +86,14 @@ def _counted(toxic: Counter, clean: Counter, rows: list[int]) -> pa.RecordBatch:
 def closed_terms(counts: dict[str, tuple[int, int]], n_toxic: int, n_clean: int) -> dict[str, float]:
     """The lexicon: beginnings with high log odds, as long as they lose few documents, without those that a shorter entry covers."""
     odds = lambda t, c: math.log((t + 0.5) / (n_toxic - t + 0.5)) - math.log((c + 0.5) / (n_clean - c + 0.5))
-    weight = {x: w for x, (t, c) in counts.items() if (w := odds(t, c)) >= LEAST_WEIGHT}
+    rate = (n_toxic + 0.5) / (n_toxic + n_clean + 1)
+
+    def surprise(t: int, c: int) -> float:
+        """Log of how unlikely it is that so many of a term's documents are toxic by chance (Chernoff's bound)."""
+        p = t / (t + c)
+        return (t + c) * (p * math.log(p / rate) + (1 - p) * math.log(max(1 - p, 1e-12) / (1 - rate))) if p > rate else 0.0
+
+    weight = {x: w for x, (t, c) in counts.items() if (w := odds(t, c)) >= LEAST_WEIGHT and surprise(t, c) >= LEAST_SURPRISE}
     longer: dict[str, list[str]] = {}
     for x in weight:
         longer.setdefault(x[:-1], []).append(x)
