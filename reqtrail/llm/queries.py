@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, fingerprints, mixing, token_files, toxicity, warc
+from . import bpe, exact_dedup, fingerprints, minhash, mixing, token_files, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(_table(spark, sf_dir, "documents"))
 
 
+def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return toxicity.toxicity_scores(docs, toxicity.learn(docs, _table(spark, sf_dir, "labels")))
@@ -43,6 +47,6 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_document_fingerprints, op2_token_files, op4_toxicity, op5_exact_dedup, op6_mixing, op9_bpe, op10_warc)
+    f.__name__: f for f in (op1_document_fingerprints, op2_token_files, op3_minhash, op4_toxicity, op5_exact_dedup, op6_mixing, op9_bpe, op10_warc)
 }
 ORACLE_SQL: dict[str, str] = {"op5_exact_dedup": exact_dedup.ORACLE_SQL, "op6_mixing": mixing.ORACLE_SQL}
