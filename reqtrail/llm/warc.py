@@ -22,11 +22,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SALTS, byte_rows, salted_left_join, table_path
+from .common import SALTS, byte_rows, materialise, salted_left_join, table_path
 
 #: Records in one archive, and index lines in one compressed block.
 ARCHIVE_RECORDS = 2000
 BLOCK_LINES = 3000
+#: Rows of winners, or of index lines, up to which they are broadcast (about 200 bytes a winner, 16 a line of an archive); more are joined by a shuffle.
+BROADCAST_ROWS = 100_000
+BROADCAST_LINES = 1_000_000
 CRLF = b"\r\n"
 END = CRLF * 2
 
@@ -103,8 +106,12 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, records: i
     )
     winners = pages.select("page_id", F.col("url").alias("_winner_url")).join(best.select(F.col("_winner").alias("page_id")), "page_id", "left_semi").groupBy("page_id").agg(F.min("_winner_url").alias("_winner_url"))
     best = best.join(winners.withColumnRenamed("page_id", "_winner"), "_winner")
+    best = materialise(best.select("_digest", "_winner", "_winner_url"), "winners")
     rows = pages.mapInArrow(_digested, "page_id bigint, url string, html string, _digest string")
-    rows = salted_left_join(rows, best.select("_digest", "_winner", "_winner_url"), ["_digest"], SALTS)
+    if best.count() <= BROADCAST_ROWS:
+        rows = rows.join(F.broadcast(best), "_digest", "left")
+    else:
+        rows = salted_left_join(rows, best, ["_digest"], SALTS)
     rows = rows.withColumn("_winner", F.when(F.col("page_id").isNotNull(), F.col("_winner")))
     made = rows.select("page_id", "url", "html", "_digest", "_winner", "_winner_url").mapInArrow(_records, "value binary")
     made.select(F.col("value").cast("string").alias("value")).write.option("lineSep", END.decode()).option("maxRecordsPerFile", records).text(f"{path}/archives")
@@ -201,7 +208,9 @@ def read_records(spark: SparkSession, path: str, lines: DataFrame | None = None)
     """
     if lines is None:
         lines = spark.read.parquet(f"{path}/index").select("block").mapInArrow(_lines, "path string, offset bigint, length bigint")
-    wanted = lines.groupBy("path").agg(F.collect_list(F.struct("offset", "length")).alias("_at"))
+    wanted = materialise(lines.groupBy("path").agg(F.collect_list(F.struct("offset", "length")).alias("_at")), "ranges")
+    if (wanted.agg(F.sum(F.size("_at"))).first()[0] or 0) <= BROADCAST_LINES:
+        wanted = F.broadcast(wanted)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{path}/archives").select("path", "content")
     return files.join(wanted, "path").select("content", F.col("_at.offset"), F.col("_at.length")).mapInArrow(_ranges, READ)
 
