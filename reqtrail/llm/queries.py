@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, fingerprints, minhash, mixing, token_files, toxicity, warc
+from . import bpe, exact_dedup, fingerprints, fm_index, minhash, mixing, suffix_doubling, token_files, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,14 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_query(_table(spark, sf_dir, "documents"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fm_index.repeated_words(_table(spark, sf_dir, "documents"))
+
+
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_doubling.repeated_bytes(_table(spark, sf_dir, "documents"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(_table(spark, sf_dir, "documents"))
 
@@ -47,6 +55,6 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_document_fingerprints, op2_token_files, op3_minhash, op4_toxicity, op5_exact_dedup, op6_mixing, op9_bpe, op10_warc)
+    f.__name__: f for f in (op1_document_fingerprints, op2_token_files, op3_minhash, op4_toxicity, op5_exact_dedup, op6_mixing, op7_substring_dedup, op8_suffix_dedup, op9_bpe, op10_warc)
 }
 ORACLE_SQL: dict[str, str] = {"op5_exact_dedup": exact_dedup.ORACLE_SQL, "op6_mixing": mixing.ORACLE_SQL}
