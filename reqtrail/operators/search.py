@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -10,18 +12,26 @@ from ..functions.vectors import similarity
 
 # Rows of a chunk, and when two results count as the same.
 CHUNK, SAME_CHARACTERS, SAME_SCORE = 2_000_000, 80, 0.01
-#: Queries up to which they are broadcast against all vectors at once.
+#: Queries, about, that are broadcast against all vectors at once.
 QUERIES = 1_000
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int, measure: str = "cos", chunk: int = CHUNK, ident: str = "id", vector: str = "vec") -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int, measure: str = "cos", chunk: int = CHUNK, ident: str = "id", vector: str = "vec", block: int = QUERIES) -> DataFrame:
     """(query, id, score, rank): each query's k best of each chunk of ids, ranked over all chunks; not yet de-duplicated.
 
-    queries are (query, qvec), at most QUERIES of them: a stated set against all rows. Each task keeps the best of
-    its own rows before anything is shuffled.
+    queries are (query, qvec), with distinct names: a stated set against all rows, in blocks of `block` queries by
+    hash, each of which is broadcast. Each task keeps the best of its own rows before anything is shuffled.
     """
-    if queries.limit(QUERIES + 1).count() > QUERIES:
-        raise ValueError(f"more than {QUERIES} queries; search in blocks of them")
+    parts = max(1, math.ceil(queries.count() / block))
+    out = None
+    for p in range(parts):
+        some = queries.filter(F.pmod(F.xxhash64("query"), F.lit(parts)) == p) if parts > 1 else queries
+        found = _search(vectors, some, k, measure, chunk, ident, vector)
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def _search(vectors: DataFrame, queries: DataFrame, k: int, measure: str, chunk: int, ident: str, vector: str) -> DataFrame:
     met = vectors.select(F.col(ident).alias("id"), F.col(vector).alias("_v")).join(F.broadcast(queries.select("query", F.col("qvec").alias("_q"))))
     scored = met.select("query", "id", F.floor(F.col("id") / chunk).alias("_chunk"), similarity(F.col("_v"), F.col("_q"), measure).alias("score"))
     best = F.row_number().over(Window.partitionBy("query", "_chunk").orderBy(F.desc("score"), "id"))
