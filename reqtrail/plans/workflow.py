@@ -25,7 +25,9 @@ def extract_constraints(requirements: DataFrame, document: str, scorer: scorers.
     """Requirements of the right roles with conditions and actions, as lists and comma-joined. The filter comes before the calls."""
     kept = relations.role_filter(requirements, document, role)
     out = scorers.scored(kept, scorer or scorers.ConstraintRules(), ["sr", *(c for c in ("context",) if c in kept.columns)], options.pop("concurrency", scorers.CONSTRAINT_ROWS), keep_error=False, **options)
-    return out.withColumn("Conditions", text.list_to_cell(F.col("conditions"))).withColumn("Actions", text.list_to_cell(F.col("actions"))) if not {"Conditions", "Actions"} & set(out.columns) else out
+    # Spark's column names ignore case, so the lists have names of their own.
+    out = out.withColumnsRenamed({"conditions": "condition_list", "actions": "action_list"})
+    return out.withColumn("Conditions", text.list_to_cell(F.col("condition_list"))).withColumn("Actions", text.list_to_cell(F.col("action_list")))
 
 
 def add_keywords(requirements: DataFrame, keywords: Mapping, column: str = "SR Text") -> DataFrame:

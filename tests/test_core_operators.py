@@ -151,7 +151,7 @@ def test_scorers(spark, functions, requirements):
     roles = workflow.judge_roles(requirements.withColumn("sr", F.concat(F.lit("Origin Server: "), F.coalesce("sr", F.lit("")))))
     assert roles.first()["Role"] == "Server,Origin Server"
     made = workflow.extract_constraints(roles, "9110").first()
-    assert made["actions"] and made["conditions"] == []
+    assert made["action_list"] and made["condition_list"] == [] and made["Actions"]
     dual = workflow.dual_filter(functions, scorers.DualRules({"method": ["SEND"]}, {"x": ["date"]}))
     first = {r["function_id"]: (r["method"], r["matched_subcategories"], r["status"]) for r in dual.collect()}
     assert first[1] == (["SEND"], ["x"], "success") and first[2] == ([], [], "success")
