@@ -112,3 +112,19 @@ def negatives(rows: DataFrame, ident: str, value: str, n: int, seed: int) -> Dat
     """rows, whose ids run from 0 to n - 1, each with the value of a row chosen by a hash of the seed and its id (itself at times)."""
     other = rows.select(F.col(ident).alias("_other"), F.col(value).alias("negative"))
     return rows.withColumn("_other", F.pmod(F.xxhash64(F.lit(seed), F.col(ident)), F.lit(n))).join(other, "_other", "left").drop("_other")
+
+
+def capped(df: DataFrame, rows: int | None) -> DataFrame:
+    """The first rows, for smoke tests of costly stages; None keeps all."""
+    return df if rows is None else df.limit(rows)
+
+
+def sample_values(df: DataFrame, columns: Sequence[str], values: int = 3, seed: int = 1) -> DataFrame:
+    """(column, value): a few random values of each column that are not null, for a look at what a join meets."""
+    out = None
+    for c in columns:
+        some = df.select(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("value")).filter("value IS NOT NULL").orderBy(F.rand(seed)).limit(values)
+        out = some if out is None else out.unionByName(some)
+    if out is None:
+        raise ValueError("no columns")
+    return out

@@ -76,6 +76,13 @@ def test_filters(spark):
     assert [r[0] for r in sparse.select(relations.has_suffix(F.concat("k", F.lit(".cc")), [".c", ".cc"])).collect()] == [True] * 3
 
 
+def test_caps(spark):
+    df = spark.createDataFrame([(k, f"v{k}", None) for k in range(9)], "k int, a string, b string")
+    assert relations.capped(df, 2).count() == 2 and relations.capped(df, None).count() == 9
+    seen = relations.sample_values(df, ["a", "b"]).collect()
+    assert len(seen) == 3 and {r["column"] for r in seen} == {"a"}
+
+
 def test_groups(spark):
     nested = spark.sql("""SELECT from_json('{"g": {"a": ["1", "x", "2"], "b": ["2"]}, "h": {"c": ["3"]}}', 'map<string,map<string,array<string>>>') AS groups""")
     flat = relations.flatten_groups(nested)
