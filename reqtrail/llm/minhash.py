@@ -119,22 +119,39 @@ def _verified(batches):
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
 
+def _packed(batches):
+    """Sketches as K times eight bytes, padded with the largest number."""
+    for batch in batches:
+        rows = _padded(batch.column("sketch"))
+        whole = rows.tobytes()
+        yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("n"), pa.array([whole[k : k + 8 * K] for k in range(0, len(whole), 8 * K)], pa.binary())], names=["node", "n", "sketch"])
+
+
+def hopeful(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, ca: np.ndarray, cb: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of two blocks of sketches that are of different components and pass; counts of shared values come from a matrix product."""
+    values, at = np.unique(np.concatenate([a.ravel(), b.ravel()]), return_inverse=True)
+    real = np.concatenate([a.ravel(), b.ravel()]) != np.iinfo(np.uint64).max
+    held = np.zeros((len(a) + len(b), len(values)), np.float32)
+    held[np.repeat(np.arange(len(a) + len(b)), K)[real], at[real]] = 1
+    shared = held[: len(a)] @ held[len(a) :].T
+    need = np.minimum(T, (np.minimum(na[:, None], nb[None, :]) + 1) // 2)
+    sizes = 100 * np.minimum(na[:, None], nb[None, :]) >= PERCENT * np.maximum(na[:, None], nb[None, :])
+    i, j = np.nonzero((shared >= need) & sizes & (ca[:, None] != cb[None, :]))
+    ok = passes(a[i], b[j], na[i], nb[j]) if len(i) else np.zeros(0, bool)
+    return i[ok], j[ok]
+
+
 def _against(batches):
-    """Rows (node x with its sketch, a block of a list's members): pairs of different components that pass."""
+    """Rows of two blocks of a list's members: pairs of different components that pass."""
     for batch in batches:
-        a, b = [], []
-        sketches, sizes = _padded(batch.column("s")), np.asarray(batch.column("n"))
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for k in range(batch.num_rows):
-            nodes, counts = (np.array(batch.column(c)[k].as_py(), np.int64) for c in ("nodes", "sizes"))
-            comps = np.array(batch.column("comps")[k].as_py(), np.int64)
-            node, comp = batch.column("node")[k].as_py(), batch.column("comp")[k].as_py()
-            far = comps != comp
-            if far.any():
-                flat = pa.array(batch.column("sketches")[k].as_py(), pa.list_(pa.int64()))
-                ok = far & passes(np.repeat(sketches[k : k + 1], len(nodes), 0), _padded(flat), np.full(len(nodes), sizes[k]), counts)
-                b += nodes[ok].tolist()
-                a += [node] * int(ok.sum())
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            one, two = ([np.asarray(batch.column(f"{x}_{c}")[k].values) for c in ("node", "n", "comp")] for x in "ab")
+            sa, sb = (np.frombuffer(b"".join(batch.column(f"{x}_sketch")[k].as_py()), np.uint64).reshape(-1, K) for x in "ab")
+            i, j = hopeful(sa, sb, one[1], two[1], one[2], two[2])
+            a.append(one[0][i])
+            b.append(two[0][j])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a), pa.int64()), pa.array(np.concatenate(b), pa.int64())], names=["a", "b"])
 
 
 def _pairs(a: Column, b: Column) -> list[Column]:
@@ -173,8 +190,8 @@ def near_links(docs: DataFrame, sketches: DataFrame) -> DataFrame:
     met = lists.join(pivots.select("value", F.explode("pivot").alias("pivot")), "value").filter("node <> pivot")
     side = lambda x: known.select(F.col("node").alias(x), F.col("n").alias("n" + x), F.col("sketch").alias("s" + x))
     pairs = met.select(*_pairs(F.col("node"), F.col("pivot"))).distinct()
-    hopeful = pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_estimated, "a bigint, b bigint")
-    links = materialise(verify(hopeful), "verified")
+    estimated = pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_estimated, "a bigint, b bigint")
+    links = materialise(verify(estimated), "verified")
     release(spark)
     first = components(links)
 
@@ -184,13 +201,17 @@ def near_links(docs: DataFrame, sketches: DataFrame) -> DataFrame:
     sizes = placed.groupBy("value", "comp").agg(F.count("*").alias("m"))
     main = sizes.groupBy("value").agg(F.max_by("comp", F.struct("m", "comp")).alias("main"), F.count("*").alias("comps")).filter("comps > 1").select("value", "main")
     open_ = placed.join(main, "value")
+    packed = materialise(known.mapInArrow(_packed, "node bigint, n bigint, sketch binary"), "packed")
+
+    def blocks(members: DataFrame, x: str) -> DataFrame:
+        """Members of each list in blocks by a hash of their node, about BLOCK in each."""
+        sizes = members.groupBy("value").agg(F.count("*").alias("m"))
+        dealt = members.join(sizes, "value").withColumn("block", F.pmod(F.xxhash64("node"), F.ceil(F.col("m") / BLOCK)))
+        lists = dealt.join(packed, "node").groupBy("value", "block").agg(F.collect_list(F.struct("node", "n", "comp", "sketch")).alias("all"))
+        return lists.select("value", *[F.col(f"all.{c}").alias(f"{x}_{c}") for c in ("node", "n", "comp", "sketch")])
+
     outside = open_.filter("comp <> main").select("value", "node", "comp")
-    outside = outside.join(known.select("node", F.col("n").alias("n"), F.col("sketch").alias("s")), "node")
-    blocks = open_.groupBy("value").agg(F.count("*").alias("m"))
-    numbered = open_.select("value", "node", "comp").join(blocks, "value").withColumn("block", F.pmod(F.xxhash64("node"), F.ceil(F.col("m") / BLOCK)))
-    packed = numbered.join(known, "node").groupBy("value", "block").agg(F.collect_list(F.struct("node", "n", "comp", "sketch")).alias("all"))
-    packed = packed.select("value", F.col("all.node").alias("nodes"), F.col("all.n").alias("sizes"), F.col("all.comp").alias("comps"), F.col("all.sketch").alias("sketches"))
-    late = outside.join(packed, "value").select("node", "comp", "n", "s", "nodes", "sizes", "comps", "sketches").mapInArrow(_against, "a bigint, b bigint")
+    late = blocks(outside, "a").join(blocks(open_.select("value", "node", "comp"), "b"), "value").drop("value").mapInArrow(_against, "a bigint, b bigint")
     late = late.select(*_pairs(F.col("a"), F.col("b"))).distinct()
     more = materialise(verify(late), "verified")
     # Links between components, named by their smallest nodes.
@@ -200,7 +221,7 @@ def near_links(docs: DataFrame, sketches: DataFrame) -> DataFrame:
     out = first.select("node", "component").union(joined.select("node", F.col("node").alias("component"))).distinct()
     out = out.join(joined.select(F.col("node").alias("component"), F.col("component").alias("top")), "component", "left").select("node", F.coalesce("top", "component").alias("component"))
     out = materialise(out.groupBy("node").agg(F.min("component").alias("component")), "components")
-    discard(lists, nodes, known, sets, links, placed, more, first, joined)
+    discard(lists, nodes, known, packed, sets, links, placed, more, first, joined)
     return out
 
 
