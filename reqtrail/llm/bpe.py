@@ -124,6 +124,12 @@ def merges(path: str) -> Merges:
         return Merges({base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())})
 
 
+@cache
+def remembered(path: str) -> Dictionary:
+    """The pieces that this worker process has replayed, for all its tasks; bounded."""
+    return Dictionary(merges(path).replay)
+
+
 def encoded(docs: DataFrame, path: str | None = None, text: str = "text", ident: str = "doc_id") -> DataFrame:
     """Per row: doc_id, ids (binary of little-endian unsigned 32-bit ids), n_tokens, ids_sha256, decoded_sha256.
 
@@ -135,7 +141,7 @@ def encoded(docs: DataFrame, path: str | None = None, text: str = "text", ident:
 
     def run(batches):
         table = merges(path)
-        words = Dictionary(table.replay)
+        words = remembered(path)
         for batch in batches:
             data, offsets = string_buffers(batch.column(1))
             for i, j, rows, first in words.blocks(data, offsets):

@@ -16,7 +16,7 @@ from .common import RollingHash, steps
 
 OTHER, LETTER, NUMBER, SPACE = range(4)
 #: Text for which the pieces are held at once, and pieces that a worker remembers between blocks.
-BLOCK_BYTES, REMEMBERED = 24 << 20, 400_000
+BLOCK_BYTES, REMEMBERED = 12 << 20, 1_000_000
 
 
 @cache

@@ -25,6 +25,8 @@ TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
 #: Longest code in bits, tokens in a block (a longer document is a block of its own), tokens from checkpoint to checkpoint.
 LIMIT, BLOCK_TOKENS, CHECKPOINT = 18, 1 << 20, 512
+#: Blocks up to which their starts are broadcast, rather than the blocks shuffled (16 bytes each; a block is a megabyte or more but for the last of a range).
+BROADCAST_BLOCKS = 500_000
 MAGIC = b"THC1"
 
 
@@ -140,6 +142,12 @@ def encode_pieces(path: str, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray
     return np.concatenate(ids) if ids else np.zeros(0, np.uint32), np.concatenate(counts) if counts else np.zeros(0, np.int64)
 
 
+@cache
+def remembered(path: str) -> Dictionary:
+    """The pieces that this worker process has encoded, for all its tasks; bounded."""
+    return Dictionary(lambda texts: encode_pieces(path, texts))
+
+
 RAW = "_range int, block int, doc_ids binary, nulls binary, counts binary, ids binary"
 
 
@@ -148,7 +156,7 @@ def _raw(batches, path: str, end_id: int):
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    words = Dictionary(lambda texts: encode_pieces(path, texts))
+    words = remembered(path)
     totals = np.zeros(0, np.int64)
     kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 4]
     names = [x.split()[0] for x in RAW.split(", ")]
@@ -257,7 +265,10 @@ def read(spark: SparkSession, path: str, digests: bool = False) -> DataFrame:
     shards = shards.select("shard", (F.sum("_n").over(Window.orderBy("shard")) - F.col("_n")).alias("_base"))
     inside = Window.partitionBy("shard").orderBy("block")
     starts = blocks.select("shard", "block", (F.sum("n_tokens").over(inside) - F.col("n_tokens")).alias("_in")).join(shards, "shard")
-    placed = blocks.join(starts.select("shard", "block", (F.col("_base") + F.col("_in")).alias("_start")), ["shard", "block"])
+    starts = materialise(starts.select("shard", "block", (F.col("_base") + F.col("_in")).alias("_start")), "starts")
+    if starts.count() <= BROADCAST_BLOCKS:
+        starts = F.broadcast(starts)
+    placed = blocks.join(starts, ["shard", "block"])
 
     def unpack(batches):
         code = Code(np.frombuffer(lengths, np.uint8))
