@@ -21,6 +21,8 @@ from .repeats import covered, found_batch, groups, keyed, removed, repeated_wind
 
 LENGTH, SPREAD, RUN = 50, 30, 3
 WINDOWS = Windows(LENGTH, SPREAD, RUN)
+#: Bytes of rows in one index, eight for a word, but for a key that alone has more.
+SEARCH_BYTES = 4 << 20
 
 
 class Bits:
@@ -124,33 +126,46 @@ class FMIndex:
     def windows(self, symbols: np.ndarray, at: np.ndarray, ids: np.ndarray, length: int) -> np.ndarray:
         """For segments of symbols (numbers of the alphabet from 1): which windows, in order, occur in a smaller document.
 
-        A window is searched from its last word to its first. Where a search ends early, no window over the stretch
-        that failed can occur, and all of them are skipped.
+        A search goes from an end leftwards to the first window that is still open. If it gets there, all windows up
+        to that end occur. If not, no match covers the stretch on which it failed: the end moves halfway towards the
+        window's own, and where it is that already, all windows over the stretch are skipped.
         """
         n = np.diff(at) - length + 1
         base = np.cumsum(n) - n
-        found = np.zeros(int(n.sum()), bool)
+        found = np.zeros(int(n.sum()) + 1, np.int64)  # starts and ends of runs of windows
         bound = np.searchsorted(self.documents, ids).astype(np.int32)
-        row, window = np.arange(len(n)), np.zeros(len(n), np.int64)
+        row, first, last = np.arange(len(n)), np.zeros(len(n), np.int64), n - 1  # windows from first to last are tried at once
+        barred, cap = np.full(len(n), -1, np.int64), n - 1  # up to the window `barred` none later than `cap` can be in the same match
         while len(row):
+            end = last + length  # of the stretch, in its segment
             active = np.arange(len(row))
             lo, hi = np.zeros(len(row), np.int64), np.full(len(row), self.size, np.int64)
             stop = np.full(len(row), -1, np.int64)
-            for k in range(length - 1, -1, -1):
+            k = end - 1
+            while len(active):
                 r = row[active]
-                a, b = self.extend(symbols[at[r] + window[active] + k], lo[active], hi[active])
+                a, b = self.extend(symbols[at[r] + k[active]], lo[active], hi[active])
                 good = b > a
                 good[good] = self.least(a[good], b[good]) < bound[r[good]]
-                stop[active[~good]] = k
-                active, a, b = active[good], a[good], b[good]
-                lo[active], hi[active] = a, b
-                if not len(active):
-                    break
-            found[base[row[active]] + window[active]] = True
-            window = window + np.where(stop < 0, 1, stop + 1)
-            going = window < n[row]
-            row, window = row[going], window[going]
-        return found
+                stop[active[~good]] = k[active[~good]]
+                active = active[good]
+                lo[active], hi[active] = a[good], b[good]
+                k[active] -= 1
+                active = active[k[active] >= first[active]]
+            won = stop < 0
+            np.add.at(found, base[row[won]] + first[won], 1)
+            np.add.at(found, base[row[won]] + last[won] + 1, -1)
+            short = ~won & (last == first)
+            halved = ~won & ~short
+            barred, cap = np.where(halved, stop, barred), np.where(halved, last - 1, cap)
+            first = np.where(won, last + 1, np.where(short, stop + 1, first))
+            free = first > barred
+            most = n[row] - 1
+            cap = np.where(free, most, cap)
+            last = np.where(halved, (first + last) // 2, np.maximum(cap, first))
+            going = first <= most
+            row, first, last, barred, cap = (x[going] for x in (row, first, last, barred, cap))
+        return np.cumsum(found[:-1]) > 0
 
 
 def as_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -160,7 +175,7 @@ def as_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def _search(batches):
-    for table in groups(batches):
+    for table in groups(batches, SEARCH_BYTES):
         data, at = string_buffers(table.column("symbols"))
         words, at = np.frombuffer(data.tobytes(), np.uint64), at // 8
         ids = np.asarray(table.column("_id"))

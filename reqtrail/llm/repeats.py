@@ -21,8 +21,6 @@ from .common import discard, materialise, release, steps, string_buffers
 LARGEST = (1 << 63) - 1
 #: Distinct segments of one key up to which they are searched together; windows of hotter keys are counted by their hashes instead.
 MOST_SEGMENTS = 20_000
-#: Symbols that one search holds, but for a key that alone has more.
-SEARCH_SYMBOLS = 1 << 20
 
 Splitter = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
@@ -75,8 +73,8 @@ OPEN = "key bigint, whole bigint, _id bigint, _row bigint, first bigint, more in
 FOUND = "_id bigint, _row bigint, first bigint, more int"
 
 
-def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Tables of whole keys from rows that are sorted by key, of about SEARCH_SYMBOLS bytes of symbols each."""
+def groups(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.Table]:
+    """Tables of whole keys from rows that are sorted by key, of about `limit` bytes each."""
     held: list[pa.RecordBatch] = []
     size = 0
     for batch in batches:
@@ -84,14 +82,14 @@ def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
             continue
         held.append(batch)
         size += batch.nbytes
-        if size >= SEARCH_SYMBOLS:
+        if size >= limit:
             whole = pa.Table.from_batches(held)
             keys = np.asarray(whole.column("key"))
             cut = int(np.searchsorted(keys, keys[-1]))
             at = 0
             while at < cut:
-                # About SEARCH_SYMBOLS at a time, and no key in two.
-                stop = int(np.searchsorted(keys, keys[min(cut - 1, at + max(1, SEARCH_SYMBOLS * whole.num_rows // size))], "right"))
+                # About the limit at a time, and no key in two.
+                stop = int(np.searchsorted(keys, keys[min(cut - 1, at + max(1, limit * whole.num_rows // size))], "right"))
                 stop = min(stop, cut)
                 yield whole.slice(at, stop - at)
                 at = stop
@@ -177,7 +175,6 @@ def repeated_windows(docs: DataFrame, split: Splitter, kind: type, windows: Wind
     found = materialise(found, "runs")
     release(docs.sparkSession)
     out = rows.filter("settled").select("_id", "_row", "first", "more").unionByName(found)
-    out._parts = (rows, found)
     return out
 
 

@@ -20,6 +20,8 @@ from .repeats import covered, found_batch, groups, keyed, removed, repeated_wind
 
 LENGTH, SPREAD, RUN = 200, 150, 8
 WINDOWS = Windows(LENGTH, SPREAD, RUN)
+#: Bytes of rows that are ranked together, but for a key that alone has more.
+SEARCH_BYTES = 1 << 20
 
 
 def as_bytes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -57,7 +59,7 @@ def doubled(data: np.ndarray, starts: np.ndarray, length: int = LENGTH) -> np.nd
 
 
 def _search(batches):
-    for table in groups(batches):
+    for table in groups(batches, SEARCH_BYTES):
         data, at = string_buffers(table.column("symbols"))
         n = np.asarray(table.column("more")).astype(np.int64) + 1
         row = np.repeat(np.arange(len(n)), n)
