@@ -1 +1,21 @@
 """reqtrail: requirement-to-code analytics as composable PySpark DataFrame operators."""
+
+from __future__ import annotations
+
+import tempfile
+import zipfile
+from pathlib import Path
+
+
+def ship(spark) -> None:
+    """Give the package to the session's Python workers, once, so that they need no copy on their path."""
+    context = spark.sparkContext
+    if getattr(context, "_reqtrail_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="reqtrail-")) / "reqtrail.zip"
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as out:
+        for file in sorted(root.rglob("*.py")):
+            out.write(file, file.relative_to(root.parent))
+    context.addPyFile(str(target))
+    context._reqtrail_shipped = True
