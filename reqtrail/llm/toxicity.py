@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import RollingHash, materialise, steps, string_buffers, words_of
+from .fingerprints import shingle_hashes
 
 #: Labelled rows that the model is fitted on at most (those with the smallest hash of their id), and entries of the lexicon.
 SAMPLE_ROWS, LEXICON, EXCEPTIONS = 20_000, 2_000, 500
@@ -198,6 +199,9 @@ def learn(docs: DataFrame, labels: DataFrame) -> Lexicon:
     marks = marks.groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.max((F.col("toxic") > 0).cast("int")).alias("_toxic"))
     marks = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS)
     sample = materialise(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").alias("_text")).join(F.broadcast(marks), "doc_id").select("_text", "_toxic"), "toxic-sample")
+    # Copies say the same thing again: of rows that share their least shingle, one for each label is learned from.
+    sample = sample.withColumn("_least", F.array_min(shingle_hashes(F.coalesce("_text", F.lit("")))))
+    sample = sample.dropDuplicates(["_least", "_toxic"]).drop("_least")
     sample = sample.repartition(sample.sparkSession.sparkContext.defaultParallelism)
     counts = sample.mapInArrow(_count_terms, "term string, toxic bigint, clean bigint").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     found = {r[0]: (r[1], r[2]) for r in counts.filter("term IS NULL OR toxic >= 4 AND toxic > 4 * clean").orderBy(F.col("term").isNull().desc(), F.desc(F.col("toxic") / (F.col("clean") + 1)), "term").limit(10 * LEXICON).collect()}
