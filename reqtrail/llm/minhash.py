@@ -27,9 +27,9 @@ from .components import components
 
 WORDS = 5
 #: Similarity in percent; retained hashes; shared retained values that two similar sets have at least.
-PERCENT, K, T = 75, 32, 10
+PERCENT, K, T = 75, 128, 68
 #: Members of a list that a block of sketches holds.
-BLOCK = 256
+BLOCK = 128
 _FACTOR = np.random.default_rng(75).integers(1, 2**63, WORDS, dtype=np.uint64) | np.uint64(1)
 
 
@@ -134,7 +134,8 @@ def hopeful(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, ca: np
     held = np.zeros((len(a) + len(b), len(values)), np.float32)
     held[np.repeat(np.arange(len(a) + len(b)), K)[real], at[real]] = 1
     shared = held[: len(a)] @ held[len(a) :].T
-    need = np.minimum(T, (np.minimum(na[:, None], nb[None, :]) + 1) // 2)
+    more, less = np.maximum(na[:, None], nb[None, :]), np.minimum(na[:, None], nb[None, :])
+    need = np.where(4 * less <= 3 * K, (PERCENT * more + 99) // 100, T)
     sizes = 100 * np.minimum(na[:, None], nb[None, :]) >= PERCENT * np.maximum(na[:, None], nb[None, :])
     i, j = np.nonzero((shared >= need) & sizes & (ca[:, None] != cb[None, :]))
     ok = passes(a[i], b[j], na[i], nb[j]) if len(i) else np.zeros(0, bool)
@@ -165,7 +166,8 @@ def shared_lists(sketches: DataFrame) -> DataFrame:
     rows = values.join(common, "value")
     by_node = Window.partitionBy("node")
     rows = rows.withColumn("rank", F.row_number().over(by_node.orderBy("df", "value"))).withColumn("shared", F.count("*").over(by_node))
-    least = F.least(F.lit(T), F.ceil(F.col("size") / 2))
+    # Sets of up to three quarters of K are whole, and so are those that they can be similar to.
+    least = F.when(F.col("size") * 4 <= 3 * K, F.ceil(F.col("size") * PERCENT / 100)).otherwise(T)
     rows = rows.filter(F.col("rank") <= F.col("shared") - least + 1).select("value", "node", "n")
     lasting = rows.groupBy("value").agg(F.count("*").alias("m")).filter("m > 1").select("value")
     return rows.join(lasting, "value", "left_semi")
