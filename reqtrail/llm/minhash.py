@@ -3,7 +3,7 @@
 1. Each text's distinct five-word shingles are hashed once; the K smallest hashes are its sketch. Texts with equal
    sets are one class.
 2. Inverted lists of retained values that several classes share give candidates. Two sets with Jaccard 0.75 share T
-   or more of their sketches' values (a miss at exactly 0.75 has probability 3e-8), so a class stays only in the lists
+   or more of their sketches' values (a miss at exactly 0.75 has probability 4e-7), so a class stays only in the lists
    of its rarest shared values, all but T - 1 of them: common passages drop out by themselves.
 3. In each list all classes meet three pivots. Pairs whose union sketch estimates enough overlap are verified on full
    sets. Classes that this does not join to the largest component of their list then meet the whole list, in blocks
@@ -27,7 +27,9 @@ from .components import components
 
 WORDS = 5
 #: Similarity in percent; retained hashes; shared retained values that two similar sets have at least.
-PERCENT, K, T = 75, 128, 68
+PERCENT, K, T = 75, 64, 30
+#: The same for the sketches that blocks hold: the upper 32 bits of more values, so that sets of up to FINE shingles are compared whole.
+FINE, FINE_T = 128, 68
 #: Members of a list that a block of sketches holds.
 BLOCK = 128
 _FACTOR = np.random.default_rng(75).integers(1, 2**63, WORDS, dtype=np.uint64) | np.uint64(1)
@@ -81,18 +83,22 @@ def _padded(column: pa.Array) -> np.ndarray:
     return out
 
 
-def passes(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
-    """Whether sketches (rows of K) may belong to sets of sizes na and nb with Jaccard 0.75: sizes fit and the union's K least values have enough in common."""
+def passes(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, least: int = T, slack: int = 0) -> np.ndarray:
+    """Whether sketches (rows of k values, padded with the largest number) may belong to sets of sizes na and nb with Jaccard 0.75.
+
+    Sizes must fit and the union's k least values have enough in common. Sets of up to k are whole; slack forgives so many equal values.
+    """
+    k, none = a.shape[1], np.iinfo(a.dtype).max
     both = np.sort(np.concatenate([a, b], 1), 1)
     twin = np.zeros(both.shape, bool)
-    real = both != np.iinfo(np.uint64).max
+    real = both != none
     twin[:, 1:] = (both[:, 1:] == both[:, :-1]) & real[:, 1:]
     rank = np.cumsum(~twin & real, 1)
-    shared = (twin & (rank <= K)).sum(1)
+    shared = (twin & (rank <= k)).sum(1)
     union = (~twin & real).sum(1)
     sizes = 100 * np.minimum(na, nb) >= PERCENT * np.maximum(na, nb)
-    whole = (na <= K) & (nb <= K)
-    return sizes & np.where(whole, 100 * twin.sum(1) >= PERCENT * union, shared >= T)
+    whole = (na <= k) & (nb <= k)
+    return sizes & np.where(whole, 100 * (twin.sum(1) + slack) >= PERCENT * (union - slack), shared + slack >= least)
 
 
 def _estimated(batches):
@@ -120,25 +126,30 @@ def _verified(batches):
 
 
 def _packed(batches):
-    """Sketches as K times eight bytes, padded with the largest number."""
+    """From full sets: the upper halves of the FINE least values, padded with the largest number, and the sets' sizes."""
     for batch in batches:
-        rows = _padded(batch.column("sketch"))
-        whole = rows.tobytes()
-        yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("n"), pa.array([whole[k : k + 8 * K] for k in range(0, len(whole), 8 * K)], pa.binary())], names=["node", "n", "sketch"])
+        sizes, rows = [], []
+        for x in batch.column("set").to_pylist():
+            values = np.frombuffer(x, np.uint64)
+            row = np.full(FINE, np.iinfo(np.uint32).max, np.uint32)
+            row[: min(len(values), FINE)] = values[:FINE] >> np.uint64(32)
+            sizes.append(len(values))
+            rows.append(row.tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sizes, pa.int64()), pa.array(rows, pa.binary())], names=["node", "n", "sketch"])
 
 
 def hopeful(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, ca: np.ndarray, cb: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of two blocks of sketches that are of different components and pass; counts of shared values come from a matrix product."""
-    values, at = np.unique(np.concatenate([a.ravel(), b.ravel()]), return_inverse=True)
-    real = np.concatenate([a.ravel(), b.ravel()]) != np.iinfo(np.uint64).max
+    """Pairs of two blocks of fine sketches that are of different components and pass; counts of shared values come from a matrix product."""
+    flat = np.concatenate([a.ravel(), b.ravel()])
+    values, at = np.unique(flat, return_inverse=True)
+    real = flat != np.iinfo(a.dtype).max
     held = np.zeros((len(a) + len(b), len(values)), np.float32)
-    held[np.repeat(np.arange(len(a) + len(b)), K)[real], at[real]] = 1
+    held[np.repeat(np.arange(len(a) + len(b)), a.shape[1])[real], at[real]] = 1
     shared = held[: len(a)] @ held[len(a) :].T
     more, less = np.maximum(na[:, None], nb[None, :]), np.minimum(na[:, None], nb[None, :])
-    need = np.where(4 * less <= 3 * K, (PERCENT * more + 99) // 100, T)
-    sizes = 100 * np.minimum(na[:, None], nb[None, :]) >= PERCENT * np.maximum(na[:, None], nb[None, :])
-    i, j = np.nonzero((shared >= need) & sizes & (ca[:, None] != cb[None, :]))
-    ok = passes(a[i], b[j], na[i], nb[j]) if len(i) else np.zeros(0, bool)
+    need = np.where(4 * less <= 3 * FINE, (PERCENT * more + 99) // 100, FINE_T) - 1
+    i, j = np.nonzero((shared >= need) & (100 * less >= PERCENT * more) & (ca[:, None] != cb[None, :]))
+    ok = passes(a[i], b[j], na[i], nb[j], FINE_T, slack=1) if len(i) else np.zeros(0, bool)
     return i[ok], j[ok]
 
 
@@ -148,7 +159,7 @@ def _against(batches):
         a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for k in range(batch.num_rows):
             one, two = ([np.asarray(batch.column(f"{x}_{c}")[k].values) for c in ("node", "n", "comp")] for x in "ab")
-            sa, sb = (np.frombuffer(b"".join(batch.column(f"{x}_sketch")[k].as_py()), np.uint64).reshape(-1, K) for x in "ab")
+            sa, sb = (np.frombuffer(b"".join(batch.column(f"{x}_sketch")[k].as_py()), np.uint32).reshape(-1, FINE) for x in "ab")
             i, j = hopeful(sa, sb, one[1], two[1], one[2], two[2])
             a.append(one[0][i])
             b.append(two[0][j])
@@ -203,7 +214,7 @@ def near_links(docs: DataFrame, sketches: DataFrame) -> DataFrame:
     sizes = placed.groupBy("value", "comp").agg(F.count("*").alias("m"))
     main = sizes.groupBy("value").agg(F.max_by("comp", F.struct("m", "comp")).alias("main"), F.count("*").alias("comps")).filter("comps > 1").select("value", "main")
     open_ = placed.join(main, "value")
-    packed = materialise(known.mapInArrow(_packed, "node bigint, n bigint, sketch binary"), "packed")
+    packed = materialise(sets.mapInArrow(_packed, "node bigint, n bigint, sketch binary"), "packed")
 
     def blocks(members: DataFrame, x: str) -> DataFrame:
         """Members of each list in blocks by a hash of their node, about BLOCK in each."""
