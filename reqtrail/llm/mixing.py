@@ -17,6 +17,10 @@ SEED = "mix-1"
 DIGITS, SCALE = 13, float(1 << 52)
 #: Sources up to which their rates are broadcast; more sources are joined by a shuffle with salted keys.
 BROADCAST_SOURCES = 10_000
+#: Rates up to which the distribution function is summed from 0 in an array; beyond, exp(-rate) vanishes and the sum begins near the mode.
+PLAIN_RATE = 700
+#: Copies of a document that one array holds.
+COPIES = 1 << 16
 
 
 def unit(*parts: Column) -> Column:
@@ -54,23 +58,56 @@ def distribution(rate: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), last), first, grow, lambda acc: acc["all"])
 
 
+def band(rate: Column) -> tuple[Column, Column]:
+    """First and last count of a large rate; what is outside is below a double's precision."""
+    reach = 10 * F.sqrt(rate) + 30
+    return F.floor(rate - reach), F.ceil(rate + reach)
+
+
+def least_probability(rate: Column) -> Column:
+    """Probability of the first count of the band, so that the band sums to 1."""
+    first, last = band(rate)
+    begin = F.struct(F.lit(1.0).alias("p"), F.lit(1.0).alias("c"))
+
+    def add(acc: Column, k: Column) -> Column:
+        p = acc["p"] * rate / k
+        return F.struct(p.alias("p"), (acc["c"] + p).alias("c"))
+
+    return F.aggregate(F.sequence(first + 1, last), begin, add, lambda acc: 1 / acc["c"])
+
+
+def banded_count(rate: Column, least: Column, u: Column) -> Column:
+    """The inverse distribution function at u for a large rate, by a walk over the band: about 20 * sqrt(rate) steps for rate copies."""
+    first, last = band(rate)
+    begin = F.struct(least.alias("p"), least.alias("c"), (first + (least <= u).cast("bigint")).alias("n"))
+
+    def add(acc: Column, k: Column) -> Column:
+        p = acc["p"] * rate / k
+        return F.struct(p.alias("p"), (acc["c"] + p).alias("c"), (acc["n"] + (acc["c"] + p <= u).cast("bigint")).alias("n"))
+
+    return F.aggregate(F.sequence(first + 1, last), begin, add, lambda acc: acc["n"])
+
+
 def mixed_documents(docs: DataFrame, weights: dict[str, float] | None = None, epochs: float = 1.0, seed: str = SEED, ident: str = "doc_id") -> DataFrame:
     """docs with each row repeated by its Poisson count, globally shuffled; adds _copy (from 0) and _order.
 
     The same id, seed and rates give the same count and order. A null id counts as the id ''; rows that repeat an
     id get the same count. Null text has no characters, yet its row is drawn like any other of its source. An empty
-    table gives no rows; other columns stay. Rates over about 700 are refused, as exp(-rate) would vanish.
+    table gives no rows; other columns stay. Rates may be of any size.
     """
-    table = rates(docs, weights, epochs).withColumn("_cdf", F.when(F.col("_rate") > 700, F.raise_error(F.lit("a rate over 700"))).otherwise(distribution(F.col("_rate"))))
+    rate, large = F.col("_rate"), F.col("_rate") > PLAIN_RATE
+    table = rates(docs, weights, epochs).withColumn("_cdf", F.when(~large, distribution(rate))).withColumn("_least", F.when(large, least_probability(rate)))
     keyed = docs.withColumn("_source", F.coalesce("source", F.lit("")))
     few = docs.select("source").distinct().limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
     joined = keyed.join(F.broadcast(table), "_source", "left") if few else salted_left_join(keyed, table, ["_source"])
     name = F.coalesce(F.col(ident).cast("string"), F.lit(""))
     u = unit(F.lit(seed), name)
-    counted = joined.withColumn("_n", F.size(F.filter("_cdf", lambda c: c <= u)))
-    copies = counted.filter("_n > 0").withColumn("_copy", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    plain = F.size(F.filter("_cdf", lambda c: c <= u)).cast("bigint")
+    counted = joined.withColumn("_n", F.when(large, banded_count(rate, F.col("_least"), u)).otherwise(plain))
+    runs = counted.filter("_n > 0").withColumn("_run", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("_n") - 1) / COPIES))))
+    copies = runs.withColumn("_copy", F.explode(F.sequence(F.col("_run") * COPIES, F.least(F.col("_n"), (F.col("_run") + 1) * COPIES) - 1)))
     order = F.md5(F.concat_ws(":", F.lit(seed), F.lit("order"), name, F.col("_copy")))
-    out = copies.drop("_source", "_rate", "_cdf", "_n").withColumn("_order", order)
+    out = copies.drop("_source", "_rate", "_cdf", "_least", "_n", "_run").withColumn("_order", order)
     return out.repartitionByRange("_order").sortWithinPartitions("_order")
 
 

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import random
 
 import public_tokenizers
@@ -240,6 +241,27 @@ def test_mixing_many_sources(spark, monkeypatch):
     assert few == sorted(tuple(r) for r in mixing.mixed_documents(frame(spark, data, extra=False)).select("doc_id", "_copy").collect())
 
 
+def test_mixing_large_rates(spark, monkeypatch):
+    """Counts at rates where exp(-rate) vanishes are those of the inverse distribution function; copies are numbered through."""
+    monkeypatch.setattr(mixing, "COPIES", 300)
+    data = [(1, "x" * 10, "en", "small", 10), (2, "y" * 10, "en", None, 10), (3, "z" * 40_000, "en", "large", 40_000), (4, "w", "en", "least", 1)]
+    size = {"small": 10, "": 10, "large": 40_000, "least": 1}
+    want = {}
+    for i, _, _, source, _ in data:
+        rate = 40_021 / (4 * size[source or ""])
+        u = int(hashlib.md5(f"mix-1:{i}".encode()).hexdigest()[:13], 16) / 2**52
+        k, c = -1, 0.0
+        while c <= u:
+            k += 1
+            c += math.exp(k * math.log(rate) - rate - math.lgamma(k + 1))
+        want[i] = k
+    assert want[1] > 700 and want[4] > 9000
+    got = {}
+    for r in mixing.mixed_documents(frame(spark, data, extra=False)).select("doc_id", "_copy").collect():
+        got.setdefault(r["doc_id"], []).append(r["_copy"])
+    assert {i: sorted(v) for i, v in got.items()} == {i: list(range(n)) for i, n in want.items() if n}
+
+
 def test_toxicity(spark):
     rng = random.Random(7)
     plain = ["bread", "house", "river", "walk", "green", "table", "music", "stone", "class", "great"]
