@@ -6,6 +6,7 @@ neighbouring code points, so piece starts come from a few array operations. Equa
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from functools import cache
 
@@ -80,10 +81,13 @@ class Dictionary:
     """Distinct pieces by a 64-bit key with what encode() gives for them: a row of ids each.
 
     Keys of up to seven bytes are the bytes themselves; longer pieces have a 63-bit hash of their bytes and length.
+    Each of the strings in whole is a piece wherever it occurs, and texts are split at them before pieces are cut.
     """
 
-    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], remembered: int = REMEMBERED):
+    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], remembered: int = REMEMBERED, whole: tuple[bytes, ...] = ()):
         self.encode, self.remembered = encode, remembered
+        self.whole = tuple(sorted(whole, key=len, reverse=True))  # the longest of those that begin at one place is found
+        self.find = re.compile(b"|".join(map(re.escape, self.whole)))
         self.clear()
 
     def clear(self) -> None:
@@ -119,6 +123,19 @@ class Dictionary:
         found[inside] = self.keys[where[inside]] == keys[inside]
         return ~found
 
+    def starts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """pieces(), with the strings in whole kept as they are."""
+        text = data.tobytes() if self.whole else b""
+        if not any(t in text for t in self.whole):
+            return pieces(data, offsets)
+        found = [m.span() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True) for m in self.find.finditer(text, a, b)]
+        if not found:
+            return pieces(data, offsets)
+        begin, end = np.array(found, np.int64).T
+        starts = pieces(data, np.unique(np.concatenate([offsets, begin, end])))
+        last = np.searchsorted(begin, starts, "right") - 1
+        return starts[(last < 0) | (starts == begin[last]) | (starts >= end[last])]
+
     def blocks(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """For blocks of rows i to j: i, j, each piece's row in this dictionary, and where each text row's pieces begin."""
         for i, j in steps(offsets, BLOCK_BYTES):
@@ -129,10 +146,10 @@ class Dictionary:
             for a, b in steps(at):
                 text, cut = part[at[a] : at[b]], at[a : b + 1] - at[a]
                 try:
-                    starts = pieces(text, cut)
+                    starts = self.starts(text, cut)
                 except UnicodeDecodeError:
                     text, cut = repaired(text, cut)
-                    starts = pieces(text, cut)
+                    starts = self.starts(text, cut)
                 ends = np.append(starts[1:], len(text))[: len(starts)]
                 key = self.key(text, starts, ends)
                 distinct, first = np.unique(key, return_index=True)

@@ -128,9 +128,15 @@ def read_block(code: Code, block: bytes) -> tuple[np.ndarray, np.ndarray, np.nda
 def tokenizer(path: str):
     from tokenizers import Tokenizer
 
-    out = Tokenizer.from_file(path)
-    out.encode_special_tokens = True  # their strings in a text are ordinary text
-    return out
+    return Tokenizer.from_file(path)
+
+
+def added_tokens(path: str) -> tuple[bytes, ...]:
+    """Strings of the tokenizer's added tokens, which a text is split at first."""
+    added = [t for t in tokenizer(path).get_added_tokens_decoder().values() if t.content]
+    if any(t.lstrip or t.rstrip or t.single_word for t in added):
+        raise ValueError("an added token takes white space along or must be a word")
+    return tuple(t.content.encode() for t in added)
 
 
 def encode_pieces(path: str, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -145,7 +151,7 @@ def encode_pieces(path: str, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray
 @cache
 def remembered(path: str) -> Dictionary:
     """The pieces that this worker process has encoded, for all its tasks; bounded."""
-    return Dictionary(lambda texts: encode_pieces(path, texts))
+    return Dictionary(lambda texts: encode_pieces(path, texts), whole=added_tokens(path))
 
 
 RAW = "_range int, block int, doc_ids binary, nulls binary, counts binary, ids binary"
@@ -212,8 +218,8 @@ def write(docs: DataFrame, path: str, tokenizer_path: str | None = None, end_id:
     """Encode every whole text and write ids to files below path: `book` (a length for each id) and `blocks`.
 
     Null text counts as empty: such a document has the end id alone. Order is ascending by doc_id, null ids first;
-    rows that repeat an id are ordered by text. Strings of special tokens in a text are ordinary text. Other columns
-    are ignored. Without rows there are no blocks and an empty book.
+    rows that repeat an id are ordered by text. Strings of added tokens in a text get those tokens' ids, as the library
+    gives them. Other columns are ignored. Without rows there are no blocks and an empty book.
     """
     spark = docs.sparkSession
     tokenizer_path = tokenizer_path or public_tokenizers.path(TOKENIZER)

@@ -127,6 +127,19 @@ def test_token_files(spark, docs):
     assert by_id(token_files.round_trip(docs), "start", "n_tokens", "ids_crc32") == token_starts(DATA, lambda t: plain.encode(t, add_special_tokens=False).ids)
 
 
+def test_token_files_added_tokens(spark):
+    """Strings of added tokens in a text have the ids that the plain library gives them."""
+    from tokenizers import Tokenizer
+
+    end = "<|endoftext|>"
+    texts = [f"one {end} two", end, end * 3, f" {end}  x{end}\n\n", f"it{end}'s  {end}'ll", "no <|endoftext| here", "split <|endof", "text|> in rows", f"<|endof{end}text|>", f"é{end}中 {end}", None, "plain"]
+    data = rows(texts)
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    ids = lambda t: plain.encode(t, add_special_tokens=False).ids
+    assert ids(texts[0]) == [505, 220, 50256, 734]
+    assert by_id(token_files.round_trip(frame(spark, data)), "start", "n_tokens", "ids_crc32") == token_starts(data, ids)
+
+
 def test_token_blocks(spark, docs, monkeypatch):
     """Many small blocks and checkpoints decode to the same ids."""
     import numpy as np
