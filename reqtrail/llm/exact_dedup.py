@@ -19,6 +19,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from .common import SALTS, WHITE, byte_rows, salted_left_join
 
@@ -173,6 +175,17 @@ def _owners(batches):
     yield from _drain(trie, False)
 
 
+def _owner_table(docs: DataFrame) -> DataFrame:
+    """Of docs (doc_id, _text), for each text that several rows have: _length, text_sha256, _keep, _count."""
+    return (
+        docs.mapInArrow(_local, OWNED)
+        .repartition("_length", "text_sha256")
+        .mapInArrow(_owners, OWNED)
+        .filter("_count > 1")
+        .select("_length", "text_sha256", F.col("_owner").alias("_keep"), "_count")
+    )
+
+
 def duplicate_groups(docs: DataFrame, text: str = "text", ident: str = "doc_id") -> DataFrame:
     """Per row of docs: doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -182,14 +195,7 @@ def duplicate_groups(docs: DataFrame, text: str = "text", ident: str = "doc_id")
     """
     docs = docs.select(F.col(ident).cast("bigint").alias("doc_id"), F.col(text).alias("_text"))
     members = docs.mapInArrow(_members, "doc_id bigint, _points bigint, _length bigint, text_sha256 string")
-    owners = (
-        docs.mapInArrow(_local, OWNED)
-        .repartition("_length", "text_sha256")
-        .mapInArrow(_owners, OWNED)
-        .filter("_count > 1")
-        .select("_length", "text_sha256", F.col("_owner").alias("_keep"), "_count")
-    )
-    joined = salted_left_join(members, owners, ["_length", "text_sha256"], SALTS)
+    joined = salted_left_join(members, _owner_table(docs), ["_length", "text_sha256"], SALTS)
     keep = F.when(F.col("_count").isNull(), F.col("doc_id")).otherwise(F.col("_keep"))
     return joined.select(
         "doc_id",
@@ -201,12 +207,27 @@ def duplicate_groups(docs: DataFrame, text: str = "text", ident: str = "doc_id")
 
 
 def drop_copies(docs: DataFrame, text: str = "text", ident: str = "doc_id") -> DataFrame:
-    """docs without the rows that duplicate_groups() does not keep; columns and whole texts as they are.
+    """docs with exactly one row of each text, white space aside; columns and whole texts as they are.
 
-    Ids should be unique; rows with a null id are dropped only if their group keeps another row.
+    It is a row of the owner's id as in duplicate_groups(). Where several rows of a text have that id, or none has
+    an id, it is the one with the most code points, then the least text.
     """
-    gone = duplicate_groups(docs, text, ident).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[ident].eqNullSafe(F.col("_gone")), "left_anti")
+    names = docs.columns
+    row = docs.select(F.col(ident).cast("bigint").alias("_id"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"))
+
+    def keyed(batches):
+        for batch in batches:
+            texts = batch.column(1).flatten()[names.index(text)]
+            for key in _members([pa.RecordBatch.from_arrays([batch.column(0), texts], names=["doc_id", "_text"])]):
+                yield pa.RecordBatch.from_arrays([*key.columns, batch.column(1)], names=["_id", "_points", "_length", "text_sha256", "_row"])
+
+    kinds = T.StructType([T.StructField("_id", T.LongType()), T.StructField("_points", T.LongType()), T.StructField("_length", T.LongType()), T.StructField("text_sha256", T.StringType()), T.StructField("_row", row.schema["_row"].dataType)])
+    owners = _owner_table(docs.select(F.col(ident).cast("bigint").alias("doc_id"), F.col(text).alias("_text")))
+    joined = salted_left_join(row.mapInArrow(keyed, kinds), owners, ["_length", "text_sha256"], SALTS)
+    of_owner = joined.filter(F.col("_count").isNull() | F.col("_id").eqNullSafe(F.col("_keep")))
+    # One row of each text; a hot text is cut to one row in each partition before the shuffle.
+    best = Window.partitionBy("_length", "text_sha256").orderBy(F.desc("_points"), F.col(f"_row.`{text}`"))
+    return of_owner.withColumn("_rank", F.row_number().over(best)).filter("_rank = 1").select("_row.*")
 
 
 ORACLE_SQL = r"""

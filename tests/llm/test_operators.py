@@ -56,6 +56,17 @@ def test_exact_dedup_keeps_columns(docs):
     assert {r["doc_id"] for r in kept.select("doc_id").collect()} == {i for i, v in exact_groups(DATA).items() if v[2]}
 
 
+def test_exact_dedup_by_row(spark):
+    """One row of each text stays, whatever its id: null, repeated with other texts, or repeated with the same."""
+    data = [
+        (None, "a b", "en", "s", 0), (1, "a  b", "en", "s", 0), (None, "own", "en", "s", 0), (None, None, "en", "s", 0), (None, " ", "en", "s", 0),
+        (2, "c", "en", "s", 0), (3, "c", "en", "s", 0), (3, "unique", "en", "s", 0), (4, "same", "en", "s", 0), (4, "same", "en", "s", 0), (4, "sa me", "en", "s", 0),
+    ]
+    kept = exact_dedup.drop_copies(frame(spark, data).repartition(3))
+    got = sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str)
+    assert got == sorted([(1, "a  b"), (None, "own"), (None, " "), (2, "c"), (3, "unique"), (4, "sa me")], key=str)
+
+
 def test_patricia_spills():
     rng = random.Random(1)
     texts = [bytes(rng.choice(b"abc") for _ in range(rng.randint(0, 12))) for _ in range(3000)]
