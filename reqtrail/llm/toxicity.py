@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import RollingHash, materialise, steps, string_buffers, words_of
 from .fingerprints import shingle_hashes
@@ -116,9 +117,10 @@ class Lexicon:
     def __init__(self, weights: dict[str, float], exceptions: frozenset[tuple[str, str]] = frozenset(), curve: tuple = (0.0, 0.0, 0.0)):
         self.weights, self.exceptions, self.curve = weights, exceptions, curve
         self.machine = None
+        self.rows = 0  # that it was fitted on
 
     def __getstate__(self):
-        return {"weights": self.weights, "exceptions": self.exceptions, "curve": self.curve, "machine": None}
+        return {"weights": self.weights, "exceptions": self.exceptions, "curve": self.curve, "machine": None, "rows": self.rows}
 
     def match(self, words: list[str]) -> tuple[np.ndarray, list[str]]:
         """The largest weight at each word's beginning (0: none), and the term."""
@@ -193,15 +195,27 @@ def held_out(ident) -> F.Column:
     return F.crc32(F.coalesce(ident.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
+def one_of_copies(sample: DataFrame) -> DataFrame:
+    """_text and _toxic of sample (at most SAMPLE_ROWS labelled rows) without near copies, which say the same thing again.
+
+    Rows of one label that share their least shingle meet the one of them with the smallest id, and go only if their
+    sets have Jaccard 0.75 or more with its set.
+    """
+    sample = sample.withColumn("_shingles", shingle_hashes(F.coalesce("_text", F.lit(""))))
+    group = Window.partitionBy(F.array_min("_shingles"), "_toxic").orderBy("doc_id", F.xxhash64("_text"), "_text")
+    sample = sample.withColumn("_first", F.first("_shingles").over(group)).withColumn("_rank", F.row_number().over(group))
+    both = F.size(F.array_intersect("_shingles", "_first"))
+    copy = 100 * both >= 75 * (F.size("_shingles") + F.size("_first") - both)
+    return sample.filter((F.col("_rank") == 1) | ~copy).select("_text", "_toxic")
+
+
 def learn(docs: DataFrame, labels: DataFrame) -> Lexicon:
     """Fit a lexicon on at most SAMPLE_ROWS labelled rows outside the held-out fifth; only texts and labels are used."""
     marks = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     marks = marks.groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.max((F.col("toxic") > 0).cast("int")).alias("_toxic"))
     marks = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS)
-    sample = materialise(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").alias("_text")).join(F.broadcast(marks), "doc_id").select("_text", "_toxic"), "toxic-sample")
-    # Copies say the same thing again: of rows that share their least shingle, one for each label is learned from.
-    sample = sample.withColumn("_least", F.array_min(shingle_hashes(F.coalesce("_text", F.lit("")))))
-    sample = sample.dropDuplicates(["_least", "_toxic"]).drop("_least")
+    sample = materialise(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").alias("_text")).join(F.broadcast(marks), "doc_id").select("_text", "_toxic", "doc_id"), "toxic-sample")
+    sample = one_of_copies(sample)
     sample = sample.repartition(sample.sparkSession.sparkContext.defaultParallelism)
     counts = sample.mapInArrow(_count_terms, "term string, toxic bigint, clean bigint").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     found = {r[0]: (r[1], r[2]) for r in counts.filter("term IS NULL OR toxic >= 4 AND toxic > 4 * clean").orderBy(F.col("term").isNull().desc(), F.desc(F.col("toxic") / (F.col("clean") + 1)), "term").limit(10 * LEXICON).collect()}
@@ -227,6 +241,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Lexicon:
             yield pa.RecordBatch.from_arrays([pa.array(sums), pa.array(words), batch.column(1)], names=["s", "w", "toxic"])
 
     rows = sample.mapInArrow(features, "s double, w bigint, toxic int").collect()  # at most SAMPLE_ROWS
+    model.rows = len(rows)
     if rows:
         s, w, y = (np.array(x, float) for x in zip(*rows, strict=True))
         model.curve = logistic(Lexicon.features(s, w), y)

@@ -313,6 +313,16 @@ def test_toxicity(spark):
     assert kept.columns == docs.columns and kept.count() == sum(not r["predicted"] for r in out.values())
 
 
+def test_toxicity_learns_from_shared_passages(spark):
+    """Rows that share a passage, whichever shingle is least, all count; near copies count once, by the smallest id."""
+    rng = random.Random(11)
+    passage = " ".join(f"licence{k}" for k in range(40))
+    own = [(10 + i, passage + " " + " ".join(f"w{rng.randrange(10**6)}" for _ in range(30)), 0) for i in range(40)]
+    copies = [(100 + i, "  ".join(own[0][1].split()) + " end" * (i % 2), 0) for i in range(6)]
+    sample = spark.createDataFrame([(t, y, i) for i, t, y in own + copies], "_text string, _toxic int, doc_id bigint")
+    assert sorted(r["_text"] for r in toxicity.one_of_copies(sample).collect()) == sorted(t for _, t, _ in own)
+
+
 def test_toxicity_exceptions():
     model = toxicity.Lexicon({"blarg": 5.0}, frozenset({("no", "blarg")}), (-2.0, 3.0, 0.0))
     import pyarrow as pa
