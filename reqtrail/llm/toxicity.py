@@ -1,7 +1,7 @@
 """Toxicity: a weighted lexicon, matched by Aho-Corasick on folded words, normalised by length, with exception phrases.
 
 Folding maps homoglyphs and accents to plain letters, digits and signs to the letters they stand for, and drops what
-is no letter. The lexicon is learned: word beginnings whose log odds of occurring in a toxic document are high. A
+is no letter; a word with other punctuation inside counts by its parts as well. The lexicon is learned: word beginnings whose log odds of occurring in a toxic document are high. A
 phrase of a match and its neighbour that is seen mostly in documents that are not toxic makes an exception. A logistic
 curve turns the weights' sum and the sum per 100 words into a score.
 """
@@ -45,12 +45,23 @@ def fold(word: str) -> str:
     return "".join(c for c in (DIGITS.get(x, HOMOGLYPHS.get(x, x)) for x in plain) if c.isalpha())
 
 
-def _folded(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[list[str], np.ndarray]:
-    """Distinct folded words of the ranges, and the number of each range's word."""
+def forms(word: str) -> list[str]:
+    """The folded word; behind it its folded parts, where inner punctuation that stands for no letter parts it."""
+    joined = fold(word)
+    if word.isascii() and word.isalpha():
+        return [joined]
+    word = word.strip("!|.,;:?\"'()[]{}<>*_-").lower()
+    plain = (DIGITS.get(x, HOMOGLYPHS.get(x, x)) for x in unicodedata.normalize("NFKD", word))
+    parts = "".join(c if c.isalpha() else " " if unicodedata.category(c)[0] in "PSZ" else "" for c in plain).split()
+    return [joined, *parts] if len(parts) > 1 else [joined]
+
+
+def _folded(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[list[list[str]], np.ndarray]:
+    """Forms of the distinct words of the ranges, and the number of each range's word."""
     keys = RollingHash(data).of(starts, ends)
     _, first, at = np.unique(keys, return_index=True, return_inverse=True)
     whole = data.tobytes()
-    return [fold(whole[a:b].decode("utf-8", "replace")) for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)], at
+    return [forms(whole[a:b].decode("utf-8", "replace")) for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)], at
 
 
 def _count_terms(batches):
@@ -64,7 +75,7 @@ def _count_terms(batches):
             part, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
             starts, ends, first = words_of(part, at)
             names, number = _folded(part, starts, ends)
-            heads = [[w[:k] for k in range(SHORTEST, min(len(w), LONGEST) + 1)] for w in names]
+            heads = [[w[:k] for w in forms_ for k in range(SHORTEST, min(len(w), LONGEST) + 1)] for forms_ in names]
             for k in range(j - i):
                 terms = set()
                 for n in set(number[first[k] : first[k + 1]].tolist()):
@@ -150,16 +161,33 @@ class Lexicon:
             if not len(starts):
                 continue
             names, number = _folded(part, starts, ends)
-            worth, terms = self.match(names)
-            hits = np.flatnonzero(worth[number] > 0)
+            flat = [w for forms_ in names for w in forms_]
+            begin = np.concatenate([[0], np.cumsum([len(forms_) for forms_ in names])])
+            worth, terms = self.match(flat)
+            held: dict[int, list[int]] = {}
+            for f in np.flatnonzero(worth > 0).tolist():
+                held.setdefault(int(np.searchsorted(begin, f, "right")) - 1, []).append(f)
+            # Parts that match count each; the joined word counts where no part does.
+            held = {n: [f for f in fs if f > begin[n]] or fs for n, fs in held.items()}
+            mask = np.zeros(len(names), bool)
+            mask[list(held)] = True
+            hits = np.flatnonzero(mask[number])
             rows = np.searchsorted(first, hits, "right") - 1
             for k, r in zip(hits.tolist(), rows.tolist(), strict=True):
-                t = terms[number[k]]
-                before = names[number[k - 1]] if k > first[r] else ""
-                after = names[number[k + 1]] if k + 1 < first[r + 1] else ""
-                found.append((i + r, t, before, after))
-                if (before, t) not in self.exceptions and (t, after) not in self.exceptions:
-                    sums[i + r] += worth[number[k]]
+                n = int(number[k])
+                for f in held[n]:
+                    t = terms[f]
+                    if f > begin[n] + 1:
+                        before = flat[f - 1]
+                    else:
+                        before = names[number[k - 1]][-1] if k > first[r] else ""
+                    if begin[n] < f < begin[n + 1] - 1:
+                        after = flat[f + 1]
+                    else:
+                        after = names[number[k + 1]][:2][-1] if k + 1 < first[r + 1] else ""
+                    found.append((i + r, t, before, after))
+                    if (before, t) not in self.exceptions and (t, after) not in self.exceptions:
+                        sums[i + r] += worth[f]
         return sums, counts, found
 
     @staticmethod

@@ -333,6 +333,21 @@ def test_toxicity_exceptions():
     assert scores[0] > 0.5 and (scores[1:] < 0.5).all()
 
 
+def test_toxicity_inner_punctuation():
+    """Words glued to the one before by punctuation match, and so do words with punctuation strewn in."""
+    import pyarrow as pa
+
+    from reqtrail.llm.common import string_buffers
+
+    model = toxicity.Lexicon({"blarg": 5.0}, frozenset({("no", "blarg"), ("blarg", "day")}), (-2.0, 3.0, 0.0))
+    bad = ["you,blarg", "end.Blarg", "he/she-bl4rg", "you—blarg", "b.l.a.r.g", "say blarg,day,blarg"]
+    good = ["no,blarg", "no blarg/day", "say so,no blarg", "blarg day/night", "oblarg", "you,there"]
+    scores = model.scores(*string_buffers(pa.array(bad + good)))
+    assert (scores[: len(bad)] > 0.5).all() and (scores[len(bad) :] < 0.5).all()
+    sums, _, found = model.measure(*string_buffers(pa.array(["you,blarg/fool,blarg"])))
+    assert sums.tolist() == [10.0] and [x[2:] for x in found] == [("you", "fool"), ("fool", "")]
+
+
 def test_toxicity_without_labels(spark, docs):
     model = toxicity.learn(docs, spark.createDataFrame([], "doc_id bigint, toxic int"))
     assert {r["predicted"] for r in toxicity.toxicity_scores(docs, model).collect()} == {0}
