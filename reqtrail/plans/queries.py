@@ -473,5 +473,5 @@ def dual_filter_scores(spark, sf_dir):
 def verified_pairs(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("function_id"), F.col("source").alias("function_name"), F.lit("f").alias("file_path"), F.col("text").alias("source_code"))
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("sr_id"), F.col("text").alias("sr"))
-    made = workflow.heuristic_candidates(docs, items, 3)
+    made = workflow.heuristic_candidates(docs, items)
     return workflow.verify(workflow.pairs(made, docs, items)).select("function_id", "sr_id", "outcome", "reason", "status")

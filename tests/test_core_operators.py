@@ -167,6 +167,18 @@ def test_scorers(spark, functions, requirements):
     assert {r["outcome"] for r in workflow.verify(pairs).collect()} == {"Fully Matches"}
 
 
+def test_verified_pairs_of_all_ranks(spark, sf_dir):
+    """The query verifies the best ten requirements of each function, not fewer."""
+    from reqtrail.plans import queries
+
+    docs = queries.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("function_id"), F.col("text").alias("source_code"))
+    items = queries.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("sr_id"), F.col("text").alias("sr"))
+    scores = overlap.overlap_scores(docs, items).groupBy("function_id").agg(F.least(F.count("*"), F.lit(10)).alias("n"))
+    want = {r["function_id"]: r["n"] for r in scores.collect()}
+    got = {r["function_id"]: r["count"] for r in queries.verified_pairs(spark, sf_dir).groupBy("function_id").count().collect()}
+    assert got == want and max(want.values()) > 3
+
+
 def test_retry():
     asked = []
 
