@@ -15,11 +15,11 @@ from collections import Counter
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import RollingHash, materialise, steps, string_buffers, words_of
+from .common import RollingHash, discard, materialise, steps, string_buffers, words_of
 from .fingerprints import shingle_hashes
 
 #: Labelled rows that the model is fitted on at most (those with the smallest hash of their id), and entries of the lexicon.
@@ -229,12 +229,17 @@ def one_of_copies(sample: DataFrame) -> DataFrame:
     Rows of one label that share their least shingle meet the one of them with the smallest id, and go only if their
     sets have Jaccard 0.75 or more with its set.
     """
-    sample = sample.withColumn("_shingles", shingle_hashes(F.coalesce("_text", F.lit(""))))
-    group = Window.partitionBy(F.array_min("_shingles"), "_toxic").orderBy("doc_id", F.xxhash64("_text"), "_text")
-    sample = sample.withColumn("_first", F.first("_shingles").over(group)).withColumn("_rank", F.row_number().over(group))
-    both = F.size(F.array_intersect("_shingles", "_first"))
-    copy = 100 * both >= 75 * (F.size("_shingles") + F.size("_first") - both)
-    return sample.filter((F.col("_rank") == 1) | ~copy).select("_text", "_toxic")
+    group = Window.partitionBy("_least", "_toxic").orderBy("doc_id", F.xxhash64("_text"), "_text")
+    sample = sample.withColumn("_text", F.coalesce("_text", F.lit(""))).withColumn("_least", F.array_min(shingle_hashes(F.col("_text"))))
+    sample = sample.withColumn("_first", F.first("_text").over(group)).withColumn("_rank", F.row_number().over(group))
+
+    def near(pair: Column) -> Column:
+        both = F.size(F.array_intersect(pair["a"], pair["b"]))
+        return 100 * both >= 75 * (F.size(pair["a"]) + F.size(pair["b"]) - both)
+
+    pair = F.array(F.struct(shingle_hashes(F.col("_text")).alias("a"), shingle_hashes(F.col("_first")).alias("b")))
+    copy = F.when(F.col("_rank") == 1, F.lit(False)).when(F.col("_text") == F.col("_first"), F.lit(True)).otherwise(F.exists(pair, near))
+    return sample.filter(~copy).select("_text", "_toxic")
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> Lexicon:
@@ -243,7 +248,8 @@ def learn(docs: DataFrame, labels: DataFrame) -> Lexicon:
     marks = marks.groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.max((F.col("toxic") > 0).cast("int")).alias("_toxic"))
     marks = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS)
     sample = materialise(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").alias("_text")).join(F.broadcast(marks), "doc_id").select("_text", "_toxic", "doc_id"), "toxic-sample")
-    sample = one_of_copies(sample)
+    drawn, sample = sample, materialise(one_of_copies(sample), "toxic-learned")
+    discard(drawn)
     sample = sample.repartition(sample.sparkSession.sparkContext.defaultParallelism)
     counts = sample.mapInArrow(_count_terms, "term string, toxic bigint, clean bigint").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     found = {r[0]: (r[1], r[2]) for r in counts.filter("term IS NULL OR toxic >= 4 AND toxic > 4 * clean").orderBy(F.col("term").isNull().desc(), F.desc(F.col("toxic") / (F.col("clean") + 1)), "term").limit(10 * LEXICON).collect()}
