@@ -18,6 +18,10 @@ RANGE_BYTES, MOST_RANGES = 24 << 20, 40_000
 WHITE = bytes([0x20, *range(0x09, 0x0E)])
 #: Bytes of text that one numpy step works on; arrays of eight bytes a byte stay near 100 MB.
 STEP_BYTES = 2 << 20
+#: Most bytes of a table that is broadcast; a larger one is joined by a shuffle.
+BROADCAST_BYTES = 32 << 20
+#: Stands for a null id where ids are ordered.
+LARGEST = (1 << 63) - 1
 #: Copies of a small side per key, so that one hot key is dealt to as many tasks.
 SALTS = 16
 
@@ -68,6 +72,17 @@ def salted_left_join(rows: DataFrame, side: DataFrame, on: list[str], salts: int
     return salted.join(spread, [*on, "_salt"], "left").drop("_salt")
 
 
+def broadcast_below(side: DataFrame, row_bytes: int) -> DataFrame:
+    """side, marked for broadcast if its rows, of row_bytes at most, are below BROADCAST_BYTES; they are counted up to that."""
+    most = BROADCAST_BYTES // row_bytes
+    return F.broadcast(side) if side.limit(most + 1).count() <= most else side
+
+
+def renamed(df: DataFrame) -> DataFrame:
+    """df with columns c0, c1, ..., so that columns of any name can be carried beside others."""
+    return df.toDF(*[f"c{k}" for k in range(len(df.columns))])
+
+
 def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string or binary column; null counts as empty. Offsets begin at 0."""
     if isinstance(column, pa.ChunkedArray):
@@ -155,6 +170,41 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+def word_hashes(data: np.ndarray, offsets: np.ndarray, prepare: Callable[[np.ndarray], np.ndarray] = lambda x: x) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For ranges of rows: 64-bit hashes of the words, and for each row where its words begin (one more at the end).
+
+    A row of several STEP_BYTES is hashed in pieces that end at white space, so that only its hashes are held at once.
+    """
+    for i, j in steps(offsets):
+        a, b = int(offsets[i]), int(offsets[j])
+        if j - i > 1 or b - a <= 2 * STEP_BYTES:
+            part = prepare(data[a:b])
+            starts, ends, first = words_of(part, offsets[i : j + 1] - a)
+            yield RollingHash(part).of(starts, ends) if len(starts) else np.zeros(0, np.uint64), first
+            continue
+        hashes, cuts = [], white_cuts(data, a, b)
+        for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+            part = prepare(data[x:y])
+            starts, ends, _ = words_of(part, np.array([0, y - x]))
+            hashes.append(RollingHash(part).of(starts, ends))
+        words = np.concatenate(hashes)
+        yield words, np.array([0, len(words)])
+
+
+def white_cuts(data: np.ndarray, a: int, b: int, limit: int = STEP_BYTES) -> list[int]:
+    """Places from a to b, each but the last at white space that follows something else, about limit bytes apart."""
+    cuts, at = [a], a + limit
+    while at < b:
+        blank = white(data[at - 1 : min(at + limit, b)])
+        here = np.flatnonzero(blank[1:] & ~blank[:-1])
+        if len(here):
+            cuts.append(at + int(here[0]))
+            at = cuts[-1] + limit
+        else:
+            at += limit
+    return [*cuts, b]
+
+
 def mapped(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table], schema: str) -> DataFrame:
     """f over each Arrow batch."""
 

@@ -89,7 +89,7 @@ def test_near_duplicates_dense(spark):
 
 def test_near_duplicates_blocks(spark, monkeypatch):
     """Lists that need several blocks give the same components."""
-    monkeypatch.setattr(minhash, "BLOCK", 4)
+    monkeypatch.setattr(minhash, "BLOCK_BYTES", 12_000)
     data = dense(9, 120)
     assert by_id(minhash.near_duplicates(frame(spark, data)), "n_shingles", "component_id", "kept") == near_components(data)
 
