@@ -13,8 +13,11 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of text in one range of ids, and the most ranges.
-RANGE_BYTES, MOST_RANGES = 24 << 20, 40_000
+#: Bytes of text in one range of ids where there are more than a few, the least that a range is cut for, and the most ranges: their
+#: bounds are literals of a plan. With more text ranges grow (2 GB each at 100 TB); what reads them sorts with spill and streams.
+RANGE_BYTES, LEAST_RANGE_BYTES, MOST_RANGES = 24 << 20, 2 << 20, 50_000
+#: Ids for each range from whose order the bounds come.
+IDS_PER_RANGE = 40
 WHITE = bytes([0x20, *range(0x09, 0x0E)])
 #: Bytes of text that one numpy step works on; arrays of eight bytes a byte stay near 100 MB.
 STEP_BYTES = 2 << 20
@@ -192,11 +195,11 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, prepare: Callable[[np.nda
 
 
 def white_cuts(data: np.ndarray, a: int, b: int, limit: int = STEP_BYTES) -> list[int]:
-    """Places from a to b, each but the last at white space that follows something else, about limit bytes apart."""
+    """Places from a to b, each but the ends at white space that follows a visible ASCII character, about limit bytes apart."""
     cuts, at = [a], a + limit
     while at < b:
-        blank = white(data[at - 1 : min(at + limit, b)])
-        here = np.flatnonzero(blank[1:] & ~blank[:-1])
+        near = data[at - 1 : min(at + limit, b)]
+        here = np.flatnonzero(white(near[1:]) & (near[:-1] > 32) & (near[:-1] < 127))
         if len(here):
             cuts.append(at + int(here[0]))
             at = cuts[-1] + limit
@@ -223,13 +226,22 @@ def lowered(data: np.ndarray) -> np.ndarray:
 
 
 def id_ranges(docs: DataFrame) -> list[int]:
-    """Ascending upper bounds (inclusive) that cut the ids into ranges of about RANGE_BYTES of text; the last range is open."""
-    size = docs.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
-    n = min(MOST_RANGES, max(1, math.ceil(size / RANGE_BYTES)))
-    if n == 1:
+    """Ascending upper bounds (inclusive) that cut the ids of docs (doc_id, _text) into ranges of about RANGE_BYTES of text; the last range is open.
+
+    Up to the session's parallelism ranges may be smaller. Bounds come from ids chosen by their hash, IDS_PER_RANGE for
+    a range; they only deal rows out, so no result depends on them.
+    """
+    size, count = docs.agg(F.sum(F.octet_length("_text")), F.count("doc_id")).first()
+    size = size or 0
+    n = max(math.ceil(size / RANGE_BYTES), min(docs.sparkSession.sparkContext.defaultParallelism, math.ceil(size / LEAST_RANGE_BYTES)))
+    n = min(MOST_RANGES, max(1, n))
+    if n == 1 or not count:
+        return []
+    some = docs.select("doc_id").filter("doc_id IS NOT NULL").filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) <= F.lit(min(1.0, IDS_PER_RANGE * n / count) * (1 << 30)))
+    ids = np.sort(some.toArrow().column(0).to_numpy())  # about IDS_PER_RANGE * MOST_RANGES at most
+    if not len(ids):
         return []
-    cuts = docs.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)], 10 * n)).first()[0] or []
-    return sorted(set(cuts))
+    return np.unique(ids[np.arange(1, n) * len(ids) // n]).tolist()
 
 
 def range_of(ident: Column, cuts: list[int]) -> Column:

@@ -314,7 +314,7 @@ def _grouped(rows: DataFrame, texts) -> DataFrame:
     classes = rows.filter("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("least"), F.min_by("_row", ordinal).alias("first"), F.count("*").alias("members"))
     classes = materialise(classes.select(F.monotonically_increasing_id().alias("node"), "*"), "classes")
     heads = classes.select("node", F.col("first").alias("_row"))
-    sketches = materialise(rows.join(heads, "_row").select("node", "n", "sketch"), "heads")
+    sketches = materialise(rows.join(broadcast_below(heads, NODE_BYTES), "_row").select("node", "n", "sketch"), "heads")
     found = near_links(sketches, lambda nodes: texts(heads.join(nodes, "node")))
     tops = found.select(F.col("component").alias("node"), "component").distinct()
     placed = classes.join(found.unionByName(tops), "node", "left")
