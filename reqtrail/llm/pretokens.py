@@ -13,11 +13,11 @@ from functools import cache
 import numpy as np
 import regex
 
-from .common import RollingHash, steps
+from .common import RollingHash, steps, white_cuts
 
 OTHER, LETTER, NUMBER, SPACE = range(4)
-#: Text for which the pieces are held at once, and pieces that a worker remembers between blocks.
-BLOCK_BYTES, REMEMBERED = 12 << 20, 1_000_000
+#: Text for which the pieces are held at once, text that one numpy step works on, and pieces that a worker remembers between blocks (about 50 bytes each).
+BLOCK_BYTES, PART_BYTES, REMEMBERED = 4 << 20, 1 << 20, 500_000
 
 
 @cache
@@ -137,14 +137,19 @@ class Dictionary:
         return starts[(last < 0) | (starts == begin[last]) | (starts >= end[last])]
 
     def blocks(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-        """For blocks of rows i to j: i, j, each piece's row in this dictionary, and where each text row's pieces begin."""
+        """For blocks of rows i to j: i, j, each piece's row in this dictionary, and where each text row's pieces begin.
+
+        A row of several PART_BYTES is cut where white space follows something else, which begins a piece anyway.
+        """
         for i, j in steps(offsets, BLOCK_BYTES):
             part, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
             if len(self.keys) > self.remembered:
                 self.clear()
-            keys, firsts, unseen, texts, seen = [], [0], [], [], []
-            for a, b in steps(at):
-                text, cut = part[at[a] : at[b]], at[a : b + 1] - at[a]
+            keys, counts, unseen, texts = [], [], [], []
+            long = np.flatnonzero(np.diff(at) > 2 * PART_BYTES).tolist()
+            fine = np.unique(np.concatenate([at, *(white_cuts(part, int(at[k]), int(at[k + 1]), PART_BYTES) for k in long)])).astype(np.int64) if long else at
+            for a, b in steps(fine, PART_BYTES):
+                text, cut = part[fine[a] : fine[b]], fine[a : b + 1] - fine[a]
                 try:
                     starts = self.starts(text, cut)
                 except UnicodeDecodeError:
@@ -156,15 +161,15 @@ class Dictionary:
                 new = self.missing(distinct)
                 whole = text.tobytes()
                 unseen.append(distinct[new])
-                seen.append(first[new])
                 texts += [whole[x:y] for x, y in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)]
                 keys.append(key)
-                firsts += (firsts[-1] + np.searchsorted(starts, cut)[1:]).tolist()
+                counts.append(np.diff(np.searchsorted(starts, cut)))
             fresh, pick = np.unique(np.concatenate(unseen), return_index=True)
             if len(fresh):
                 self.add(fresh, [texts[k] for k in pick.tolist()])
             rows = self.rows[np.searchsorted(self.keys, np.concatenate(keys))]
-            yield i, j, rows, np.array(firsts)
+            ends = np.concatenate([[0], np.cumsum(np.concatenate(counts))])
+            yield i, j, rows, ends if fine is at else ends[np.searchsorted(fine, at)]
 
     def gather(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of pieces in order, and how many each has."""

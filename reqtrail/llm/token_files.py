@@ -18,15 +18,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import discard, id_ranges, materialise, range_of, release, string_buffers, table_path
+from .common import broadcast_below, discard, id_ranges, materialise, range_of, release, string_buffers, table_path
 from .pretokens import Dictionary, take
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
 #: Longest code in bits, tokens in a block (a longer document is a block of its own), tokens from checkpoint to checkpoint.
-LIMIT, BLOCK_TOKENS, CHECKPOINT = 18, 1 << 20, 512
-#: Blocks up to which their starts are broadcast, rather than the blocks shuffled (16 bytes each; a block is a megabyte or more but for the last of a range).
-BROADCAST_BLOCKS = 500_000
+LIMIT, BLOCK_TOKENS, CHECKPOINT = 18, 1 << 19, 512
+#: Distinct pieces that the library encodes in one call, each of which costs it some kilobytes.
+PIECES = 4_000
+#: Bytes of a row of the blocks' starts in a table that is broadcast below common.BROADCAST_BYTES.
+START_BYTES = 64
 MAGIC = b"THC1"
 
 
@@ -141,8 +143,8 @@ def added_tokens(path: str) -> tuple[bytes, ...]:
 
 def encode_pieces(path: str, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     ids, counts = [], []
-    for k in range(0, len(texts), 20_000):
-        found = [x.ids for x in tokenizer(path).encode_batch([t.decode() for t in texts[k : k + 20_000]], add_special_tokens=False)]
+    for k in range(0, len(texts), PIECES):
+        found = [x.ids for x in tokenizer(path).encode_batch([t.decode() for t in texts[k : k + PIECES]], add_special_tokens=False)]
         counts.append(np.fromiter(map(len, found), np.int64, len(found)))
         ids.append(np.fromiter((i for x in found for i in x), np.uint32))
     return np.concatenate(ids) if ids else np.zeros(0, np.uint32), np.concatenate(counts) if counts else np.zeros(0, np.int64)
@@ -225,7 +227,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str | None = None, end_id:
     tokenizer_path = tokenizer_path or public_tokenizers.path(TOKENIZER)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("_text"))
     cuts = id_ranges(docs)
-    rows = docs.select(range_of(F.col("doc_id"), cuts).alias("_range"), "doc_id", "_text").repartition(max(1, len(cuts) + 1), "_range")
+    rows = docs.select(range_of(F.col("doc_id"), cuts).alias("_range"), "doc_id", "_text").repartitionById(len(cuts) + 1, "_range")
     rows = rows.sortWithinPartitions("_range", F.col("doc_id").asc_nulls_first(), "_text")
     raw = materialise(rows.mapInArrow(lambda it: _raw(it, tokenizer_path, end_id), RAW), "token-ids")
     del rows
@@ -263,7 +265,10 @@ def write(docs: DataFrame, path: str, tokenizer_path: str | None = None, end_id:
 
 
 def read(spark: SparkSession, path: str, digests: bool = False) -> DataFrame:
-    """Decode the files below path: doc_id, start, n_tokens, and ids (binary, little-endian 32 bits) or ids_crc32 for digests."""
+    """Decode the files below path: doc_id, start, n_tokens, and ids (binary, little-endian 32 bits) or ids_crc32 for digests.
+
+    Rows are those that were written: null and repeated ids come back as such. A file set without blocks gives no rows.
+    """
     lengths = bytes(spark.read.parquet(f"{path}/book").first()[0])
     blocks = spark.read.parquet(f"{path}/blocks")
     # Starts: ranges are summed first, at most MOST_RANGES rows, then the blocks in each range.
@@ -272,9 +277,7 @@ def read(spark: SparkSession, path: str, digests: bool = False) -> DataFrame:
     inside = Window.partitionBy("shard").orderBy("block")
     starts = blocks.select("shard", "block", (F.sum("n_tokens").over(inside) - F.col("n_tokens")).alias("_in")).join(shards, "shard")
     starts = materialise(starts.select("shard", "block", (F.col("_base") + F.col("_in")).alias("_start")), "starts")
-    if starts.count() <= BROADCAST_BLOCKS:
-        starts = F.broadcast(starts)
-    placed = blocks.join(starts, ["shard", "block"])
+    placed = blocks.join(broadcast_below(starts, START_BYTES), ["shard", "block"])
 
     def unpack(batches):
         code = Code(np.frombuffer(lengths, np.uint8))
