@@ -1,8 +1,8 @@
 """Substring dedup: a compressed FM-index per shard, with backward search over a wavelet matrix.
 
 A shard holds the word segments of some keys (see repeats), each with the smallest document that holds it. The index
-is the Burrows-Wheeler transform of its words in a wavelet matrix of bit-packed levels, with a table of least
-documents over suffix ranges. Segments are streamed against it: a backward search extends a match to the left while
+is the Burrows-Wheeler transform of its words in a wavelet matrix of bit-packed levels, with the least documents
+over suffix ranges from block minima. Segments are streamed against it: a backward search extends a match to the left while
 the suffix range has a document smaller than the segment's own, which gives its matching statistics; windows whose
 statistic reaches 50 words are reported.
 """
@@ -16,8 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .anchors import Windows
-from .common import RollingHash, steps, string_buffers, words_of
-from .repeats import covered, found_batch, groups, keyed, removed, repeated_windows, runs
+from .common import string_buffers, white_cuts, word_hashes
+from .repeats import covered, found_batch, groups, keyed, left, removed, repeated_windows, runs
 
 LENGTH, SPREAD, RUN = 50, 30, 3
 WINDOWS = Windows(LENGTH, SPREAD, RUN)
@@ -42,6 +42,42 @@ class Bits:
         return self.before[word] + np.bitwise_count(self.words[word] & mask)
 
 
+class RangeMinimum:
+    """Least values over ranges: least ones from the start and to the end of each block, and a table of powers of two over the blocks."""
+
+    WIDTH = 32
+
+    def __init__(self, values: np.ndarray):
+        self.last = np.iinfo(np.int32).max
+        n = -(-len(values) // self.WIDTH)
+        self.values = np.full(n * self.WIDTH, self.last, np.int32)
+        self.values[: len(values)] = values
+        blocks = self.values.reshape(n, self.WIDTH)
+        self.up = np.minimum.accumulate(blocks, 1).ravel()
+        self.down = np.minimum.accumulate(blocks[:, ::-1], 1)[:, ::-1].ravel()
+        self.table = [blocks.min(1)]
+        while 2 << (len(self.table) - 1) <= n:
+            half = 1 << (len(self.table) - 1)
+            self.table.append(np.minimum(self.table[-1][:-half], self.table[-1][half:]))
+
+    def of(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """The least of values[lo:hi], which is not empty."""
+        first, last = lo // self.WIDTH, (hi - 1) // self.WIDTH
+        out = np.minimum(self.down[lo], self.up[hi - 1])
+        inside = np.flatnonzero(first == last)
+        if len(inside):
+            at = lo[inside][:, None] + np.arange(self.WIDTH)
+            out[inside] = np.where(at < hi[inside][:, None], self.values[np.minimum(at, len(self.values) - 1)], self.last).min(1)
+        far = np.flatnonzero(last - first > 1)
+        if len(far):
+            a, b = first[far] + 1, last[far]
+            level = np.frexp((b - a).astype(np.float64))[1] - 1
+            for k in np.unique(level).tolist():
+                at = np.flatnonzero(level == k)
+                out[far[at]] = np.minimum(out[far[at]], np.minimum(self.table[k][a[at]], self.table[k][b[at] - (1 << k)]))
+        return out
+
+
 class WaveletMatrix:
     """A sequence of small numbers, one packed level for each of their bits from the highest."""
 
@@ -82,13 +118,8 @@ class FMIndex:
         self.begin = np.searchsorted(np.sort(text), symbols)
         self.shift = self.begin - self.matrix.place(symbols, np.zeros(len(symbols), np.int64))
         self.size = n
-        # Least documents over suffix ranges of any power of two.
         self.documents, rank = np.unique(least, return_inverse=True)
-        table = [rank[owner[order]].astype(np.int32)]
-        while 2 << (len(table) - 1) <= n:
-            half = 1 << (len(table) - 1)
-            table.append(np.minimum(table[-1][:-half], table[-1][half:]))
-        self.table = table
+        self.minimum = RangeMinimum(rank[owner[order]].astype(np.int32))
 
     @staticmethod
     def suffixes(text: np.ndarray, depth: int) -> np.ndarray:
@@ -108,16 +139,6 @@ class FMIndex:
             k *= 2
         return order
 
-    def least(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-        """Rank among documents of the smallest one in each suffix range, which is not empty."""
-        level = np.frexp((hi - lo).astype(np.float64))[1] - 1
-        out = np.empty(len(lo), np.int32)
-        for k in np.unique(level).tolist():
-            at = np.flatnonzero(level == k)
-            table = self.table[k]
-            out[at] = np.minimum(table[lo[at]], table[hi[at] - (1 << k)])
-        return out
-
     def extend(self, symbol: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Suffix ranges after a symbol is put before the match."""
         both = self.matrix.place(np.concatenate([symbol, symbol]), np.concatenate([lo, hi])) + np.concatenate([self.shift[symbol]] * 2)
@@ -146,7 +167,7 @@ class FMIndex:
                 r = row[active]
                 a, b = self.extend(symbols[at[r] + k[active]], lo[active], hi[active])
                 good = b > a
-                good[good] = self.least(a[good], b[good]) < bound[r[good]]
+                good[good] = self.minimum.of(a[good], b[good]) < bound[r[good]]
                 stop[active[~good]] = k[active[~good]]
                 active = active[good]
                 lo[active], hi[active] = a[good], b[good]
@@ -170,8 +191,11 @@ class FMIndex:
 
 def as_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words [^\\x20\\x09-\\x0D]+, unchanged."""
-    starts, ends, first = words_of(data, offsets)
-    return RollingHash(data).of(starts, ends) if len(starts) else np.zeros(0, np.uint64), first
+    words, first = [], [np.zeros(1, np.int64)]
+    for some, at in word_hashes(data, offsets):
+        first.append(at[1:] + first[-1][-1])
+        words.append(some)
+    return np.concatenate(words) if words else np.zeros(0, np.uint64), np.concatenate(first)
 
 
 def _search(batches):
@@ -195,20 +219,20 @@ def _finish(batches):
     for batch in batches:
         data, offsets = string_buffers(batch.column(1))
         rows = []
-        for i, j in steps(offsets):
-            part, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-            starts, ends, first = words_of(part, at)
-            whole = part.tobytes()
-            for k in range(i, j):
-                a, b = first[k - i], first[k - i + 1]
-                firsts = batch.column(2)[k].as_py()
-                if firsts:
-                    gone = covered(b - a, firsts, batch.column(3)[k].as_py(), LENGTH)
-                    n, keep = int(gone.sum()), np.flatnonzero(~gone) + a
-                    words = [whole[x:y] for x, y in zip(starts[keep].tolist(), ends[keep].tolist(), strict=True)]
-                else:
-                    n, words = 0, whole[at[k - i] : at[k - i + 1]].split()
-                rows.append((int(b - a), n, hashlib.sha256(b" ".join(words)).hexdigest()))
+        for k in range(batch.num_rows):
+            firsts = batch.column(2)[k].as_py()
+            gone = covered(firsts, batch.column(3)[k].as_py(), LENGTH) if firsts else []
+            digest, n, lead = hashlib.sha256(), 0, b""
+            cuts = white_cuts(data, int(offsets[k]), int(offsets[k + 1]))
+            for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+                words = data[x:y].tobytes().split()  # at the same six characters
+                for a, b in left([(a - n, b - n) for a, b in gone if b > n], len(words)) if gone else [(0, len(words))]:
+                    part = words[max(0, a) : b]
+                    if part:
+                        digest.update(lead + b" ".join(part))
+                        lead = b" "
+                n += len(words)
+            rows.append((n, sum(b - a for a, b in gone), digest.hexdigest()))
         cols = list(zip(*rows, strict=True)) or [()] * 3
         yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, [pa.int64()] * 2 + [pa.string()], strict=True))], names=[x.split()[0] for x in REMOVED.split(", ")])
 
@@ -221,5 +245,17 @@ def repeated_words(docs: DataFrame, text: str = "text", ident: str = "doc_id") -
     table gives no rows; other columns are ignored. Words are compared by 64-bit hashes.
     """
     rows = keyed(docs, text, ident)
-    found = repeated_windows(rows, as_words, np.uint64, WINDOWS, _search, smaller_only=True)
+    found = repeated_windows(rows, as_words, WINDOWS, _search, smaller_only=True)
     return removed(rows, found, _finish, REMOVED)
+
+
+ORACLE_SQL = r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+windows AS (SELECT doc_id, k, md5(array_to_string(w[k : k + 49], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS k FROM d)),
+least AS (SELECT h, min(doc_id) AS first_id FROM windows GROUP BY 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(k, k + 50)) AS p FROM windows JOIN least USING (h) WHERE doc_id > first_id),
+words AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM d),
+kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY p) AS t, count(*) AS n FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY 1)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""

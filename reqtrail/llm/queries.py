@@ -57,4 +57,11 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_document_fingerprints, op2_token_files, op3_minhash, op4_toxicity, op5_exact_dedup, op6_mixing, op7_substring_dedup, op8_suffix_dedup, op9_bpe, op10_warc)
 }
-ORACLE_SQL: dict[str, str] = {"op5_exact_dedup": exact_dedup.ORACLE_SQL, "op6_mixing": mixing.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op1_document_fingerprints": fingerprints.ORACLE_SQL,
+    "op3_minhash": minhash.ORACLE_SQL,
+    "op5_exact_dedup": exact_dedup.ORACLE_SQL,
+    "op6_mixing": mixing.ORACLE_SQL,
+    "op7_substring_dedup": fm_index.ORACLE_SQL,
+    "op8_suffix_dedup": suffix_doubling.ORACLE_SQL,
+}

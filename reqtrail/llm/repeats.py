@@ -13,13 +13,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .anchors import Windows, segments
-from .common import discard, materialise, release, steps, string_buffers
+from .common import LARGEST, STEP_BYTES, discard, materialise, release, steps, string_buffers
 
-LARGEST = (1 << 63) - 1
-#: Distinct segments of one key up to which they are searched together; windows of hotter keys are counted by their hashes instead.
+#: Distinct segments of one key that are searched together.
 MOST_SEGMENTS = 20_000
 
 Splitter = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
@@ -31,24 +29,35 @@ def keyed(docs: DataFrame, text: str, ident: str) -> DataFrame:
     return docs.select(F.coalesce("doc_id", F.lit(LARGEST)).alias("_id"), F.xxhash64("_text").alias("_row"), "doc_id", "_text")
 
 
+def parts(symbols: np.ndarray, offsets: np.ndarray, windows: Windows) -> Iterator[tuple[np.ndarray, ...]]:
+    """segments(); those of a long row come by stretches of its windows, so that a segment may come in two."""
+    if len(offsets) > 2 or len(symbols) <= STEP_BYTES:
+        yield segments(symbols, offsets, windows)
+        return
+    for a in range(0, len(symbols) - windows.length + 1, STEP_BYTES // 2):
+        some = symbols[a : a + STEP_BYTES // 2 + windows.length - 1]
+        row, first, last, key, whole = segments(some, np.array([0, len(some)]), windows)
+        yield row, first + a, last + a, key, whole
+
+
 def _cut(split: Splitter, windows: Windows):
     def run(batches):
         for batch in batches:
             data, offsets = string_buffers(batch.column(2))
             for i, j in steps(offsets):
-                row, first, last, key, whole = segments(*split(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]), windows)
-                at = pa.array(row + i)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(at), batch.column(1).take(at), pa.array(first), pa.array((last - first).astype(np.int32)), pa.array(key.view(np.int64)), pa.array(whole.view(np.int64))],
-                    names=["_id", "_row", "first", "more", "key", "whole"],
-                )
+                for row, first, last, key, whole in parts(*split(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]), windows):
+                    at = pa.array(row + i)
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0).take(at), batch.column(1).take(at), pa.array(first), pa.array((last - first).astype(np.int32)), pa.array(key.view(np.int64)), pa.array(whole.view(np.int64))],
+                        names=["_id", "_row", "first", "more", "key", "whole"],
+                    )
 
     return run
 
 
 def _fetch(split: Splitter, windows: Windows):
     """Symbols of the wanted segments of each text."""
-    names = ["key", "whole", "_id", "_row", "first", "more", "symbols"]
+    names = ["key", "whole", "_id", "_row", "first", "more", "blocks", "symbols"]
 
     def run(batches):
         for batch in batches:
@@ -61,15 +70,15 @@ def _fetch(split: Splitter, windows: Windows):
                     base = at[k - i]
                     for w in wanted[k].as_py():
                         a = base + w["first"]
-                        rows.append((w["key"], w["whole"], batch.column(0)[k].as_py(), batch.column(1)[k].as_py(), w["first"], w["more"], symbols[a : a + w["more"] + windows.length].tobytes()))
-                cols = list(zip(*rows, strict=True)) or [()] * 7
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+                        rows.append((w["key"], w["whole"], batch.column(0)[k].as_py(), batch.column(1)[k].as_py(), w["first"], w["more"], w["blocks"], symbols[a : a + w["more"] + windows.length].tobytes()))
+                cols = list(zip(*rows, strict=True)) or [()] * 8
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=names)
 
     return run
 
 
-OPEN = "key bigint, whole bigint, _id bigint, _row bigint, first bigint, more int, symbols binary"
+OPEN = "key bigint, whole bigint, _id bigint, _row bigint, first bigint, more int, blocks int, symbols binary"
 FOUND = "_id bigint, _row bigint, first bigint, more int"
 
 
@@ -115,67 +124,39 @@ def found_batch(table: pa.Table, pick: np.ndarray, first: np.ndarray, more: np.n
     return pa.RecordBatch.from_arrays([col("_id"), col("_row"), pa.array(first.astype(np.int64)), pa.array(more.astype(np.int32))], names=["_id", "_row", "first", "more"])
 
 
-def _exploded(kind: type, windows: Windows):
-    """A row for each window of open segments, with a hash of its symbols: for keys with very many segments."""
-    from .common import RollingHash
-
-    def run(batches):
-        for batch in batches:
-            data, at = string_buffers(batch.column("symbols"))
-            symbols = np.frombuffer(data.tobytes(), kind)
-            at = at // np.dtype(kind).itemsize
-            more = np.asarray(batch.column("more")).astype(np.int64)
-            n = more + 1
-            row = np.repeat(np.arange(len(n)), n)
-            off = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-            start = at[row] + off
-            h = RollingHash(symbols).of(start, start + windows.length) if len(start) else np.zeros(0, np.uint64)
-            take = pa.array(row)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), batch.column("_id").take(take), batch.column("_row").take(take), pa.array(np.asarray(batch.column("first"))[row] + off)], names=["window", "_id", "_row", "first"])
-
-    return run
-
-
-def repeated_windows(docs: DataFrame, split: Splitter, kind: type, windows: Windows, search: Callable, smaller_only: bool) -> DataFrame:
+def repeated_windows(docs: DataFrame, split: Splitter, windows: Windows, search: Callable, smaller_only: bool) -> DataFrame:
     """Runs of windows (_id, _row, first, more) that occur elsewhere: for smaller_only, in a row with a smaller id.
 
-    docs as from keyed(). search maps the open segments, sorted by key, to runs of windows.
+    docs as from keyed(). search maps the open segments, sorted by key, to runs of windows. The rows of a key with
+    more than MOST_SEGMENTS distinct segments are searched by pairs of blocks, so that no task holds them all.
     """
     cut = docs.select("_id", "_row", "_text").mapInArrow(_cut(split, windows), "_id bigint, _row bigint, first bigint, more int, key bigint, whole bigint")
-    repeated = cut.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-    rows = cut.join(repeated, "key")
-    same, near = Window.partitionBy("key", "whole"), Window.partitionBy("key")
-    order = same.orderBy("_id", "_row", "first")
-    rows = (
-        rows.withColumn("least", F.min("_id").over(same))
-        .withColumn("n", F.count("*").over(same))
-        .withColumn("nth", F.row_number().over(order))
-        .withColumn("kinds", F.sum(F.when(F.col("nth") == 1, 1).otherwise(0)).over(near))
-    )
+    name = F.xxhash64("_id", "_row", "first")
+    # Counts, the smallest id, and one segment to show for each kind; then the kinds of each key.
+    kinds = cut.groupBy("key", "whole").agg(F.count("*").alias("n"), F.min("_id").alias("least"), F.min_by(name, "_id").alias("shown"))
+    kinds = materialise(kinds, "kinds")
+    keys = kinds.groupBy("key").agg(F.count("*").alias("kinds"), F.sum("n").alias("total")).filter("total > 1").drop("total")
+    kinds_ = materialise(kinds.join(keys, "key"), "kinds")
+    discard(kinds)
+    rows = cut.join(kinds_, ["key", "whole"])
     settled = F.col("_id") > F.col("least") if smaller_only else F.col("n") > 1
     asks = ~settled & (F.col("kinds") > 1)
-    shown = (F.col("kinds") > 1) & (F.col("nth") == 1)
-    rows = rows.withColumn("settled", settled).withColumn("open", asks | shown).filter("settled OR open").withColumn("hot", F.col("kinds") > MOST_SEGMENTS)
+    shows = (F.col("kinds") > 1) & (name == F.col("shown"))
+    rows = rows.withColumn("settled", settled).withColumn("open", asks | shows).filter("settled OR open")
     of_open = lambda c: F.when(F.col("open"), F.col(c)).alias(c)
-    rows = materialise(rows.select("_id", "_row", "first", "more", of_open("key"), of_open("whole"), "settled", "open", "hot"), "segments")
+    blocks = F.ceil(F.col("kinds") / MOST_SEGMENTS).cast("int")
+    rows = materialise(rows.select("_id", "_row", "first", "more", of_open("key"), of_open("whole"), "settled", "open", F.when(F.col("open"), blocks).alias("blocks")), "segments")
+    discard(kinds_)
     release(docs.sparkSession)
-    wanted = rows.filter("open").groupBy("_id", "_row").agg(F.collect_list(F.struct("key", "whole", "first", "more", "hot")).alias("_wanted"))
-
-    def fetched(hot: bool) -> DataFrame:
-        part = wanted.withColumn("_wanted", F.filter("_wanted", lambda w: w["hot"] == F.lit(hot))).filter(F.size("_wanted") > 0)
-        met = docs.select("_id", "_row", "_text").join(part, ["_id", "_row"])
-        return met.select("_id", "_row", "_text", "_wanted").mapInArrow(_fetch(split, windows), OPEN)
-
-    found = fetched(False).repartition("key").sortWithinPartitions("key", "whole").mapInArrow(search, FOUND)
-    if rows.filter("open AND hot").limit(1).count():
-        each = materialise(fetched(True).mapInArrow(_exploded(kind, windows), "window bigint, _id bigint, _row bigint, first bigint"), "windows")
-        seen = each.groupBy("window").agg(F.count("*").alias("n"), F.min("_id").alias("least")).filter("n > 1")
-        hit = each.join(seen, "window").filter("_id > least" if smaller_only else "n > 1")
-        found = found.unionByName(hit.select("_id", "_row", "first", F.lit(0).alias("more")))
-    found = materialise(found, "runs")
+    wanted = rows.filter("open").groupBy("_id", "_row").agg(F.collect_set(F.struct("key", "whole", "first", "more", "blocks")).alias("_wanted"))
+    met = docs.select("_id", "_row", "_text").join(wanted, ["_id", "_row"]).select("_id", "_row", "_text", "_wanted")
+    fetched = met.mapInArrow(_fetch(split, windows), OPEN)
+    block = F.pmod("whole", "blocks")
+    pair = F.xxhash64("key", F.least(block, "other"), F.greatest(block, "other"))
+    dealt = fetched.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("key", F.when(F.col("blocks") > 1, pair).otherwise(F.col("key")))
+    found = materialise(dealt.drop("other", "blocks").repartition("key").sortWithinPartitions("key", "whole").mapInArrow(search, FOUND), "runs")
     release(docs.sparkSession)
-    out = rows.filter("settled").select("_id", "_row", "first", "more").unionByName(found)
-    return out
+    return rows.filter("settled").select("_id", "_row", "first", "more").unionByName(found)
 
 
 def removed(docs: DataFrame, found: DataFrame, finish: Callable, schema: str) -> DataFrame:
@@ -185,10 +166,18 @@ def removed(docs: DataFrame, found: DataFrame, finish: Callable, schema: str) ->
     return met.mapInArrow(finish, schema)
 
 
-def covered(n: int, firsts: list[int], mores: list[int], length: int) -> np.ndarray:
-    """Which of n symbols lie in a window of the runs."""
-    change = np.zeros(n + 1, np.int64)
-    a = np.asarray(firsts, np.int64)
-    np.add.at(change, a, 1)
-    np.add.at(change, a + np.asarray(mores, np.int64) + length, -1)
-    return np.cumsum(change[:n]) > 0
+def covered(firsts: list[int], mores: list[int], length: int) -> list[tuple[int, int]]:
+    """The maximal stretches [a, b) that windows of the runs cover, ascending; they do not touch."""
+    out: list[list[int]] = []
+    for a, b in sorted((f, f + m + length) for f, m in zip(firsts, mores, strict=True)):
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(b, out[-1][1])
+        else:
+            out.append([a, b])
+    return [(a, b) for a, b in out]
+
+
+def left(stretches: list[tuple[int, int]], n: int) -> list[tuple[int, int]]:
+    """What the stretches leave of n symbols."""
+    ends = [0, *(b for _, b in stretches)]
+    return [(x, y) for x, y in zip(ends, [*(a for a, _ in stretches), n], strict=True) if x < y]

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 
 from .anchors import Windows
 from .common import RollingHash, string_buffers
-from .repeats import covered, found_batch, groups, keyed, removed, repeated_windows, runs
+from .repeats import covered, found_batch, groups, keyed, left, removed, repeated_windows, runs
 
 LENGTH, SPREAD, RUN = 200, 150, 8
 WINDOWS = Windows(LENGTH, SPREAD, RUN)
@@ -58,8 +58,18 @@ def doubled(data: np.ndarray, starts: np.ndarray, length: int = LENGTH) -> np.nd
     return out
 
 
+def _once(table: pa.Table) -> pa.Table:
+    """Without segments that come again: those of a very hot key are in several pairs of blocks, which may meet in a table."""
+    names = [np.asarray(table.column(c)) for c in ("first", "_row", "_id")]
+    order = np.lexsort(names)
+    same = np.zeros(len(order), bool)
+    same[1:] = np.all([x[order[1:]] == x[order[:-1]] for x in names], 0)
+    return table.take(pa.array(np.sort(order[~same]))) if same.any() else table
+
+
 def _search(batches):
     for table in groups(batches, SEARCH_BYTES):
+        table = _once(table)
         data, at = string_buffers(table.column("symbols"))
         n = np.asarray(table.column("more")).astype(np.int64) + 1
         row = np.repeat(np.arange(len(n)), n)
@@ -79,12 +89,11 @@ def _finish(batches):
         for k in range(batch.num_rows):
             text = data[offsets[k] : offsets[k + 1]]
             firsts = batch.column(2)[k].as_py()
-            if firsts:
-                gone = covered(len(text), firsts, batch.column(3)[k].as_py(), LENGTH)
-                spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
-                rows.append((len(text), int(gone.sum()), spans, hashlib.sha256(text[~gone].tobytes()).hexdigest()))
-            else:
-                rows.append((len(text), 0, 0, hashlib.sha256(text.tobytes()).hexdigest()))
+            gone = covered(firsts, batch.column(3)[k].as_py(), LENGTH) if firsts else []
+            digest = hashlib.sha256()
+            for a, b in left(gone, len(text)):
+                digest.update(text[a:b])
+            rows.append((len(text), sum(b - a for a, b in gone), len(gone), digest.hexdigest()))
         cols = list(zip(*rows, strict=True)) or [()] * 4
         yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, [pa.int64()] * 3 + [pa.string()], strict=True))], names=[x.split()[0] for x in REMOVED.split(", ")])
 
@@ -97,5 +106,20 @@ def repeated_bytes(docs: DataFrame, text: str = "text", ident: str = "doc_id") -
     their own. An empty table gives no rows; other columns are ignored. Strings are compared by 64-bit hashes.
     """
     rows = keyed(docs, text, ident)
-    found = repeated_windows(rows, as_bytes, np.uint8, WINDOWS, _search, smaller_only=False)
+    found = repeated_windows(rows, as_bytes, WINDOWS, _search, smaller_only=False)
     return removed(rows, found, _finish, REMOVED)
+
+
+ORACLE_SQL = r"""
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+strings AS (SELECT doc_id, k, hash(array_slice(b, k, k + 199)) AS h FROM (SELECT doc_id, b, unnest(range(1, n - 198)) AS k FROM d)),
+often AS (SELECT h FROM strings GROUP BY 1 HAVING count(*) > 1),
+hit AS (SELECT doc_id, k, k - lag(k) OVER (PARTITION BY doc_id ORDER BY k) AS gap FROM strings SEMI JOIN often USING (h)),
+runs AS (SELECT doc_id, k, sum(CASE WHEN gap <= 200 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY k) AS r FROM hit),
+spans AS (SELECT doc_id, r, min(k) AS a, max(k) + 200 AS z FROM runs GROUP BY 1, 2),
+per AS (SELECT doc_id, list(a ORDER BY a) AS starts, list(z ORDER BY a) AS ends, sum(z - a) AS gone, count(*) AS n_spans FROM spans GROUP BY 1),
+parts AS (SELECT d.doc_id, n, b, gone, n_spans, list_prepend(1, ends) AS x, list_append(starts, n + 1) AS y FROM d JOIN per USING (doc_id))
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(gone AS BIGINT) AS n_removed, CAST(n_spans AS BIGINT) AS n_spans,
+       sha256(list_reduce(list_transform(range(1, len(x) + 1), lambda i: array_slice(b, x[i], y[i] - 1)), lambda p, q: p || q)) AS kept_sha256 FROM parts
+UNION ALL SELECT doc_id, CAST(n AS BIGINT), 0, 0, sha256(b) FROM d ANTI JOIN per USING (doc_id)
+"""
