@@ -4,6 +4,7 @@ import base64
 import hashlib
 import math
 import random
+import re
 
 import public_tokenizers
 import pytest
@@ -122,13 +123,100 @@ def test_suffix_dedup_dense(spark):
 
 @pytest.mark.parametrize("limit", [1, 3])
 def test_hot_keys(spark, monkeypatch, limit):
-    """Keys with more segments than a search takes go by the hashes of their windows, with the same rows."""
+    """Keys with more segments than a search takes are searched by pairs of blocks, with the same rows."""
     from reqtrail.llm import repeats
 
     monkeypatch.setattr(repeats, "MOST_SEGMENTS", limit)
     data = dense(8, 80)
-    assert by_id(fm_index.repeated_words(frame(spark, data)), "n_removed") == {i: v[1:2] for i, v in removed_words(data).items()}
-    assert by_id(suffix_doubling.repeated_bytes(frame(spark, data)), "n_removed") == {i: v[1:2] for i, v in removed_bytes(data).items()}
+    assert by_id(fm_index.repeated_words(frame(spark, data)), "n_words", "n_removed", "kept_sha256") == removed_words(data)
+    assert by_id(suffix_doubling.repeated_bytes(frame(spark, data)), "n_bytes", "n_removed", "n_spans", "kept_sha256") == removed_bytes(data)
+
+
+def test_long_texts(spark, monkeypatch):
+    """Texts of many steps come in pieces, with the same rows; a word longer than a step stays whole."""
+    import tiktoken
+
+    from reqtrail.llm import common, pretokens, repeats
+
+    for module, name in ((common, "STEP_BYTES"), (repeats, "STEP_BYTES"), (pretokens, "PART_BYTES")):
+        monkeypatch.setattr(module, name, 1500)
+    for f in (common.steps, common.white_cuts):
+        monkeypatch.setattr(f, "__defaults__", (1500,))
+    rng = random.Random(12)
+    say = lambda n: " ".join(rng.choice(["alpha", "be", "gamma's", "d", "été", "42", "x-y", "  ", "\n\n", "中文"]) + str(rng.randrange(60)) for _ in range(n))
+    long = say(3000)
+    data = rows([long, say(900) + long[4000:9000] + say(900), long[:12000] + "y" * 5000 + long[12000:], "x" * 4000, say(20), None, "", say(2500) + "\u00a0 \u2003 " * 300 + "end", long.upper()])
+    docs = frame(spark, data).repartition(2)
+    assert by_id(minhash.near_duplicates(docs), "n_shingles", "component_id", "kept") == near_components(data)
+    assert by_id(fm_index.repeated_words(docs), "n_words", "n_removed", "kept_sha256") == removed_words(data)
+    assert by_id(suffix_doubling.repeated_bytes(docs), "n_bytes", "n_removed", "n_spans", "kept_sha256") == removed_bytes(data)
+    # Workers have their own modules, so the pieces are tried here.
+    import numpy as np
+    import pyarrow as pa
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb"))}
+    plain = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    words = pretokens.Dictionary(bpe.merges(public_tokenizers.path("byte_bpe_50k.tiktoken")).replay)
+    texts = [r[1] for r in data]
+    for i, j, got, first in words.blocks(*common.string_buffers(pa.array(texts))):
+        for k in range(i, j):
+            assert words.gather(got[first[k - i] : first[k - i + 1]])[0].tolist() == plain.encode_ordinary(texts[k] or "")
+    part = pa.array(texts)
+    sets = list(minhash.shingle_sets(*common.string_buffers(part)))
+    monkeypatch.undo()
+    assert all(np.array_equal(a, b) for a, b in zip(sets, minhash.shingle_sets(*common.string_buffers(part)), strict=True))
+
+
+def test_forests():
+    """In a task: the same components as all links between similar sets give, with fewer links than sets."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    for trial in range(6):
+        bases = [np.unique(rng.integers(1, 2**63, rng.integers(5, 400), dtype=np.uint64)) for _ in range(4)]
+        sets = []
+        for _ in range(60):
+            base = bases[rng.integers(len(bases))]
+            kept = base[rng.random(len(base)) > rng.choice([0, 0.05, 0.12, 0.2])]
+            sets.append(np.unique(np.concatenate([kept, rng.integers(1, 2**63, rng.integers(0, 1 + len(base) // 8), dtype=np.uint64)])))
+        label = np.arange(len(sets)) if trial % 2 else rng.integers(0, 40, len(sets))
+        side = rng.integers(0, 2, len(sets)) if trial > 2 else None
+        left, right = (side == 0, side == 1) if side is not None else (np.ones(60, bool), np.ones(60, bool))
+        a, b = minhash.similar(sets, label, left, right)
+
+        def joined(links, label=label):
+            up = label.copy()
+            for x, y in links:
+                up[up == up[x]] = up[y]
+            return [tuple(np.flatnonzero(up == u)) for u in np.unique(up)]
+
+        want = []
+        for x in range(60):
+            for y in range(60):
+                both = len(np.intersect1d(sets[x], sets[y]))
+                if x != y and (left[x] and right[y]) and 100 * both >= 75 * (len(sets[x]) + len(sets[y]) - both):
+                    want.append((x, y))
+        assert sorted(joined(zip(a, b, strict=True))) == sorted(joined(want)) and len(a) < 60
+        assert set(zip(a.tolist(), b.tolist(), strict=True)) <= set(want)
+
+
+def oracle(sql, data):
+    duckdb = pytest.importorskip("duckdb")
+    import pyarrow as pa
+
+    names = ["doc_id", "text", "lang", "source", "n_chars"]
+    con = duckdb.connect()
+    con.register("documents", pa.table([pa.array(list(c)) for c in zip(*data, strict=True)], names))
+    return con.execute(sql).fetchall(), [x[0] for x in con.description]
+
+
+@pytest.mark.parametrize("module,query", [(fingerprints, fingerprints.edited_likeness), (minhash, minhash.near_duplicates), (exact_dedup, exact_dedup.duplicate_groups), (fm_index, fm_index.repeated_words), (suffix_doubling, suffix_doubling.repeated_bytes)])
+def test_sql(docs, module, query):
+    """The registered SQL gives the same rows."""
+    want, names = oracle(module.ORACLE_SQL, DATA)
+    out = query(docs)
+    assert sorted(names) == sorted(out.columns)
+    assert sorted(tuple(r) for r in out.select(*names).collect()) == sorted(want)
 
 
 def test_token_files(spark, docs):
@@ -229,14 +317,39 @@ def test_fingerprint_ranges(spark, monkeypatch):
         want[i] = (hashlib.sha256((t[: len(t) - half] + order[(k + 1) % len(order)][1][:half]).encode()).hexdigest(),)
     assert by_id(fingerprints.edited_likeness(frame(spark, data)), "edited_sha256") == want
     assert by_id(fingerprints.edited_likeness(frame(spark, data[4:5])), "near_next") == {16: (1.0,)}
+    some = [(None if i % 10 == 0 else i, t, *r) for i, t, *r in data]
+    assert fingerprints.edited_likeness(frame(spark, some)).count() == len(some)
+
 
+def retained(text):
+    words = [w for w in re.split("[\x20\x09-\x0d]+", text or "") if w]
+    runs = [" ".join(words)] if 0 < len(words) < 5 else [" ".join(words[k : k + 5]) for k in range(len(words) - 4)]
+    return sorted({h[:16] for h in (hashlib.md5(r.encode()).hexdigest() for r in runs) if h[0] < "4"})
 
-def test_fingerprint_containment(spark):
+
+def test_fingerprint_values(spark, docs):
+    """Fingerprints and likenesses against plain Python."""
+    texts = {i: t or "" for i, t, *_ in DATA}
+    order = sorted(texts, reverse=True)
+    for r in fingerprints.edited_likeness(docs).collect():
+        t, u = texts[r["doc_id"]], texts[order[(order.index(r["doc_id"]) + 1) % len(order)]]
+        edited = t[: len(t) - len(t) // 2] + u[: len(t) // 2]
+        assert (r["fingerprint"], r["edited_fingerprint"]) == (",".join(retained(t)), ",".join(retained(edited)))
+        for got, other in ((r["near_edited"], edited), (r["near_next"], u)):
+            a, b = set(retained(t)), set(retained(other))
+            assert got == (1.0 if t == other else len(a & b) / min(len(a), len(b)) if a and b else 0.0)
+
+
+def test_fingerprint_merge(spark):
+    """The sketch of a union is the union of the sketches, by column and by group; containment of a part is 1."""
     rng = random.Random(3)
     words = [f"v{rng.randrange(10**6)}" for _ in range(6000)]
-    pair = spark.createDataFrame([(" ".join(words), " ".join(words[:1500]))], "a string, b string")
-    near = pair.select(fingerprints.likeness(fingerprints.sketch(F.col("a")), fingerprints.sketch(F.col("b"))).alias("x")).first()["x"]
-    assert near > 0.95
+    a, b = " ".join(words[:1500]), " ".join(words[1496:])
+    out = spark.createDataFrame([(a, b, " ".join(words))], "a string, b string, both string").select(*[fingerprints.sketch(F.col(c)).alias(c) for c in ("a", "b", "both")])
+    got = out.select(fingerprints.merge(F.col("a"), F.col("b")).alias("m"), "both", fingerprints.containment(F.col("a"), F.col("both")).alias("c"), fingerprints.containment(F.col("both"), F.col("a")).alias("d")).first()
+    assert got["m"] == got["both"] == retained(" ".join(words)) and got["c"] == 1.0 and abs(got["d"] - 0.25) < 0.05
+    each = spark.createDataFrame([(1, a), (1, b), (2, a), (2, a), (3, "")], "g int, text string").select("g", fingerprints.sketch(F.col("text")).alias("sketch"))
+    assert {r["g"]: r["sketch"] for r in fingerprints.merged(each, ["g"]).collect()} == {1: got["both"], 2: retained(a), 3: []}
 
 
 def test_mixing(spark, docs):
