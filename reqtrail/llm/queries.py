@@ -64,4 +64,5 @@ ORACLE_SQL: dict[str, str] = {
     "op6_mixing": mixing.ORACLE_SQL,
     "op7_substring_dedup": fm_index.ORACLE_SQL,
     "op8_suffix_dedup": suffix_doubling.ORACLE_SQL,
+    "op10_warc": warc.ORACLE_SQL,
 }
