@@ -4,7 +4,8 @@ Every text loses its white space ([\\x20\\x09-\\x0D]) first. A first trie in eac
 copy of each distinct text, so a hot text is shuffled at most once per input partition; the copies then go to
 partitions by (length, SHA-256), where a second trie takes the full byte strings and its terminals keep the
 best identifier (most code points in the original, then smallest id). Tries of more than a set number of bytes
-spill by subtree: strings behind one first byte go to a file of their own, which is read back by itself.
+spill by subtree: the strings behind one prefix go to a file in the shared folder, which is read back into a trie of
+its own, and that may spill subtrees in turn.
 """
 
 from __future__ import annotations
@@ -12,77 +13,96 @@ from __future__ import annotations
 import hashlib
 import os
 import pickle
-import tempfile
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import SALTS, WHITE, byte_rows, salted_left_join
+from .common import SALTS, WHITE, byte_rows, renamed, salted_left_join, scratch
 
-#: Bytes of strings that a trie holds in memory before subtrees go to disk.
-TRIE_BYTES = 48 << 20
+#: Bytes that a trie holds in memory before subtrees go to files, and bytes of a node besides its label.
+TRIE_BYTES, NODE_BYTES = 64 << 20, 400
 
 
 class Patricia:
     """Compressed radix trie from byte strings to the best of the owners inserted for them.
 
     An owner is (code points, id): more code points win, then the smaller id; a null id loses to any other.
-    A node is [label, owner or None, count, children by first byte].
+    A node is [label, owner or None, count, children by first byte, file or None]; what comes below a node with a
+    file goes to it. files makes an empty one; without it nothing spills. floor is the depth to which all strings of
+    this trie are known to agree.
     """
 
-    def __init__(self, limit: int = TRIE_BYTES):
-        self.root: list = [b"", None, 0, {}]
-        self.limit, self.held, self.spilled = limit, 0, {}
+    def __init__(self, limit: int = TRIE_BYTES, files: Callable[[], Spill] | None = None, floor: int = 0):
+        self.root: list = [b"", None, 0, {}, None]
+        self.limit, self.held, self.files, self.floor = limit, 0, files, floor
+        self.patience = limit
 
     @staticmethod
     def better(a: tuple, b: tuple) -> tuple:
         key = lambda x: (-x[0], x[1] is None, x[1] if x[1] is not None else 0)
         return a if b is None or key(a) <= key(b) else b
 
-    def insert(self, text: bytes, owner: tuple, count: int = 1) -> bool:
-        """Put text in; True if no equal one is held in memory."""
-        head = text[:1]
-        if head in self.spilled:
-            pickle.dump((text, owner, count), self.spilled[head])
-            return False
+    def insert(self, text: bytes, owner: tuple, count: int = 1) -> None:
         node, at = self.root, 0
         while True:
+            if node[4] is not None:
+                node[4].put((text, owner, count))
+                return
             if at == len(text):
-                fresh = node[1] is None
                 node[1], node[2] = self.better(owner, node[1]), node[2] + count
-                return fresh
+                return
             child = node[3].get(text[at])
             if child is None:
-                node[3][text[at]] = [text[at:], owner, count, {}]
-                self.held += len(text) - at
-                if self.held > self.limit:
+                node[3][text[at]] = [text[at:], owner, count, {}, None]
+                self.held += len(text) - at + NODE_BYTES
+                if self.files is not None and self.held > self.patience:
                     self.spill()
-                return True
+                return
             label = child[0]
             if text.startswith(label, at):
                 node, at = child, at + len(label)
                 continue
             shared = len(os.path.commonprefix([label, text[at : at + len(label)]]))
-            node[3][text[at]] = upper = [label[:shared], None, 0, {label[shared]: child}]
+            node[3][text[at]] = upper = [label[:shared], None, 0, {label[shared]: child}, None]
             child[0] = label[shared:]
+            self.held += NODE_BYTES
             node, at = upper, at + shared
 
     def spill(self) -> None:
-        """Send the largest subtree of the root to disk."""
-        sizes = {k: sum(len(t) for t, *_ in self.walk(n, n[0])) for k, n in self.root[3].items()}
-        if sizes:
-            first = max(sizes, key=sizes.get)
-            out = tempfile.TemporaryFile()
-            node = self.root[3].pop(first)
-            for row in self.walk(node, node[0]):
-                pickle.dump(row, out)
-            self.spilled[bytes([first])] = out
-            self.held = sum(v for k, v in sizes.items() if k != first)
+        """Send to files the deepest subtree that has half of what is held, or where none has the largest ones until half is gone."""
+        sizes: dict[int, int] = {}
+        order = [self.root]
+        for node in order:
+            order.extend(node[3].values())
+        for node in reversed(order):
+            sizes[id(node)] = len(node[0]) + NODE_BYTES + sum(sizes[id(c)] for c in node[3].values())
+        node, path = self.root, b""
+        while node[3]:
+            child = max(node[3].values(), key=lambda c: sizes[id(c)])
+            if 2 * sizes[id(child)] < self.held:
+                break
+            node, path = child, path + child[0]
+        chosen = [(node, path)]
+        if len(path) <= self.floor:
+            chosen = [(c, path + c[0]) for c in sorted(node[3].values(), key=lambda c: -sizes[id(c)])]
+        for node, path in chosen:
+            if self.held <= self.limit // 2:
+                break
+            if node[4] is None:
+                out = self.files()
+                for row in self.walk(node, path):
+                    out.put(row)
+                out.floor = len(path)
+                node[1:] = [None, 0, {}, out]
+                self.held -= sizes[id(node)] - len(node[0]) - NODE_BYTES
+        self.patience = max(self.limit, 2 * self.held)  # more only where one string, or labels of what is spilled, exceeds the limit
 
     @staticmethod
     def walk(node: list, text: bytes) -> Iterator[tuple]:
@@ -94,19 +114,52 @@ class Patricia:
             todo.extend((child, text + child[0]) for child in node[3].values())
 
     def items(self) -> Iterator[tuple]:
-        """(text, owner, count) of every distinct text; a spilled subtree is read back by itself, without further spill."""
+        """(text, owner, count) of every distinct text; each spilled subtree is read back into a trie of its own, which may spill deeper ones."""
+        spilled, todo = [], [self.root]
+        for node in todo:
+            todo.extend(node[3].values())
+            if node[4] is not None:
+                spilled.append(node[4])
         yield from self.walk(self.root, b"")
-        for out in self.spilled.values():
-            out.seek(0)
-            part = Patricia(limit=1 << 62)
-            while True:
-                try:
-                    part.insert(*pickle.load(out))
-                except EOFError:
-                    break
-            out.close()
-            yield from part.walk(part.root, b"")
-        self.spilled = {}
+        self.root = [b"", None, 0, {}, None]
+        for out in spilled:
+            part = Patricia(self.limit, self.files, out.floor)
+            for row in out.rows():
+                part.insert(*row)
+            out.drop()
+            yield from part.items()
+
+
+class Spill:
+    """Rows in a file of a folder that driver and executors share; read once, then deleted."""
+
+    def __init__(self, folder: str):
+        self.store, name = pa.fs.FileSystem.from_uri(folder)
+        self.store.create_dir(name)
+        self.path = f"{name}/trie-{uuid.uuid4().hex}"
+        self.out, self.floor = self.store.open_output_stream(self.path, buffer_size=1 << 16), 0
+
+    def put(self, row: tuple) -> None:
+        data = pickle.dumps(row)
+        self.out.write(len(data).to_bytes(8, "little") + data)
+
+    def rows(self) -> Iterator[tuple]:
+        self.out.close()
+        with self.store.open_input_stream(self.path, buffer_size=1 << 20) as file:
+            while head := file.read(8):
+                yield pickle.loads(file.read(int.from_bytes(head, "little")))
+
+    def drop(self) -> None:
+        self.store.delete_file(self.path)
+
+
+def spills(folder: str) -> Callable[[], Spill] | None:
+    """Maker of files in the folder; none where Python cannot open its store."""
+    try:
+        pa.fs.FileSystem.from_uri(folder)
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError):
+        return None
+    return lambda: Spill(folder)
 
 
 def _members(batches):
@@ -154,25 +207,29 @@ def _drain(trie: Patricia, with_text: bool) -> Iterator[pa.RecordBatch]:
 
 def _local(batches):
     """One trie over an input partition, handed on whenever it is full: an upstream combine, so parts need not be merged here."""
-    trie = Patricia(limit=1 << 62)
+    trie = Patricia()
     for batch in batches:
         points = pc.fill_null(pc.utf8_length(batch.column(1)), 0).to_pylist()
         for i, n, text in zip(batch.column(0).to_pylist(), points, byte_rows(batch.column(1)), strict=True):
             trie.insert(text.translate(None, WHITE), (n, i))
             if trie.held > TRIE_BYTES:
                 yield from _drain(trie, True)
-                trie = Patricia(limit=1 << 62)
+                trie = Patricia()
     yield from _drain(trie, True)
 
 
-def _owners(batches):
+def _owners(folder: str):
     """One trie over a partition of (length, hash); terminals keep the best identifier and the number of rows."""
-    trie = Patricia()
-    for batch in batches:
-        cols = [batch.column(k).to_pylist() for k in (2, 3, 4, 5)]
-        for text, points, owner, count in zip(*cols, strict=True):
-            trie.insert(text, (points, owner), count)
-    yield from _drain(trie, False)
+
+    def run(batches):
+        trie = Patricia(files=spills(folder))
+        for batch in batches:
+            cols = [batch.column(k).to_pylist() for k in (2, 3, 4, 5)]
+            for text, points, owner, count in zip(*cols, strict=True):
+                trie.insert(text, (points, owner), count)
+        yield from _drain(trie, False)
+
+    return run
 
 
 def _owner_table(docs: DataFrame) -> DataFrame:
@@ -180,7 +237,7 @@ def _owner_table(docs: DataFrame) -> DataFrame:
     return (
         docs.mapInArrow(_local, OWNED)
         .repartition("_length", "text_sha256")
-        .mapInArrow(_owners, OWNED)
+        .mapInArrow(_owners(scratch(docs.sparkSession) + "/spill"), OWNED)
         .filter("_count > 1")
         .select("_length", "text_sha256", F.col("_owner").alias("_keep"), "_count")
     )
@@ -189,8 +246,8 @@ def _owner_table(docs: DataFrame) -> DataFrame:
 def duplicate_groups(docs: DataFrame, text: str = "text", ident: str = "doc_id") -> DataFrame:
     """Per row of docs: doc_id, keep_id, group_size, kept, text_sha256.
 
-    Null text counts as empty, so all empty and blank texts are one group. A row with a null id is kept only if
-    no row of its group has an id. Rows that repeat an id are told apart by nothing: each has kept as its id is
+    Null text counts as empty, so all empty and blank texts are one group. Of rows with as many
+    code points a null id comes after every other. Rows that repeat an id are told apart by nothing: each has kept as its id is
     keep_id and each counts in group_size. An empty table gives no rows; columns other than the two are ignored.
     """
     docs = docs.select(F.col(ident).cast("bigint").alias("doc_id"), F.col(text).alias("_text"))
@@ -212,22 +269,22 @@ def drop_copies(docs: DataFrame, text: str = "text", ident: str = "doc_id") -> D
     It is a row of the owner's id as in duplicate_groups(). Where several rows of a text have that id, or none has
     an id, it is the one with the most code points, then the least text.
     """
-    names = docs.columns
-    row = docs.select(F.col(ident).cast("bigint").alias("_id"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"))
+    plain, at = renamed(docs), docs.columns.index(text)
+    row = plain.select(F.col(f"c{docs.columns.index(ident)}").cast("bigint").alias("_id"), "*")
+    added = T.StructType.fromDDL("_points bigint, _length bigint, text_sha256 string")
+    names = [*row.columns, *added.names]
 
     def keyed(batches):
         for batch in batches:
-            texts = batch.column(1).flatten()[names.index(text)]
-            for key in _members([pa.RecordBatch.from_arrays([batch.column(0), texts], names=["doc_id", "_text"])]):
-                yield pa.RecordBatch.from_arrays([*key.columns, batch.column(1)], names=["_id", "_points", "_length", "text_sha256", "_row"])
+            for key in _members([pa.RecordBatch.from_arrays([batch.column(0), batch.column(at + 1)], names=["doc_id", "_text"])]):
+                yield pa.RecordBatch.from_arrays([*batch.columns, *key.columns[1:]], names=names)
 
-    kinds = T.StructType([T.StructField("_id", T.LongType()), T.StructField("_points", T.LongType()), T.StructField("_length", T.LongType()), T.StructField("text_sha256", T.StringType()), T.StructField("_row", row.schema["_row"].dataType)])
-    owners = _owner_table(docs.select(F.col(ident).cast("bigint").alias("doc_id"), F.col(text).alias("_text")))
-    joined = salted_left_join(row.mapInArrow(keyed, kinds), owners, ["_length", "text_sha256"], SALTS)
+    owners = _owner_table(row.select(F.col("_id").alias("doc_id"), F.col(f"c{at}").alias("_text")))
+    joined = salted_left_join(row.mapInArrow(keyed, T.StructType([*row.schema.fields, *added.fields])), owners, ["_length", "text_sha256"], SALTS)
     of_owner = joined.filter(F.col("_count").isNull() | F.col("_id").eqNullSafe(F.col("_keep")))
     # One row of each text; a hot text is cut to one row in each partition before the shuffle.
-    best = Window.partitionBy("_length", "text_sha256").orderBy(F.desc("_points"), F.col(f"_row.`{text}`"))
-    return of_owner.withColumn("_rank", F.row_number().over(best)).filter("_rank = 1").select("_row.*")
+    best = Window.partitionBy("_length", "text_sha256").orderBy(F.desc("_points"), f"c{at}")
+    return of_owner.withColumn("_rank", F.row_number().over(best)).filter("_rank = 1").select(*plain.columns).toDF(*docs.columns)
 
 
 ORACLE_SQL = r"""
