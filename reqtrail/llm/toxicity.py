@@ -12,20 +12,19 @@ import math
 import unicodedata
 from collections import Counter
 
-import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import RollingHash, discard, materialise, steps, string_buffers, words_of
+from .common import RollingHash, discard, materialise, renamed, steps, string_buffers, words_of
 from .fingerprints import shingle_hashes
 
-#: Labelled rows that the model is fitted on at most (those with the smallest hash of their id), and entries of the lexicon.
-SAMPLE_ROWS, LEXICON, EXCEPTIONS = 20_000, 2_000, 500
-LONGEST = 14
-SHORTEST = 3
+#: Labelled rows that the model is fitted on at most (those with the smallest hash of their id); what it learns is bounded by them alone.
+SAMPLE_ROWS = 20_000
+#: Letters of the shortest beginning that may be a term, and of the longest but for whole words.
+SHORTEST, LONGEST = 3, 14
 LEAST_WEIGHT = 3.0
 #: About the log of the number of candidate terms: fewer than one is expected to pass by chance.
 LEAST_SURPRISE = 12.0
@@ -75,7 +74,7 @@ def _count_terms(batches):
             part, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
             starts, ends, first = words_of(part, at)
             names, number = _folded(part, starts, ends)
-            heads = [[w[:k] for w in forms_ for k in range(SHORTEST, min(len(w), LONGEST) + 1)] for forms_ in names]
+            heads = [[w[:k] for w in forms_ for k in (*range(SHORTEST, min(len(w), LONGEST + 1)), len(w)) if k >= SHORTEST] for forms_ in names]
             for k in range(j - i):
                 terms = set()
                 for n in set(number[first[k] : first[k + 1]].tolist()):
@@ -115,7 +114,7 @@ def closed_terms(counts: dict[str, tuple[int, int]], n_toxic: int, n_clean: int)
         if any(x[:k] in kept for k in range(SHORTEST, len(x))):
             continue
         while ext := [y for y in longer.get(x, ()) if counts[y][0] >= 0.9 * counts[x][0]]:
-            x = ext[0]
+            x = min(ext)
         if len(x) == SHORTEST and counts[x][0] < 20:
             continue
         kept[x] = weight[x]
@@ -136,6 +135,8 @@ class Lexicon:
     def match(self, words: list[str]) -> tuple[np.ndarray, list[str]]:
         """The largest weight at each word's beginning (0: none), and the term."""
         if self.machine is None and self.weights:
+            import ahocorasick
+
             self.machine = ahocorasick.Automaton()
             for t, w in self.weights.items():
                 self.machine.add_word(" " + t, (w, t))
@@ -243,19 +244,24 @@ def one_of_copies(sample: DataFrame) -> DataFrame:
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> Lexicon:
-    """Fit a lexicon on at most SAMPLE_ROWS labelled rows outside the held-out fifth; only texts and labels are used."""
+    """Fit a lexicon on at most SAMPLE_ROWS labelled rows outside the held-out fifth; only texts and labels are used.
+
+    Labels without an id or a mark are left out; an id with several marks is toxic if one of them says so, and each of
+    several rows with one id counts. Null text counts as empty. Without rows nothing matches and all texts are clean.
+    Other columns are ignored.
+    """
     marks = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     marks = marks.groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.max((F.col("toxic") > 0).cast("int")).alias("_toxic"))
     marks = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS)
     sample = materialise(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").alias("_text")).join(F.broadcast(marks), "doc_id").select("_text", "_toxic", "doc_id"), "toxic-sample")
-    drawn, sample = sample, materialise(one_of_copies(sample), "toxic-learned")
-    discard(drawn)
-    sample = sample.repartition(sample.sparkSession.sparkContext.defaultParallelism)
+    learned = materialise(one_of_copies(sample), "toxic-learned")
+    discard(sample)
+    sample = learned.repartition(learned.sparkSession.sparkContext.defaultParallelism)
     counts = sample.mapInArrow(_count_terms, "term string, toxic bigint, clean bigint").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    found = {r[0]: (r[1], r[2]) for r in counts.filter("term IS NULL OR toxic >= 4 AND toxic > 4 * clean").orderBy(F.col("term").isNull().desc(), F.desc(F.col("toxic") / (F.col("clean") + 1)), "term").limit(10 * LEXICON).collect()}
+    found = {r[0]: (r[1], r[2]) for r in counts.filter("term IS NULL OR toxic >= 4 AND toxic > 4 * clean").orderBy("term").collect()}
     n_toxic, n_clean = found.pop(None, (0, 0))
     weights = closed_terms(found, n_toxic, n_clean)
-    weights = dict(sorted(weights.items(), key=lambda x: (-x[1], x[0]))[:LEXICON])
+    weights = dict(sorted(weights.items()))
     plain = Lexicon(weights)
 
     def matches(batches):
@@ -266,7 +272,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Lexicon:
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in pairs], pa.string()), pa.array([k[1] for k in pairs], pa.string()), pa.array([k[2] for k in pairs], pa.int32()), pa.array(list(pairs.values()), pa.int64())], names=["a", "b", "toxic", "n"])
 
     phrases = sample.mapInArrow(matches, "a string, b string, toxic int, n bigint").groupBy("a", "b").agg(F.sum(F.col("n") * F.col("toxic")).alias("t"), F.sum(F.col("n") * (1 - F.col("toxic"))).alias("c"))
-    exceptions = frozenset((r["a"], r["b"]) for r in phrases.filter("c >= 3 AND c > 3 * t").orderBy(F.desc("c"), "a", "b").limit(EXCEPTIONS).collect())
+    exceptions = frozenset((r["a"], r["b"]) for r in phrases.filter("c >= 3 AND c > 3 * t").collect())
     model = Lexicon(weights, exceptions)
 
     def features(batches):
@@ -274,7 +280,8 @@ def learn(docs: DataFrame, labels: DataFrame) -> Lexicon:
             sums, words, _ = model.measure(*string_buffers(batch.column(0)))
             yield pa.RecordBatch.from_arrays([pa.array(sums), pa.array(words), batch.column(1)], names=["s", "w", "toxic"])
 
-    rows = sample.mapInArrow(features, "s double, w bigint, toxic int").collect()  # at most SAMPLE_ROWS
+    rows = sorted(sample.mapInArrow(features, "s double, w bigint, toxic int").collect())  # at most SAMPLE_ROWS; in one order, so that sums are the same
+    discard(learned)
     model.rows = len(rows)
     if rows:
         s, w, y = (np.array(x, float) for x in zip(*rows, strict=True))
@@ -285,7 +292,11 @@ def learn(docs: DataFrame, labels: DataFrame) -> Lexicon:
 
 
 def toxicity_scores(docs: DataFrame, model: Lexicon) -> DataFrame:
-    """Per row: doc_id, held_out, score (0 to 1), predicted (1 from 0.5 on). Null text counts as empty and scores as clean as any text without matches."""
+    """Per row: doc_id, held_out, score (0 to 1), predicted (1 from 0.5 on).
+
+    Null text counts as empty and scores as clean as any text without matches. Null and repeated ids are rows like
+    others; a null id is held out as the id ''. An empty table gives no rows; other columns are ignored.
+    """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").alias("_text"))
 
     def score(batches):
@@ -298,13 +309,15 @@ def toxicity_scores(docs: DataFrame, model: Lexicon) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs without the rows whose text scores 0.5 or more; each row is judged by its own text."""
+    """docs without the rows whose text scores 0.5 or more; each row is judged by its own text, whatever its id.
+
+    Null text counts as empty and stays. Columns of any name pass through; an empty table gives no rows.
+    """
     model = learn(docs, labels)
-    names = docs.columns
+    at, plain = docs.columns.index("text"), renamed(docs)
 
     def keep(batches):
         for batch in batches:
-            scores = model.scores(*string_buffers(batch.column(names.index("text"))))
-            yield batch.filter(pa.array(scores < 0.5))
+            yield batch.filter(pa.array(model.scores(*string_buffers(batch.column(at))) < 0.5))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return plain.mapInArrow(keep, plain.schema).toDF(*docs.columns)
