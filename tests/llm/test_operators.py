@@ -68,15 +68,56 @@ def test_exact_dedup_by_row(spark):
     assert got == sorted([(1, "a  b"), (None, "own"), (None, " "), (2, "c"), (3, "unique"), (4, "sa me")], key=str)
 
 
-def test_patricia_spills():
+@pytest.mark.parametrize("prefix", [b"", b"<", b"one common beginning of all texts"])
+def test_patricia_spills(tmp_path, prefix):
+    """Spills of spills, behind one first byte too, leave the same owners, hold about the limit and no file."""
     rng = random.Random(1)
-    texts = [bytes(rng.choice(b"abc") for _ in range(rng.randint(0, 12))) for _ in range(3000)]
-    small, want = exact_dedup.Patricia(limit=200), {}
+    texts = [prefix + bytes(rng.choice(b"abc") for _ in range(rng.randint(0, 12))) for _ in range(3000)]
+    made, most = [], 0
+    make = exact_dedup.spills(f"file://{tmp_path}/spill")
+    small, want = exact_dedup.Patricia(limit=40_000, files=lambda: made.append(make()) or made[-1]), {}
     for k, t in enumerate(texts):
         small.insert(t, (len(t), k))
+        most = max(most, small.held)
         n, owner = want.get(t, (0, k))
         want[t] = (n + 1, min(owner, k))
-    assert {t: (n, o[1]) for t, o, n in small.items()} == want
+    got = [(t, (n, o[1])) for t, o, n in small.items()]
+    assert len(got) == len(want) and dict(got) == want
+    assert len(made) > 2 and most < 50_000 and not list((tmp_path / "spill").iterdir())
+    assert any(x.floor > len(prefix) for x in made)
+
+
+CLASHES = ("_n", "_rate", "_cdf", "_source", "_gone", "_copy", "_order", "_least", "_first", "_row", "n", "d1", "sketch", "_points", "_length", "_rank", "_count", "_keep", "c0", "_whole", "doc id.x")
+
+
+def test_rows_pass_through(spark):
+    """Operators that keep rows keep every column, whatever its name; their columns come back as they were."""
+    data = [(1, "a b c d e f", "en", "s", 1), (2, "a b c d e f", "en", "s", 1), (3, "other text", "fr", None, 2), (None, "a b c d e f", "en", "t", 1)]
+    docs = frame(spark, data, extra=False).select("*", *[F.lit(k).alias(c) for k, c in enumerate(CLASHES)])
+    labels = spark.createDataFrame([(1, 0)], "doc_id bigint, toxic int")
+    for f, ids in ((exact_dedup.drop_copies, {1, 3}), (minhash.drop_near_copies, {1, 3}), (lambda d: toxicity.drop_toxic(d, labels), {1, 2, 3, None}), (mixing.mixed_rows, None)):
+        out = f(docs)
+        assert out.columns == docs.columns
+        got = out.collect()
+        assert all(tuple(r)[5:] == tuple(range(len(CLASHES))) for r in got)
+        assert ids is None or {r["doc_id"] for r in got} == ids
+        assert f(docs.limit(0)).count() == 0
+    assert mixing.mixed_query(docs).columns == ["doc_id", "text", "lang", "source", "n_chars", "copy", "shuffle_key"]
+    again = mixing.mixed_documents(docs)
+    assert sorted(again.columns) == sorted(docs.columns)
+    for f in (exact_dedup.duplicate_groups, minhash.near_duplicates, fm_index.repeated_words, suffix_doubling.repeated_bytes, bpe.token_digests, token_files.round_trip, fingerprints.edited_likeness):
+        assert f(docs).count() == len(data)
+
+
+def test_near_copies_by_row(spark):
+    """One row of each group stays, whatever its id: null, repeated with other texts, or repeated with the same."""
+    base = " ".join(f"w{k}" for k in range(80))
+    data = [(None, base, "en", "s", 0), (None, base + " x", "en", "s", 0), (None, "own words of its own here", "en", "s", 0), (4, base + " y", "en", "s", 0), (4, "another text that repeats an id only", "en", "s", 0), (5, "twice the same row of text", "en", "s", 0), (5, "twice the same row of text", "en", "s", 0), (7, None, "en", "s", 0), (8, " ", "en", "s", 0)]
+    kept = minhash.drop_near_copies(frame(spark, data).repartition(3))
+    got = sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str)
+    assert got == sorted([(None, data[2][1]), (4, base + " y"), (4, data[4][1]), (5, data[5][1]), (7, None), (8, " ")], key=str)
+    out = sorted(((r["doc_id"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(frame(spark, data)).collect()), key=str)
+    assert out == sorted([(None, 4, False), (None, 4, False), (None, None, True), (4, 4, True), (4, 4, True), (5, 5, True), (5, 5, True), (7, 7, True), (8, 8, True)], key=str)
 
 
 def test_near_duplicates(docs):
@@ -397,6 +438,16 @@ def test_mixing_large_rates(spark, monkeypatch):
     for r in mixing.mixed_documents(frame(spark, data, extra=False)).select("doc_id", "_copy").collect():
         got.setdefault(r["doc_id"], []).append(r["_copy"])
     assert {i: sorted(v) for i, v in got.items()} == {i: list(range(n)) for i, n in want.items() if n}
+    rows_, names = oracle(mixing.ORACLE_SQL, data)
+    assert sorted((r[names.index("doc_id")], r[names.index("copy")]) for r in rows_) == sorted((i, k) for i, n in want.items() for k in range(n))
+
+
+def test_mixing_null_source(spark):
+    """A null source and one of the name '' are two sources."""
+    data = [(i, "x" * 100, "en", None if i % 2 else "", 100) for i in range(400)]
+    out = mixing.mixed_documents(frame(spark, data, extra=False), {None: 1.0})
+    assert {r[0] for r in out.select("source").distinct().collect()} == {None}
+    assert mixing.rates(frame(spark, data, extra=False)).count() == 2
 
 
 def test_toxicity(spark):
@@ -475,14 +526,30 @@ def test_warc(spark):
     assert out == captures(PAGES)
 
 
-def test_warc_lookup(spark, monkeypatch):
+def test_warc_sql(spark):
+    duckdb = pytest.importorskip("duckdb")
+    import pyarrow as pa
+
+    con = duckdb.connect()
+    con.register("pages", pa.table([pa.array(list(c)) for c in zip(*PAGES, strict=True)], ["page_id", "url", "html"]))
+    want = con.execute(warc.ORACLE_SQL).fetchall()
+    out = warc.captures(spark.createDataFrame(PAGES, "page_id bigint, url string, html string"))
+    assert sorted(tuple(r) for r in out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()) == sorted(want)
+
+
+@pytest.mark.parametrize("local", [True, False])
+def test_warc_lookup(spark, monkeypatch, local):
+    """Many small archives and blocks; by range reads, and by whole files where Python cannot open the store."""
+    from reqtrail.llm import common
     from reqtrail.llm.common import table_path
 
-    monkeypatch.setattr(warc, "BROADCAST_ROWS", 0)
-    monkeypatch.setattr(warc, "BROADCAST_LINES", 0)
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(warc, "BLOCK_LINES", 2)
+    if not local:
+        monkeypatch.setattr(warc, "reachable", lambda folder: False)
     pages = spark.createDataFrame(PAGES, "page_id bigint, url string, html string")
     path = table_path(spark, "warc-test")
-    warc.write_archives(pages, path, least_bytes=5, records=2)
+    warc.write_archives(pages, path, least_bytes=5, archive_bytes=1500)
     warc.write_index(spark, path)
     all_rows = {r["page_id"]: (r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in warc.read_records(spark, path).collect()}
     assert all_rows == captures(PAGES, 5)
@@ -490,6 +557,29 @@ def test_warc_lookup(spark, monkeypatch):
     assert sorted(r["page_id"] for r in found) == [1, 6]
     assert next(bytes(r["payload"]).decode() for r in found if r["page_id"] == 6) == "é" * 5000
     assert warc.lookup(spark, path, ["http://nowhere.example/"]).count() == 0
+    assert warc.lookup(spark, path, []).count() == 0
+    assert sorted(r["page_id"] for r in warc.lookup(spark, path, [None, "bad url ["]).collect()) == [3, 4, 5]
+
+
+def test_warc_range_reads(spark):
+    """A lookup asks for the bytes of its records alone; an archive may hold a page of many megabytes."""
+    import pyarrow as pa
+
+    from reqtrail.llm.common import table_path
+
+    big = "<p>" + "0123456789" * 1_200_000
+    pages = spark.createDataFrame([(1, "http://a.example/", big), (2, "http://b.example/", "small"), (3, "http://c.example/", "other")], "page_id bigint, url string, html string").coalesce(1)
+    path = table_path(spark, "warc-test")
+    warc.write_archives(pages, path)
+    warc.write_index(spark, path)
+    got = {r["page_id"]: r["payload_bytes"] for r in warc.read_records(spark, path).collect()}
+    assert got == {1: len(big), 2: 5, 3: 5}
+    lines = warc.at_places(spark, f"{path}/index", spark.read.parquet(f"{path}/directory").select("path", "offset", "length"), warc._lines, warc.LINE).toArrow()
+    small = min(lines.to_pylist(), key=lambda r: r["length"])
+    reader = warc.Reader()
+    batch = pa.RecordBatch.from_pylist([small], schema=lines.schema)
+    assert [r["payload_bytes"].as_py() for b in [next(warc._parsed(warc.ranges([batch], reader)))] for r in [dict(zip(b.schema.names, (c[0] for c in b.columns), strict=True))]] == [5]
+    assert reader.bytes_read == small["length"] < 1000
 
 
 def test_empty_tables(spark, nothing):
