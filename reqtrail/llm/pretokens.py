@@ -17,7 +17,7 @@ from .common import RollingHash, steps, white_cuts
 
 OTHER, LETTER, NUMBER, SPACE = range(4)
 #: Text for which the pieces are held at once, text that one numpy step works on, and pieces that a worker remembers between blocks (about 50 bytes each).
-BLOCK_BYTES, PART_BYTES, REMEMBERED = 4 << 20, 1 << 20, 500_000
+BLOCK_BYTES, PART_BYTES, REMEMBERED = 4 << 20, 1 << 20, 1_500_000
 
 
 @cache
@@ -157,17 +157,17 @@ class Dictionary:
                     starts = self.starts(text, cut)
                 ends = np.append(starts[1:], len(text))[: len(starts)]
                 key = self.key(text, starts, ends)
-                distinct, first = np.unique(key, return_index=True)
+                distinct, first, back = np.unique(key, return_index=True, return_inverse=True)
                 new = self.missing(distinct)
                 whole = text.tobytes()
                 unseen.append(distinct[new])
                 texts += [whole[x:y] for x, y in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)]
-                keys.append(key)
+                keys.append((distinct, back))
                 counts.append(np.diff(np.searchsorted(starts, cut)))
             fresh, pick = np.unique(np.concatenate(unseen), return_index=True)
             if len(fresh):
                 self.add(fresh, [texts[k] for k in pick.tolist()])
-            rows = self.rows[np.searchsorted(self.keys, np.concatenate(keys))]
+            rows = np.concatenate([self.rows[np.searchsorted(self.keys, distinct)][back] for distinct, back in keys])
             ends = np.concatenate([[0], np.cumsum(np.concatenate(counts))])
             yield i, j, rows, ends if fine is at else ends[np.searchsorted(fine, at)]
 
