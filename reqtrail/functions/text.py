@@ -8,11 +8,12 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# What a token is, and how models fence JSON.
 TOKEN = "[A-Za-z_][A-Za-z0-9_]+"
-#: What Python's str.strip() takes off, as a character class; Spark's trim() takes blanks alone.
-STRIPPED = "\\t\\n\\x0B\\f\\r\\x1c-\\x20\\x85\\xA0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 FENCE = "```(?:json)?\\s*([\\s\\S]*?)\\s*```"
 STRICT_FENCE = "```json\\s*([\\s\\S]*?)\\s*```"
+#: What Python's str.strip() takes off, as a character class; Spark's trim() takes blanks alone.
+STRIPPED = "\\t\\n\\x0B\\f\\r\\x1c-\\x20\\x85\\xA0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
 
 def strip(c: Column) -> Column:
@@ -73,11 +74,11 @@ def recovered_json(c: Column, schema: str) -> Column:
 
     Null where neither is JSON. Text that is a JSON list or number is no object and gives null too.
     """
-    text = strip(c)
-    text = F.when(text.rlike(FENCE), strip(F.regexp_extract(text, FENCE, 1))).otherwise(text)
-    braces = F.regexp_extract(text, "(\\{[\\s\\S]*\\})", 1)
+    bound = lambda x, f: F.transform(F.array(x), f)[0]  # noqa: E731  each step is used more than once, and made once
+    fenced = lambda t: bound(F.regexp_extract(t, FENCE, 0), lambda m: F.when(m != "", strip(F.regexp_extract(m, FENCE, 1))).otherwise(t))
     is_object = lambda x: x.startswith("{") & F.from_json(x, "map<string,string>").isNotNull()
-    return F.when(is_object(text), F.from_json(text, schema)).when(is_object(braces), F.from_json(braces, schema))
+    part = lambda t: F.when(is_object(t), t).otherwise(bound(F.regexp_extract(t, "(\\{[\\s\\S]*\\})", 1), lambda b: F.when(is_object(b), b)))
+    return F.from_json(bound(bound(strip(c), fenced), part), schema)
 
 
 def json_list(c: Column, key: str) -> Column:
@@ -154,9 +155,9 @@ def ordered_keywords(keywords: Sequence[str]) -> list[str]:
 
 
 def elapsed(seconds: Column) -> Column:
-    """Minutes and seconds, both cut to whole numbers."""
+    """Minutes and seconds as m:s, both cut to whole numbers and not padded."""
     minutes = F.floor(seconds / 60)
-    return F.format_string("%dm %ds", minutes.cast("long"), F.floor(seconds - minutes * 60).cast("long"))
+    return F.format_string("%d:%d", minutes.cast("long"), F.floor(seconds - minutes * 60).cast("long"))
 
 
 def remaining(seconds: Column, share: Column) -> Column:

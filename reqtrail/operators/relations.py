@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .kept import numbered
 from .sizes import broadcast_if_small
 
 # Documents whose roles are filtered, the words that keep a role, and the outcome that counts.
@@ -81,20 +82,9 @@ def neighbours(df: DataFrame, partition: str, order: str, text: str) -> DataFram
     return df.withColumn("prev_paragraph", F.lag(text).over(w)).withColumn("next_paragraph", F.lead(text).over(w))
 
 
-def sequential_ids(df: DataFrame, order: Sequence[str], name: str = "function_id", buckets: int = 64) -> DataFrame:
-    """df with ids 1..n in a total order, without bringing all rows into one task.
-
-    Rows are cut into ranges of the first order column at quantiles; each is numbered by itself and shifted by the
-    rows of the ranges before it.
-    """
-    head = order[0]
-    cuts = sorted(set(df.agg(F.percentile_approx(head, [k / buckets for k in range(1, buckets)], 10_000)).first()[0] or []))
-    bucket = F.size(F.filter(F.lit(cuts), lambda c: c < F.col(head))) if cuts else F.lit(0)
-    rows = df.withColumn("_bucket", F.when(F.col(head).isNull(), F.lit(-1)).otherwise(bucket))
-    counts = rows.groupBy("_bucket").agg(F.count("*").alias("_n"))
-    before = counts.select("_bucket", (F.sum("_n").over(Window.orderBy("_bucket")) - F.col("_n")).alias("_before"))  # a row for each range
-    numbered = rows.withColumn("_at", F.row_number().over(Window.partitionBy("_bucket").orderBy(*order)))
-    return numbered.join(F.broadcast(before), "_bucket").withColumn(name, F.col("_before") + F.col("_at")).drop("_bucket", "_at", "_before")
+def sequential_ids(df: DataFrame, order: Sequence[str], name: str = "function_id") -> DataFrame:
+    """df with ids 1..n in a total order of columns of any types, without bringing all rows into one task."""
+    return numbered(df, name, order, first=1)
 
 
 def stacked(tables: dict[str, DataFrame], name: str = "project") -> DataFrame:
@@ -109,9 +99,19 @@ def stacked(tables: dict[str, DataFrame], name: str = "project") -> DataFrame:
 
 
 def negatives(rows: DataFrame, ident: str, value: str, n: int, seed: int) -> DataFrame:
-    """rows, whose ids run from 0 to n - 1, each with the value of a row chosen by a hash of the seed and its id (itself at times)."""
+    """rows, whose ids run from 0 to n - 1, each with the value of a row chosen by the MD5 sum of the seed and its id (itself at times)."""
     other = rows.select(F.col(ident).alias("_other"), F.col(value).alias("negative"))
-    return rows.withColumn("_other", F.pmod(F.xxhash64(F.lit(seed), F.col(ident)), F.lit(n))).join(other, "_other", "left").drop("_other")
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(ident).cast("string")))
+    chosen = F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint") % F.lit(n)
+    return rows.withColumn("_other", chosen).join(other, "_other", "left").drop("_other")
+
+
+def flattened(rows: DataFrame, text: str = "SR Text", name: str = "sr", without: Sequence[str] = ("Conditions", "Actions")) -> DataFrame:
+    """Rows for JSON output: the text column first under its short name, lists as they are, then all other columns but the comma-joined forms."""
+    lists = [c for c in ("condition_list", "action_list") if c in rows.columns]
+    rest = [c for c in rows.columns if c not in (text, *without, *lists)]
+    out = rows.select(F.col(f"`{text}`"), *[F.col(f"`{c}`") for c in (*lists, *rest)])
+    return out.toDF(name, *[c.removesuffix("_list") + "s" for c in lists], *rest)
 
 
 def capped(df: DataFrame, rows: int | None) -> DataFrame:

@@ -9,6 +9,7 @@ import asyncio
 import hashlib
 import json
 import math
+import re
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from typing import Any, Protocol
 
@@ -16,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import FENCE
+
 # Roles a requirement may name, and rows in flight for each kind of call.
 ROLES = ("Client", "Server", "Proxy", "Gateway", "Cache", "Sender", "Recipient", "Origin Server")
 ROLE_ROWS, CONSTRAINT_ROWS, DUAL_WORKERS = 104, 90, 20
@@ -30,20 +33,26 @@ class Scorer(Protocol):
     async def answer(self, row: Mapping[str, Any]) -> Mapping[str, Any]: ...
 
 
-def parse_answer(text: str) -> Any:
-    """JSON from a model's answer: a fenced block or the whole text, else what lies between the outer braces."""
-    import re
+class PartAnswer(Exception):
+    """A row that failed half-way: answer holds what was there before, and the message says why."""
+
+    def __init__(self, answer: Mapping[str, Any], why: str):
+        super().__init__(why)
+        self.answer = answer
+
 
-    text = text.strip()
-    if fence := re.search(r"```(?:json)?\s*([\s\S]*?)\s*```", text):
-        text = fence[1].strip()
+def parse_answer(said: str) -> Any:
+    """JSON from a model's answer: a fenced block or the whole text, else what lies between the outer braces."""
+    said = said.strip()
+    if fence := re.search(FENCE, said):
+        said = fence[1].strip()
     try:
-        return json.loads(text)
+        return json.loads(said)
     except json.JSONDecodeError:
-        low, high = text.find("{"), text.rfind("}")
+        low, high = said.find("{"), said.rfind("}")
         if low < 0 or high < low:
             raise ValueError("the answer has no JSON") from None
-        return json.loads(text[low : high + 1])
+        return json.loads(said[low : high + 1])
 
 
 async def with_retry(call: Callable, prompt: str) -> Any:
@@ -54,14 +63,55 @@ async def with_retry(call: Callable, prompt: str) -> Any:
         return parse_answer(await call(prompt, json_mode=False))
 
 
+class PromptScorer:
+    """A scorer from a prompt and a client: call(prompt, json_mode=...) is a coroutine that returns the model's text.
+
+    prompt(row) makes the text that is sent; answers are JSON objects with the fields of schema.
+    """
+
+    def __init__(self, name: str, schema: str, prompt: Callable[[Mapping[str, Any]], str], call: Callable):
+        self.name, self.schema, self.prompt, self.call = name, schema, prompt, call
+
+    async def answer(self, row):
+        found = await with_retry(self.call, self.prompt(row))
+        if not isinstance(found, dict):
+            raise ValueError("the answer is no JSON object")
+        return found
+
+
+class DualScorer:
+    """Keywords and subcategories of a function by two calls, the first for the keyword columns, the second for the rest.
+
+    Both answers must be JSON, else the row fails; keywords of a good first answer stay when the second is bad. A call
+    that fails leaves all empty. ask(kind, row) is a coroutine that returns text; kind is 'keywords' or 'classes'.
+    """
+
+    SECOND = "matched_subcategories"
+
+    def __init__(self, name: str, columns: Sequence[str], ask: Callable):
+        self.name, self.ask = name, ask
+        self.columns = [c for c in columns if c != self.SECOND]
+        self.schema = ", ".join(f"`{c}` array<string>" for c in [*self.columns, self.SECOND])
+
+    async def answer(self, row):
+        said = [await self.ask(kind, row) for kind in ("keywords", "classes")]
+        out: dict[str, Any] = {}
+        for text, columns in zip(said, (self.columns, [self.SECOND]), strict=True):
+            try:
+                fence = re.search(FENCE, text)
+                found = json.loads(fence[1].strip() if fence else text)
+            except json.JSONDecodeError as e:
+                raise PartAnswer(out, f"JSON parsing error: {e}") from e
+            out |= {c: found.get(c, []) for c in columns}
+        return out
+
+
 class RoleRules:
     """Roles that a requirement names, as whole words."""
 
     name, schema = "role-rules-1", "roles array<string>"
 
     async def answer(self, row):
-        import re
-
         return {"roles": [r for r in ROLES if re.search(rf"\b{r}\b", row.get("sr") or "", re.IGNORECASE)]}
 
 
@@ -71,8 +121,6 @@ class ConstraintRules:
     name, schema = "constraint-rules-1", "conditions array<string>, actions array<string>"
 
     async def answer(self, row):
-        import re
-
         clauses = [c.strip(" .") for c in re.split(r"[,;]", row.get("sr") or "") if c.strip(" .")]
         is_condition = [bool(re.match(r"(?i)(if|when|unless)\b", c)) for c in clauses]
         return {"conditions": [c for c, k in zip(clauses, is_condition, strict=True) if k], "actions": [c for c, k in zip(clauses, is_condition, strict=True) if not k]}
@@ -100,18 +148,12 @@ class OverlapVerifier:
         self.full, self.part = full, part
 
     async def answer(self, row):
-        import re
-
         tokens = lambda t: {x.upper() for x in re.findall("[A-Za-z_][A-Za-z0-9_]+", t or "")}
         a, b = tokens(row.get("sr")), tokens(row.get("source_code")) | tokens(row.get("dependencies"))
         share = len(a & b) / len(a) if a else 0.0
         return {"outcome": "Fully Matches" if share >= self.full else "Partially Matches" if share >= self.part else "Does Not Match", "reason": f"{share:.3f}"}
 
 
-def key_of(scorer: Scorer, row: Mapping[str, Any]) -> str:
-    return hashlib.sha256(json.dumps([scorer.name, row], sort_keys=True, default=str).encode()).hexdigest()
-
-
 async def bounded(jobs: Sequence[Callable], limit: int) -> list:
     """Results in order of at most `limit` coroutines at a time."""
     gate = asyncio.Semaphore(max(1, limit))
@@ -127,7 +169,7 @@ def scored(df: DataFrame, scorer: Scorer, inputs: Sequence[str], concurrency: in
     """df with the scorer's columns, and with keep_error status and error.
 
     Rows are sent from within their partition, at most `concurrency` at a time, and stay in order. A failed row has
-    empty lists (null for other types). cache is a table (_key, _answer) of earlier answers: rows found in it are not
+    empty lists (null for other types), but for what a PartAnswer holds. cache is a table (_key, _answer) of earlier answers: rows found in it are not
     sent again, so a task that runs twice does not ask twice for what is already kept; new_answers() makes its rows.
     """
     fields = [x.strip() for x in scorer.schema.split(", ")]
@@ -145,6 +187,8 @@ def scored(df: DataFrame, scorer: Scorer, inputs: Sequence[str], concurrency: in
                     return batch["_answer"].iloc[k], "success", None
                 try:
                     return json.dumps(dict(await scorer.answer(rows[k]))), "success", None
+                except PartAnswer as e:
+                    return json.dumps(dict(e.answer)), "failed", str(e)
                 except Exception as e:  # noqa: BLE001  one row's failure is that row's result
                     return None, "failed", str(e)
 

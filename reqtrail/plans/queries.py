@@ -397,6 +397,33 @@ def positional_id(spark, sf_dir):
     return tables.with_ordinal(table(spark, sf_dir, "benchmark").orderBy("item_id").select("item_id")).select("item_id", "sr_id")
 
 
+@query("SELECT url, page_id, row_number() OVER (ORDER BY url, page_id)::BIGINT AS file_id FROM pages")
+def sequential_id_text(spark, sf_dir):
+    """Numbers in an order of texts, as of file paths."""
+    return relations.sequential_ids(table(spark, sf_dir, "pages").select("url", "page_id"), ["url", "page_id"], "file_id")
+
+
+_SEQUENCE_SQL = "list_transform(list_concat({0}, list_transform(range({1}), lambda i: 0))[:{1}], lambda i: i::VARCHAR)::VARCHAR"
+_IDS = {"name": "range(p_size % 9)", "api": "range(p_size)", "tokens": "range(2 * p_size)", "desc": "range(p_size + 1)"}
+
+
+@query(
+    "WITH p AS (SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS id, p_size FROM part), s AS (SELECT id, "
+    + ", ".join(f"{_SEQUENCE_SQL.format(_IDS[c], n)} AS {c}, least(len({_IDS[c]}), {n})::BIGINT AS {c}_len" for c, n in tables.SEQUENCE_LENGTHS.items())
+    + " FROM p) SELECT s.*, o.\"desc\" AS bad_desc, o.desc_len AS bad_desc_len FROM s JOIN s o ON o.id = CAST(('0x' || substr(md5('1:' || s.id), 1, 15)) AS BIGINT) % (SELECT count(*) FROM p)"
+    .replace(" AS desc,", ' AS "desc",')
+)
+def sequence_set(spark, sf_dir):
+    """The joint encoder's data set from four tables of sequences, padded, with a negative description for each row."""
+    part = relations.sequential_ids(table(spark, sf_dir, "part").select("p_partkey", "p_size"), ["p_partkey"], "id").select((F.col("id") - 1).alias("id"), F.col("p_size").cast("int").alias("n"))
+    upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    n = F.col("n")
+    sides = [part.select("id", upto(x).alias("ids")) for x in (n % 9, n, 2 * n, n + 1)]
+    out = tables.sequence_set(*sides)
+    listed = lambda c: F.concat(F.lit("["), F.array_join(F.col(c).cast("array<string>"), ", "), F.lit("]")).alias(c)
+    return out.select("id", *[x for c in (*tables.SEQUENCE_LENGTHS, "bad_desc") for x in (listed(c), F.col(f"{c}_len").cast("bigint").alias(f"{c}_len"))])
+
+
 @query("SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, l_partkey, l_suppkey, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate)::BIGINT AS line_id FROM lineitem")
 def sequential_id(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem")
@@ -407,7 +434,7 @@ def sequential_id(spark, sf_dir):
 @query("SELECT page_id, url FROM pages ORDER BY url, page_id LIMIT 100")
 def capped_scan(spark, sf_dir):
     """The cap is the operator: the first rows of an order."""
-    return table(spark, sf_dir, "pages").select("page_id", "url").orderBy("url", "page_id").limit(100)
+    return relations.capped(table(spark, sf_dir, "pages").select("page_id", "url").orderBy("url", "page_id"), 100)
 
 
 @query("SELECT page_id, ends_with(url, 'top') OR ends_with(url, '.html') AS hit FROM pages")
@@ -427,24 +454,16 @@ def list_cells(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", text.list_to_json(listed).alias("cell"), text.list_to_cell(listed).alias("joined"), F.size(text.cell_to_list(text.list_to_cell(listed))).cast("bigint").alias("n"))
 
 
-@query("SELECT o_orderkey, concat(floor(o_totalprice / 60)::BIGINT, 'm ', floor(o_totalprice - floor(o_totalprice / 60) * 60)::BIGINT, 's') AS took FROM orders")
+@query("SELECT o_orderkey, concat(floor(o_totalprice / 60)::BIGINT, ':', floor(o_totalprice - floor(o_totalprice / 60) * 60)::BIGINT) AS took FROM orders")
 def elapsed_format(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", text.elapsed(F.col("o_totalprice")).alias("took"))
 
 
 @query(
-    "WITH n AS (SELECT count(*) AS n FROM events) SELECT e.event_id, o.event_type AS negative FROM events e, n, events o WHERE o.event_id = (e.event_id * 7919 + 13) % n"
+    "WITH n AS (SELECT count(*) AS n FROM events) SELECT e.event_id, e.event_type, o.event_type AS negative FROM events e, n, events o "
+    "WHERE o.event_id = CAST(('0x' || substr(md5('7:' || e.event_id), 1, 15)) AS BIGINT) % n"
 )
 def negative_pairing(spark, sf_dir):
-    """Negative sampling with an arithmetic pairing, which SQL can repeat; negative_sample() has the hashed one."""
-    rows = table(spark, sf_dir, "events").select("event_id", "event_type")
-    n = rows.count()
-    other = rows.select(F.col("event_id").alias("_other"), F.col("event_type").alias("negative"))
-    return rows.withColumn("_other", F.pmod(F.col("event_id") * 7919 + 13, F.lit(n))).join(other, "_other").select("event_id", "negative")
-
-
-@query()
-def negative_sample(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select("event_id", "event_type")
     return relations.negatives(rows, "event_id", "event_type", rows.count(), seed=7)
 
@@ -456,22 +475,69 @@ def extract_blocks(spark, sf_dir):
     return tree.blocks(pages, "page_id", "html")
 
 
-@query()
+_ROLE_WORDS = "['" + "', '".join(scorers.ROLES) + "']"
+
+
+@query(
+    f"WITH i AS (SELECT item_id AS sr_id, concat('If a Client asks, the Origin Server MUST answer, ', text) AS sr FROM benchmark), "
+    f"r AS (SELECT *, list_filter({_ROLE_WORDS}, lambda r: regexp_matches(sr, concat('(?i)\\b', r, '\\b'))) AS roles, "
+    "list_filter(list_transform(regexp_split_to_array(sr, '[,;]'), lambda c: trim(c, ' .')), lambda c: c <> '') AS clauses FROM i), "
+    "c AS (SELECT *, list_filter(clauses, lambda c: regexp_matches(c, '^(?i)(if|when|unless)\\b')) AS conditions, list_filter(clauses, lambda c: NOT regexp_matches(c, '^(?i)(if|when|unless)\\b')) AS actions FROM r) "
+    "SELECT sr, sr_id, array_to_string(roles, ',') AS role_cell, array_to_string(conditions, ',') AS condition_cell, array_to_string(actions, ',') AS action_cell, len(conditions)::BIGINT AS n_conditions, len(actions)::BIGINT AS n_actions FROM c"
+)
 def role_scores(spark, sf_dir):
+    """Roles, the role filter, conditions and actions, and the flattened output row."""
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("sr_id"), F.concat(F.lit("If a Client asks, the Origin Server MUST answer, "), "text").alias("sr"))
-    return workflow.extract_constraints(workflow.judge_roles(items), "9110")
+    made = workflow.extract_constraints(workflow.judge_roles(items), "9110").withColumnRenamed("sr", "SR Text")
+    cells = made.select("SR Text", "sr_id", F.col("Role").alias("role_cell"), F.col("Conditions").alias("condition_cell"), F.col("Actions").alias("action_cell"), "condition_list", "action_list")
+    out = relations.flattened(cells)
+    return out.select("sr", "sr_id", "role_cell", "condition_cell", "action_cell", F.size("conditions").cast("bigint").alias("n_conditions"), F.size("actions").cast("bigint").alias("n_actions"))
 
 
-@query()
+DUAL_WORDS = ({"status_code": ["worthless"], "field_name": ["the", "die"]}, {"insult": ["idiot", "moron"], "plain": ["und"]})
+
+
+@query(
+    "SELECT doc_id AS function_id, source AS function_name, "
+    + ", ".join(_listed([(k, f"contains(lower(text), '{k}')") for k in v]) + f" AS {c}" for c, v in DUAL_WORDS[0].items())
+    + ", " + _listed([(k, " OR ".join(f"contains(lower(text), '{w}')" for w in v)) for k, v in DUAL_WORDS[1].items()])
+    + " AS matched_subcategories, 'success' AS status, NULL::VARCHAR AS error FROM documents"
+)
 def dual_filter_scores(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("function_id"), F.col("source").alias("function_name"), F.col("text").alias("source_code"))
-    scorer = scorers.DualRules({"status_code": ["worthless"], "field_name": ["the", "die"]}, {"insult": ["idiot", "moron"], "plain": ["und"]})
-    return workflow.dual_filter(docs, scorer).drop("source_code")
+    out = workflow.dual_filter(docs, scorers.DualRules(*DUAL_WORDS)).drop("source_code")
+    return out.select("function_id", "function_name", *[F.array_join(c, ",").alias(c) for c in (*DUAL_WORDS[0], "matched_subcategories")], "status", "error")
 
 
-@query()
+class _Said:
+    """Answers of a model for dual_filter_parts(): every third first answer is fenced, every fifth second one is no JSON, every seventh call fails."""
+
+    async def __call__(self, kind, row):
+        i = row["function_id"]
+        if i % 7 == 0:
+            raise RuntimeError("no answer")
+        if kind == "keywords":
+            return f'So:\n```json\n{{"status_code": ["{i}"], "method": ["GET"]}}\n```' if i % 3 == 0 else f'{{"status_code": ["{i}"]}}'
+        return "none" if i % 5 == 0 else '{"matched_subcategories": ["a", "b"]}'
+
+
+@query(
+    "SELECT event_id AS function_id, CASE WHEN event_id % 7 = 0 THEN '' ELSE event_id::VARCHAR END AS status_code, CASE WHEN event_id % 7 <> 0 AND event_id % 3 = 0 THEN 'GET' ELSE '' END AS method, "
+    "CASE WHEN event_id % 7 <> 0 AND event_id % 5 <> 0 THEN 'a,b' ELSE '' END AS matched_subcategories, CASE WHEN event_id % 7 = 0 OR event_id % 5 = 0 THEN 'failed' ELSE 'success' END AS status FROM events"
+)
+def dual_filter_parts(spark, sf_dir):
+    """Two calls for each function: a bad second answer fails the row but leaves the first one's keywords."""
+    rows = table(spark, sf_dir, "events").select(F.col("event_id").alias("function_id"), F.col("event_type").alias("function_name"), F.col("props").alias("source_code"))
+    out = workflow.dual_filter(rows, scorers.DualScorer("said", ["status_code", "method", "matched_subcategories"], _Said()))
+    return out.select("function_id", *[F.array_join(c, ",").alias(c) for c in ("status_code", "method", "matched_subcategories")], "status")
+
+
+@query(
+    "WITH " + TOKENS_SQL + ", made AS (SELECT doc_id, item_id, score FROM ranked WHERE rank <= 10) SELECT doc_id AS function_id, item_id AS sr_id, "
+    "CASE WHEN score >= 0.8 THEN 'Fully Matches' WHEN score >= 0.3 THEN 'Partially Matches' ELSE 'Does Not Match' END AS outcome, format('{:.3f}', score)::DOUBLE AS share, 'success' AS status FROM made"
+)
 def verified_pairs(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("function_id"), F.col("source").alias("function_name"), F.lit("f").alias("file_path"), F.col("text").alias("source_code"))
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("sr_id"), F.col("text").alias("sr"))
     made = workflow.heuristic_candidates(docs, items)
-    return workflow.verify(workflow.pairs(made, docs, items)).select("function_id", "sr_id", "outcome", "reason", "status")
+    return workflow.verify(workflow.pairs(made, docs, items)).select("function_id", "sr_id", "outcome", F.round(F.col("reason").cast("double"), 3).alias("share"), "status")

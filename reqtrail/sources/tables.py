@@ -7,9 +7,14 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.text import ordered_keywords
+from ..functions.vocab import pad
+from ..operators.kept import numbered
+from ..operators.relations import flatten_groups, negatives
+
+# Greatest lengths of the four sequences of a function.
+SEQUENCE_LENGTHS = {"name": 6, "api": 30, "tokens": 50, "desc": 30}
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -62,27 +67,40 @@ def flat_keywords(table: DataFrame) -> list[str]:
 
 def read_groups(spark: SparkSession, path: str) -> DataFrame:
     """{group: {subgroup: [ids]}} as (sr_id, group, subgroup); what has another shape is left out, and of repeated ids the last counts."""
-    out: dict[int, tuple[str, str]] = {}
-    for group, inner in json.loads(read_text(spark, path)).items():
-        for subgroup, ids in (inner if isinstance(inner, dict) else {}).items():
-            for i in ids if isinstance(ids, list) else ():
-                try:
-                    out[int(i)] = (str(group), str(subgroup))
-                except (TypeError, ValueError):
-                    continue
-    return spark.createDataFrame([(i, *g) for i, g in out.items()], "sr_id int, group string, subgroup string")
+    outer = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string,string>").alias("outer"))
+    inner = F.transform_values("outer", lambda _, v: F.transform_values(F.coalesce(F.from_json(v, "map<string,string>"), F.create_map().cast("map<string,string>")), lambda _, ids: F.coalesce(F.from_json(ids, "array<string>"), F.array().cast("array<string>"))))
+    return flatten_groups(outer.select(inner.alias("groups")))
+
+
+def sequence_set(names: DataFrame, apis: DataFrame, tokens: DataFrame, descriptions: DataFrame | None = None, lengths: Mapping[str, int] = SEQUENCE_LENGTHS, seed: int = 1) -> DataFrame:
+    """The data set of a joint encoder from tables (id, ids) of integer sequences whose ids run from 0.
+
+    Each sequence is cut and padded with zeros to its greatest length, with the length before padding (`name_len`, ...).
+    With descriptions each row also has those of a row chosen by a hash of the seed (`bad_desc`). Tables that differ in
+    their rows are an error.
+    """
+    parts = {"name": names, "api": apis, "tokens": tokens} | ({"desc": descriptions} if descriptions is not None else {})
+    rows = check_counts(*parts.values())
+    out = None
+    for name, part in parts.items():
+        most = lengths[name]
+        one = part.select("id", pad(F.col("ids"), most).alias(name), F.least(F.size("ids"), F.lit(most)).alias(f"{name}_len"))
+        out = one if out is None else out.join(one, "id")
+    if descriptions is not None:
+        paired = negatives(out.select("id", F.struct("desc", "desc_len").alias("_desc")), "id", "_desc", rows, seed)
+        out = out.join(paired.select("id", F.col("negative.desc").alias("bad_desc"), F.col("negative.desc_len").alias("bad_desc_len")), "id")
+    return out
 
 
 def read_lines(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
     """(id, line): one row for each line, numbered from 0 in file order."""
     lines = spark.read.option("encoding", encoding).csv(path, sep="\u0001", quote="", header=False, schema="line string") if encoding.upper() not in ("UTF-8", "UTF8") else spark.read.text(path).withColumnRenamed("value", "line")
-    return spark.createDataFrame(lines.rdd.zipWithIndex().map(lambda x: (x[1], x[0][0])), "id bigint, line string")
+    return numbered(lines, "id").select("id", "line")
 
 
 def with_ordinal(df: DataFrame, name: str = "sr_id") -> DataFrame:
-    """df with each row's position in the source, from 0."""
-    schema = T.StructType([T.StructField(name, T.LongType(), False), *df.schema.fields])
-    return df.sparkSession.createDataFrame(df.rdd.zipWithIndex().map(lambda x: (x[1], *x[0])), schema)
+    """df with each row's position in the source, from 0, as its first column."""
+    return numbered(df, name).select(name, *[F.col(f"`{c}`") for c in df.columns if c != name])
 
 
 def ragged_slices(sequences: DataFrame, start: int, count: int, rows: int) -> DataFrame:

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..operators.kept import numbered
+
 # Suffixes of source files, caps, and the shape of a function's head at the start of a line.
 SUFFIXES = (".c", ".h", ".cc", ".cpp")
 MAX_FILES, MAX_FUNCTIONS = 2000, 5000
@@ -70,12 +72,13 @@ def _extract(order_field: bool):
     return run
 
 
-def extract_functions(files: DataFrame, backend: str | None = "regex", max_functions: int | None = MAX_FUNCTIONS) -> DataFrame:
+def extract_functions(files: DataFrame, backend: str | None = "regex", max_functions: int | None = MAX_FUNCTIONS, library: str | None = None, include_dirs: Sequence[str] = (), extra_args: Sequence[str] = ()) -> DataFrame:
     """Functions of (file_path, content, order), with ids from 1 in the order of files and of text.
 
-    Backends: regex (the default, also for null); clang where its bindings are installed. Bytes that are no UTF-8
+    Backends: regex (the default, also for null); clang where its bindings are installed, with the library, include
+    folders and further arguments that are given. Bytes that are no UTF-8
     are dropped. Files are parsed on the executors. With a cap the ids come from one window over at most that many
-    rows; without one (None) from file counts, so that no task sees all rows.
+    rows; without one (None) from sorted partitions, so that no task sees all rows.
     """
     backend = (backend or "regex").lower()
     if backend == "clang":
@@ -85,7 +88,7 @@ def extract_functions(files: DataFrame, backend: str | None = "regex", max_funct
             raise RuntimeError("the clang backend needs clang's Python bindings; the regex backend needs nothing") from e
         from .clang_tree import extract
 
-        found = extract(files)
+        found = extract(files, library, include_dirs, extra_args)
     elif backend == "regex":
         found = files.select("file_path", "content").mapInPandas(_extract(True), FOUND)
     else:
@@ -95,9 +98,7 @@ def extract_functions(files: DataFrame, backend: str | None = "regex", max_funct
         first = found.orderBy("order", "_at").limit(max_functions)
         out = first.withColumn("function_id", F.row_number().over(Window.orderBy("order", "_at")))
     else:
-        counts = found.groupBy("order").agg(F.count("*").alias("_n"))
-        before = counts.withColumn("_before", F.sum("_n").over(Window.orderBy("order").rowsBetween(Window.unboundedPreceding, -1)))
-        out = found.join(before.select("order", "_before"), "order").withColumn("function_id", (F.coalesce("_before", F.lit(0)) + F.col("_at") + 1).cast("int"))
+        out = numbered(found, "function_id", ["order", "_at"], first=1).withColumn("function_id", F.col("function_id").cast("int"))
     return out.select("function_id", "function_name", "file_path", "start_line", "end_line", "source_code")
 
 

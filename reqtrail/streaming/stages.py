@@ -10,6 +10,7 @@ from pyspark.sql.types import StructType
 
 from ..functions import text
 from ..operators import dictionary
+from ..operators.sizes import broadcast_if_small
 
 
 def read_stream(spark: SparkSession, path: str, schema: StructType, files_per_trigger: int = 100) -> DataFrame:
@@ -28,7 +29,7 @@ def overlap_stream(stream: DataFrame, requirements: DataFrame, ident: str, colum
 
     Scores are made inside the row, so the stream keeps no state.
     """
-    side = F.broadcast(requirements.select(F.col(requirement[0]), text.token_set(F.col(requirement[1])).alias("_want")))
+    side = broadcast_if_small(requirements.select(F.col(requirement[0]), text.token_set(F.col(requirement[1])).alias("_want")))
     met = stream.withColumn("_have", text.token_set(F.col(column))).join(side, F.arrays_overlap("_have", "_want"))
     return met.select(ident, requirement[0], text.overlap(F.col("_want"), F.col("_have")).alias("score"))
 
@@ -38,7 +39,7 @@ def dictionary_stream(stream: DataFrame, requirements: DataFrame, columns: Mappi
     keywords = dictionary.long_keywords(stream, function, columns)
     cells = [F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").alias("value")) for c in dict.fromkeys(columns.values()) if c in requirements.columns]
     side = requirements.select(requirement, F.explode(F.array(*cells)).alias("_c")).select(requirement, F.col("_c.column").alias("column"), F.col("_c.value").alias("value"))
-    return keywords.join(side, "column").filter(F.contains("value", "keyword")).select(function, requirement, "column", "keyword")
+    return keywords.join(broadcast_if_small(side), "column").filter(F.contains("value", "keyword")).select(function, requirement, "column", "keyword")
 
 
 def run_available(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str) -> None:

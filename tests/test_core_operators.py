@@ -96,7 +96,7 @@ def test_neighbours_and_ids(spark):
     got = {(r["doc"], r["at"]): (r["prev_paragraph"], r["next_paragraph"]) for r in relations.neighbours(rows, "doc", "at", "text").collect()}
     assert got == {("d", 1): (None, "b"), ("d", 2): ("a", None), ("e", 1): (None, None)}
     many = spark.range(1000).select((F.col("id") * 7 % 1000).alias("k"), (F.col("id") % 3).alias("j"))
-    out = relations.sequential_ids(many, ["k", "j"], "n", buckets=8).orderBy("k").collect()
+    out = relations.sequential_ids(many, ["k", "j"], "n").orderBy("k").collect()
     assert [r["n"] for r in out] == list(range(1, 1001))
     held = relations.sequential_ids(spark.createDataFrame([(None,), (None,), (5,)], "k int"), ["k"], "n").orderBy("n").collect()
     assert [(r["k"], r["n"]) for r in held] == [(None, 1), (None, 2), (5, 3)]
@@ -201,3 +201,120 @@ def test_embedding_and_chunks(spark):
 
 def test_schemas(spark):
     assert spark.createDataFrame([], dual_filter(HTTP_COLUMNS)).columns == [*HTTP_COLUMNS, "status", "error"]
+
+
+def test_numbers_in_any_order(spark):
+    """Numbers in orders of text, with one first value for all rows, with nulls, and in the order of the source."""
+    from reqtrail.operators.kept import numbered
+
+    rows = [(None if k % 11 == 0 else f"dir/{k % 5}", (k * 7919) % 1000) for k in range(1000)]
+    df = spark.createDataFrame(rows, "path string, at int").repartition(7)
+    got = [(r["path"], r["at"]) for r in relations.sequential_ids(df, ["path", "at"]).orderBy("function_id").collect()]
+    assert got == sorted(rows, key=lambda r: (r[0] is not None, r[0] or "", r[1]))
+    same = relations.sequential_ids(df.withColumn("path", F.lit("one")), ["path", "at"])
+    assert [r["at"] for r in same.orderBy("function_id").collect()] == sorted(r[1] for r in rows)
+    ids = sorted(r[0] for r in same.select("function_id").collect())
+    assert ids == list(range(1, 1001))
+    source = spark.range(100, numPartitions=6).withColumnRenamed("id", "v")
+    assert all(r["sr_id"] == r["v"] for r in numbered(source, "sr_id").collect())
+    assert numbered(spark.range(0), "n").count() == 0
+
+
+def test_broadcast_by_bytes(spark, monkeypatch):
+    from reqtrail.operators import sizes
+
+    small = spark.createDataFrame([("a", [1, 2])], "k string, l array<int>")
+    long = small.withColumn("l", F.sequence(F.lit(1), F.lit(10_000)))
+    hinted = lambda df, limit: "broadcast" in df._jdf.queryExecution().logical().toString().lower()
+    assert hinted(sizes.broadcast_if_small(small, 1000), 0) and not hinted(sizes.broadcast_if_small(long, 1000), 0)
+    assert sizes.broadcast_if_small(small.limit(0), 0) is not None
+
+
+def test_dual_scorer(spark):
+    """Both answers must parse; keywords of the first stay when the second is bad; a call that fails leaves all empty."""
+    class Said:
+        async def __call__(self, kind, row):
+            return {"keywords": row["source_code"], "classes": row["function_name"]}[kind]
+
+    rows = spark.createDataFrame([(1, '{"matched_subcategories": ["x"]}', '```json\n{"method": ["GET"]}\n```'), (2, "no", '{"method": ["PUT"], "other": [1]}'), (3, "{}", "no"), (4, "{}", None)], "function_id int, function_name string, source_code string")
+    out = {r["function_id"]: r for r in workflow.dual_filter(rows, scorers.DualScorer("t", ["method"], Said())).collect()}
+    assert (out[1]["method"], out[1]["matched_subcategories"], out[1]["status"], out[1]["error"]) == (["GET"], ["x"], "success", None)
+    assert (out[2]["method"], out[2]["matched_subcategories"], out[2]["status"]) == (["PUT"], [], "failed") and "JSON" in out[2]["error"]
+    assert (out[3]["method"], out[3]["status"], out[4]["status"]) == ([], "failed", "failed")
+
+
+def test_prompt_scorer(spark):
+    class Call:
+        async def __call__(self, prompt, json_mode):
+            if json_mode and "b" in prompt:
+                raise RuntimeError("no such mode")
+            return f'It is {{"said": "{prompt}"}}' if "c" not in prompt else "[1]"
+
+    class Prompt:
+        def __call__(self, row):
+            return f"say {row['sr']}"
+
+    rows = spark.createDataFrame([("a",), ("b",), ("c",)], "sr string")
+    out = {r["sr"]: (r["said"], r["status"]) for r in scorers.scored(rows, scorers.PromptScorer("p", "said string", Prompt(), Call()), ["sr"]).collect()}
+    assert out == {"a": ("say a", "success"), "b": ("say b", "success"), "c": (None, "failed")}
+
+
+def test_flattened(spark):
+    rows = spark.createDataFrame([("text", "c1", "a1,a2", ["c1"], ["a1", "a2"], "9110")], "`SR Text` string, Conditions string, Actions string, condition_list array<string>, action_list array<string>, rfc string")
+    out = relations.flattened(rows)
+    assert out.columns == ["sr", "conditions", "actions", "rfc"] and tuple(out.first()) == ("text", ["c1"], ["a1", "a2"], "9110")
+
+
+def test_sequence_set(spark):
+    from reqtrail.sources import tables
+
+    one = spark.createDataFrame([(0, [5, 6]), (1, list(range(9)))], "id bigint, ids array<int>")
+    out = {r["id"]: r for r in tables.sequence_set(one, one, one, one).collect()}
+    assert out[0]["name"] == [5, 6, 0, 0, 0, 0] and out[0]["name_len"] == 2 and out[1]["name"] == [0, 1, 2, 3, 4, 5] and out[1]["name_len"] == 6
+    assert len(out[1]["desc"]) == 30 and all(out[i]["bad_desc"] in (out[0]["desc"], out[1]["desc"]) for i in out)
+    with pytest.raises(ValueError):
+        tables.sequence_set(one, one, one.limit(1))
+
+
+def test_encoders(spark):
+    """Against a step-by-step version for single rows."""
+    import math
+
+    import numpy as np
+
+    from reqtrail.operators import encoders
+
+    class Encoding:
+        def __init__(self, name, weights):
+            self.name, self.weights = name, weights
+
+        def __call__(self, rows):
+            return getattr(encoders, self.name)(rows, self.weights)
+
+    rng = np.random.default_rng(3)
+    weights = {}
+    for x in ("name", "api", "desc"):
+        weights[f"{x}.embedding"] = rng.normal(size=(9, 3))
+        for d in ("forward", "backward"):
+            weights |= {f"{x}.{d}.input": rng.normal(size=(8, 3)), f"{x}.{d}.state": rng.normal(size=(8, 2)), f"{x}.{d}.bias": rng.normal(size=8)}
+        weights |= {f"{x}.weight": rng.normal(size=(5, 4)), f"{x}.bias": rng.normal(size=5)}
+    weights |= {"tokens.embedding": rng.normal(size=(9, 3)), "tokens.weight": rng.normal(size=(5, 3)), "tokens.bias": rng.normal(size=5), "fuse.weight": rng.normal(size=(5, 5)), "fuse.bias": rng.normal(size=5)}
+
+    def walk(x, d, ids):
+        s = lambda v: 1 / (1 + math.exp(-v))
+        h, c = [0.0, 0.0], [0.0, 0.0]
+        for i in ids if d == "forward" else ids[::-1]:
+            z = weights[f"{x}.{d}.input"] @ weights[f"{x}.embedding"][i] + weights[f"{x}.{d}.state"] @ np.array(h) + weights[f"{x}.{d}.bias"]
+            c = [s(z[2 + k]) * c[k] + s(z[k]) * math.tanh(z[4 + k]) for k in range(2)]
+            h = [s(z[6 + k]) * math.tanh(c[k]) for k in range(2)]
+        return h
+
+    both = lambda x, ids: weights[f"{x}.weight"] @ np.array(walk(x, "forward", ids) + walk(x, "backward", ids)) + weights[f"{x}.bias"]
+    data = [(1, [1, 2, 3, 0], 3, [4, 0], 1, [7, 8, 0], [5, 6, 1], 3), (2, [8, 0, 0, 0], 1, [1, 2], 2, [3, 3, 3], [2, 0, 0], 1), (3, [0, 0, 0, 0], 0, [0, 0], 0, [0, 0, 0], [0, 0, 0], 0)]
+    rows = spark.createDataFrame(data, "id int, name array<int>, name_len int, api array<int>, api_len int, tokens array<int>, desc array<int>, desc_len int")
+    code = {r["id"]: r["vec"] for r in scorers.embedded(rows, Encoding("encode_code", weights), "id", ["name", "name_len", "api", "api_len", "tokens"], normalise=False).collect()}
+    desc = {r["id"]: r["vec"] for r in scorers.embedded(rows, Encoding("encode_description", weights), "id", ["desc", "desc_len"], normalise=False).collect()}
+    for i, name, n, api, m, tokens, words, k in data:
+        pooled = weights["tokens.weight"] @ weights["tokens.embedding"][tokens].max(0) + weights["tokens.bias"]
+        want = weights["fuse.weight"] @ np.tanh(both("name", name[:n]) + both("api", api[:m]) + pooled) + weights["fuse.bias"]
+        assert np.allclose(code[i], want, atol=1e-5) and np.allclose(desc[i], both("desc", words[:k]), atol=1e-5)

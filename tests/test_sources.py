@@ -116,3 +116,37 @@ def test_streams(spark, tmp_path):
     stages.run_available(stages.dictionary_stream(stream(), reqs, {"method": "method"}), keep("dictionary"), str(tmp_path / "c2"))
     stages.run_available(stages.keyword_stream(stream().select("function_id", "source_code"), {"method": ["GET"]}, "source_code").select("function_id", "method"), keep("keywords"), str(tmp_path / "c3"))
     assert got == {"overlap": [(1, 7, 0.5)], "dictionary": [(1, 7, "method", "GET")], "keywords": [(1, "GET"), (2, "")]} or sorted(got["keywords"]) == [(1, "GET"), (2, "")]
+
+
+def test_clang_definitions():
+    """With a stand-in for the bindings: own definitions only, cut by places in the text that was parsed, else by lines."""
+    from types import SimpleNamespace as N
+
+    from reqtrail.sources import clang_tree
+
+    raw = b"// caf\xe9\xff\nint f(int a)\n{ return a; }\nint g(void);\nint h(void) { return 1; }\n"
+    text = raw.decode("utf-8", "ignore")
+    kinds = N(FUNCTION_DECL=1, VAR_DECL=2)
+
+    def cursor(name, part, kind=1, definition=True, file="a.c", shift=0):
+        at = text.encode().index(part.encode())
+        line = text[: text.index(part)].count("\n") + 1
+        start, end = N(file=file, offset=at + shift, line=line), N(offset=at + (len(part) if not shift else 0) + shift, line=line + part.count("\n"))
+        return N(kind=kind, spelling=name, is_definition=lambda: definition, extent=N(start=start, end=end))
+
+    seen = []
+
+    class Index:
+        def parse(self, path, args, unsaved_files, options):
+            if path == "bad.c":
+                raise RuntimeError("no unit")
+            seen.append((path, args, unsaved_files, options))
+            return N(cursor=N(get_children=lambda: [
+                cursor("f", "int f(int a)\n{ return a; }"), cursor("g", "int g(void);", definition=False), cursor("v", "int h", kind=2),
+                cursor("x", "int g", file="other.h"), cursor("h", "int h(void) { return 1; }", shift=10_000)]))
+
+    stub = N(TranslationUnit=N(PARSE_INCOMPLETE=2, PARSE_DETAILED_PROCESSING_RECORD=1), CursorKind=kinds)
+    got = list(clang_tree.definitions(stub, Index(), "a.c", raw, ["-Iinc", "-DX"]))
+    assert got == [("a.c", 0, "f", 2, 3, "int f(int a)\n{ return a; }"), ("a.c", 1, "h", 5, 5, "int h(void) { return 1; }")]
+    assert seen == [("a.c", ["-Iinc", "-DX"], [("a.c", text)], 3)]
+    assert list(clang_tree.definitions(stub, Index(), "bad.c", raw, [])) == []

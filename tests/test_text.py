@@ -82,8 +82,8 @@ def test_json(spark):
 
 def test_small_rules(spark):
     assert one(spark, text.normalize_query(F.lit("How to sort a list?"))) == "sort a list"
-    assert one(spark, text.elapsed(F.lit(125.9))) == "2m 5s"
-    assert one(spark, text.remaining(F.lit(60.0), F.lit(0.5))) == "1m 0s<1m 0s"
+    assert one(spark, text.elapsed(F.lit(125.9))) == "2:5"
+    assert one(spark, text.remaining(F.lit(60.0), F.lit(0.5))) == "1:0<1:0"
     assert text.call_options("o3-mini", 5) == {"max_completion_tokens": 5}
     assert text.call_options(None, 5) == {"max_tokens": 5, "temperature": 0}
     assert text.endpoint("lite", {"lite": "x"}) == "x"
