@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from ..functions.text import split_cell, typed_cell
 from .sizes import broadcast_if_small
 
+#: Blocks that each side is cut into where the cells are too many to be broadcast.
+BLOCKS = 16
+
 
 def long_keywords(functions: DataFrame, ident: str, columns: Mapping[str, str], mode: str = "compat") -> DataFrame:
     """(ident, column, keyword): a row for each occurrence of a keyword; column is the requirement column it is sought in.
@@ -36,9 +39,17 @@ def keyword_matches(keywords: DataFrame, requirements: DataFrame, ident: str, co
         each = side.select(ident, "column", F.explode(split_cell(F.col("value"))).alias("keyword"))
         return distinct.join(each, ["column", "keyword"]).select("column", "keyword", ident).distinct()
     # Equal cells are matched once, and their requirements come back by a second join.
-    values = side.groupBy("column", "value").agg(F.collect_list(ident).alias("_ids"))
-    met = distinct.join(broadcast_if_small(values), "column").filter(F.contains("value", "keyword"))
-    return met.select("column", "keyword", F.explode("_ids").alias(ident))
+    values = side.select("column", "value").distinct()
+    few = broadcast_if_small(values)
+    if few is not values:
+        met = distinct.join(few, "column")
+    else:
+        # Blocks of keywords meet blocks of values: no task holds all of a column.
+        block = lambda c: F.pmod(F.xxhash64(c), F.lit(BLOCKS)).cast("int")
+        every = F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1)))
+        met = distinct.withColumn("_i", block("keyword")).withColumn("_j", every).join(values.withColumn("_j", block("value")).withColumn("_i", every), ["column", "_i", "_j"])
+    met = met.filter(F.contains("value", "keyword")).select("column", "keyword", "value")
+    return met.join(side, ["column", "value"]).select("column", "keyword", ident)
 
 
 def all_empty(columns: list[str]) -> Column:
