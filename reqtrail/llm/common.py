@@ -13,6 +13,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.kept import shared_folder
+
 #: Bytes of text in one range of ids where there are more than a few, the least that a range is cut for, and the most ranges: their
 #: bounds are literals of a plan. With more text ranges grow (2 GB each at 100 TB); what reads them sorts with spill and streams.
 RANGE_BYTES, LEAST_RANGE_BYTES, MOST_RANGES = 24 << 20, 2 << 20, 50_000
@@ -30,11 +32,18 @@ SALTS = 16
 
 
 def scratch(spark: SparkSession) -> str:
-    """Folder that driver and executors share: spark.checkpoint.dir, or one in the warehouse where that is unset."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        shared = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
-    return shared.rstrip("/")
+    """This application's part of the folder that driver and executors share."""
+    return f"{shared_folder(spark)}/llm-{spark.sparkContext.applicationId}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all that the operators have written for this application, once no result of theirs is read any more."""
+    removed_path(spark, scratch(spark))
+
+
+def removed_path(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
 
 
 def table_path(spark: SparkSession, name: str) -> str:
@@ -55,9 +64,7 @@ def discard(*tables: DataFrame) -> None:
     for t in tables:
         path = getattr(t, "_scratch_path", None)
         if path:
-            jvm = t.sparkSession._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+            removed_path(t.sparkSession, path)
 
 
 def salted_left_join(rows: DataFrame, side: DataFrame, on: list[str], salts: int = SALTS) -> DataFrame:
@@ -238,10 +245,10 @@ def id_ranges(docs: DataFrame) -> list[int]:
     if n == 1 or not count:
         return []
     some = docs.select("doc_id").filter("doc_id IS NOT NULL").filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) <= F.lit(min(1.0, IDS_PER_RANGE * n / count) * (1 << 30)))
-    ids = np.sort(some.toArrow().column(0).to_numpy())  # about IDS_PER_RANGE * MOST_RANGES at most
-    if not len(ids):
-        return []
-    return np.unique(ids[np.arange(1, n) * len(ids) // n]).tolist()
+    ids = some.agg(F.sort_array(F.collect_list("doc_id")).alias("ids"))  # about IDS_PER_RANGE * MOST_RANGES of them at most
+    place = lambda k: F.floor(k * F.size("ids") / n).cast("int") + 1
+    cuts = ids.select(F.transform(F.sequence(F.lit(1), F.lit(n - 1)), lambda k: F.try_element_at("ids", place(k)))).first()[0]
+    return sorted({c for c in cuts if c is not None})
 
 
 def range_of(ident: Column, cuts: list[int]) -> Column:
