@@ -1,9 +1,10 @@
 """Toxicity: a weighted lexicon, matched by Aho-Corasick on folded words, normalised by length, with exception phrases.
 
 Folding maps homoglyphs and accents to plain letters, digits and signs to the letters they stand for, and drops what
-is no letter; a word with other punctuation inside counts by its parts as well. The lexicon is learned: word beginnings whose log odds of occurring in a toxic document are high. A
-phrase of a match and its neighbour that is seen mostly in documents that are not toxic makes an exception. A logistic
-curve turns the weights' sum and the sum per 100 words into a score.
+is no letter; a word with other punctuation inside counts by its parts as well. The lexicon is learned: word beginnings,
+and pairs of words, whose log odds of occurring in a toxic document are high. A phrase of a match and its neighbour
+that is seen mostly in documents that are not toxic makes an exception. A logistic curve turns the weights' sum and
+the sum per 100 words into a score.
 """
 
 from __future__ import annotations
@@ -11,6 +12,8 @@ from __future__ import annotations
 import math
 import unicodedata
 from collections import Counter
+from collections.abc import Callable
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +47,7 @@ def fold(word: str) -> str:
     return "".join(c for c in (DIGITS.get(x, HOMOGLYPHS.get(x, x)) for x in plain) if c.isalpha())
 
 
+@lru_cache(maxsize=1 << 18)
 def forms(word: str) -> list[str]:
     """The folded word; behind it its folded parts, where inner punctuation that stands for no letter parts it."""
     joined = fold(word)
@@ -63,28 +67,56 @@ def _folded(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[lis
     return [forms(whole[a:b].decode("utf-8", "replace")) for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)], at
 
 
-def _count_terms(batches):
-    """Documents of the sample with and without the label that hold each word beginning."""
-    toxic, clean = Counter(), Counter()
-    rows = [0, 0]
-    for batch in batches:
-        labels = batch.column(1).to_pylist()
-        data, offsets = string_buffers(batch.column(0))
-        for i, j in steps(offsets):
-            part, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-            starts, ends, first = words_of(part, at)
-            names, number = _folded(part, starts, ends)
-            heads = [[w[:k] for w in forms_ for k in (*range(SHORTEST, min(len(w), LONGEST + 1)), len(w)) if k >= SHORTEST] for forms_ in names]
-            for k in range(j - i):
-                terms = set()
-                for n in set(number[first[k] : first[k + 1]].tolist()):
-                    terms.update(heads[n])
-                rows[labels[i + k]] += 1
-                (toxic if labels[i + k] else clean).update(terms)
-        if len(toxic) + len(clean) > 400_000:
-            yield _counted(toxic, clean, [0, 0])
-            toxic, clean = Counter(), Counter()
-    yield _counted(toxic, clean, rows)
+def running(names: list[list[str]], number: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The folded words of rows one after the other, with the parts of a word in its place, and where each row's begin."""
+    parts = [x[1:] or x for x in names]
+    sizes = np.array([len(x) for x in parts], np.int64)
+    begin = np.cumsum(sizes) - sizes
+    n = sizes[number]
+    ends = np.concatenate([[0], np.cumsum(n)])
+    flat = np.array([w for x in parts for w in x], object)
+    return flat[np.repeat(begin[number] - ends[:-1], n) + np.arange(int(ends[-1]))] if len(number) else flat[:0], ends[first]
+
+
+def _counts(terms_of: Callable, wanted: Callable[[int], bool] = lambda label: True):
+    """Documents of the sample with and without the label that hold each of terms_of(forms, numbers, first) for each row."""
+
+    def run(batches):
+        toxic, clean = Counter(), Counter()
+        rows = [0, 0]
+        for batch in batches:
+            labels = batch.column(1).to_pylist()
+            data, offsets = string_buffers(batch.column(0))
+            for i, j in steps(offsets):
+                part, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+                starts, ends, first = words_of(part, at)
+                names, number = _folded(part, starts, ends)
+                for k, terms in enumerate(terms_of(names, number, first)):
+                    rows[labels[i + k]] += 1
+                    if wanted(labels[i + k]):
+                        (toxic if labels[i + k] else clean).update(terms)
+            if len(toxic) + len(clean) > 400_000:
+                yield _counted(toxic, clean, [0, 0])
+                toxic, clean = Counter(), Counter()
+        yield _counted(toxic, clean, rows)
+
+    return run
+
+
+def beginnings(names: list[list[str]], number: np.ndarray, first: np.ndarray):
+    """For each row the beginnings of its folded words, and those words."""
+    heads = [[w[:k] for w in forms_ for k in (*range(SHORTEST, min(len(w), LONGEST + 1)), len(w)) if k >= SHORTEST] for forms_ in names]
+    for a, b in zip(first[:-1], first[1:], strict=True):
+        yield {t for n in set(number[a:b].tolist()) for t in heads[n]}
+
+
+def phrases(names: list[list[str]], number: np.ndarray, first: np.ndarray, among: frozenset[str] | None = None):
+    """For each row its pairs of neighbouring folded words, joined by a blank; of a given set if there is one."""
+    words, at = running(names, number, first)
+    for a, b in zip(at[:-1], at[1:], strict=True):
+        row = words[a:b].tolist()
+        found = {f"{x} {y}" for x, y in zip(row[:-1], row[1:], strict=True) if x and y}
+        yield found if among is None else found & among
 
 
 def _counted(toxic: Counter, clean: Counter, rows: list[int]) -> pa.RecordBatch:
@@ -95,8 +127,8 @@ def _counted(toxic: Counter, clean: Counter, rows: list[int]) -> pa.RecordBatch:
     )
 
 
-def closed_terms(counts: dict[str, tuple[int, int]], n_toxic: int, n_clean: int) -> dict[str, float]:
-    """The lexicon: beginnings with high log odds, as long as they lose few documents, without those that a shorter entry covers."""
+def worth(counts: dict[str, tuple[int, int]], n_toxic: int, n_clean: int) -> dict[str, float]:
+    """Log odds of the terms that have high ones and are unlikely to have them by chance."""
     odds = lambda t, c: math.log((t + 0.5) / (n_toxic - t + 0.5)) - math.log((c + 0.5) / (n_clean - c + 0.5))
     rate = (n_toxic + 0.5) / (n_toxic + n_clean + 1)
 
@@ -105,7 +137,12 @@ def closed_terms(counts: dict[str, tuple[int, int]], n_toxic: int, n_clean: int)
         p = t / (t + c)
         return (t + c) * (p * math.log(p / rate) + (1 - p) * math.log(max(1 - p, 1e-12) / (1 - rate))) if p > rate else 0.0
 
-    weight = {x: w for x, (t, c) in counts.items() if (w := odds(t, c)) >= LEAST_WEIGHT and surprise(t, c) >= LEAST_SURPRISE}
+    return {x: w for x, (t, c) in counts.items() if (w := odds(t, c)) >= LEAST_WEIGHT and surprise(t, c) >= LEAST_SURPRISE}
+
+
+def closed_terms(counts: dict[str, tuple[int, int]], n_toxic: int, n_clean: int) -> dict[str, float]:
+    """The lexicon: beginnings with high log odds, as long as they lose few documents, without those that a shorter entry covers."""
+    weight = worth(counts, n_toxic, n_clean)
     longer: dict[str, list[str]] = {}
     for x in weight:
         longer.setdefault(x[:-1], []).append(x)
@@ -122,7 +159,10 @@ def closed_terms(counts: dict[str, tuple[int, int]], n_toxic: int, n_clean: int)
 
 
 class Lexicon:
-    """An automaton of ' term' over folded words that are joined by blanks: a term matches where a word begins."""
+    """An automaton of ' term' over folded words that are joined by blanks: a term matches where a word begins.
+
+    A term is the beginning of a word, or a word and behind a blank the beginning of the next one.
+    """
 
     def __init__(self, weights: dict[str, float], exceptions: frozenset[tuple[str, str]] = frozenset(), curve: tuple = (0.0, 0.0, 0.0)):
         self.weights, self.exceptions, self.curve = weights, exceptions, curve
@@ -132,63 +172,55 @@ class Lexicon:
     def __getstate__(self):
         return {"weights": self.weights, "exceptions": self.exceptions, "curve": self.curve, "machine": None, "rows": self.rows}
 
-    def match(self, words: list[str]) -> tuple[np.ndarray, list[str]]:
-        """The largest weight at each word's beginning (0: none), and the term."""
-        if self.machine is None and self.weights:
+    def match(self, words: list[str]) -> dict[int, tuple[float, str]]:
+        """For each word at which a term begins the largest weight, and its term."""
+        if self.machine is None:
             import ahocorasick
 
             self.machine = ahocorasick.Automaton()
             for t, w in self.weights.items():
                 self.machine.add_word(" " + t, (w, t))
             self.machine.make_automaton()
-        out, terms = np.zeros(len(words)), [""] * len(words)
-        if self.machine is None or not words:
-            return out, terms
-        at = np.zeros(len(words), np.int64)
-        np.cumsum([len(w) + 1 for w in words[:-1]], out=at[1:])
-        for end, (w, t) in self.machine.iter(" " + " ".join(words)):
-            k = int(np.searchsorted(at, end - len(t)))
-            if w > out[k]:
-                out[k], terms[k] = w, t
-        return out, terms
+        text, found = " " + " ".join(words), {}
+        for end, hit in self.machine.iter(text):
+            k = text.count(" ", 0, end - len(hit[1]) + 1) - 1
+            if k not in found or hit > found[k]:
+                found[k] = hit
+        return found
 
     def measure(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, str, str, str]]]:
-        """For each row: sum of weights, words; and the matches as (row, term, word before, word after)."""
+        """For each row: sum of weights, words; and the matches as (row, term, word before, word after).
+
+        The automaton runs over each row's words, with the parts of a word in its place. A word none of whose parts
+        matches counts if it does so as a whole.
+        """
         sums, counts, found = np.zeros(len(offsets) - 1), np.zeros(len(offsets) - 1, np.int64), []
         for i, j in steps(offsets):
             part, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
             starts, ends, first = words_of(part, at)
             counts[i:j] = np.diff(first)
-            if not len(starts):
+            if not len(starts) or not self.weights:
                 continue
             names, number = _folded(part, starts, ends)
-            flat = [w for forms_ in names for w in forms_]
-            begin = np.concatenate([[0], np.cumsum([len(forms_) for forms_ in names])])
-            worth, terms = self.match(flat)
-            held: dict[int, list[int]] = {}
-            for f in np.flatnonzero(worth > 0).tolist():
-                held.setdefault(int(np.searchsorted(begin, f, "right")) - 1, []).append(f)
-            # Parts that match count each; the joined word counts where no part does.
-            held = {n: [f for f in fs if f > begin[n]] or fs for n, fs in held.items()}
-            mask = np.zeros(len(names), bool)
-            mask[list(held)] = True
-            hits = np.flatnonzero(mask[number])
-            rows = np.searchsorted(first, hits, "right") - 1
-            for k, r in zip(hits.tolist(), rows.tolist(), strict=True):
-                n = int(number[k])
-                for f in held[n]:
-                    t = terms[f]
-                    if f > begin[n] + 1:
-                        before = flat[f - 1]
-                    else:
-                        before = names[number[k - 1]][-1] if k > first[r] else ""
-                    if begin[n] < f < begin[n + 1] - 1:
-                        after = flat[f + 1]
-                    else:
-                        after = names[number[k + 1]][:2][-1] if k + 1 < first[r + 1] else ""
+            words, begin = running(names, number, first)
+            wholes = {n: hit for n, x in enumerate(names) if len(x) > 1 for hit in self.match(x[:1]).values()}
+            marked = np.zeros(len(names), bool)
+            marked[list(wholes)] = True
+            each = np.array([max(1, len(x) - 1) for x in names])[number]
+            place = np.cumsum(each) - each  # of each word's first part
+            for r in range(j - i):
+                row = words[begin[r] : begin[r + 1]].tolist()
+                hits = [(k, k + 1 + t.count(" "), w, t) for k, (w, t) in self.match(row).items()]
+                for k in (np.flatnonzero(marked[number[first[r] : first[r + 1]]]) + first[r]).tolist() if wholes else ():
+                    a = int(place[k] - begin[r])
+                    b = a + int(each[k])
+                    if not any(a <= h[0] < b for h in hits):
+                        hits.append((a, b, *wholes[int(number[k])]))
+                for a, b, w, t in sorted(hits):
+                    before, after = row[a - 1] if a else "", row[b] if b < len(row) else ""
                     found.append((i + r, t, before, after))
                     if (before, t) not in self.exceptions and (t, after) not in self.exceptions:
-                        sums[i + r] += worth[f]
+                        sums[i + r] += w
         return sums, counts, found
 
     @staticmethod
@@ -257,10 +289,23 @@ def learn(docs: DataFrame, labels: DataFrame) -> Lexicon:
     learned = materialise(one_of_copies(sample), "toxic-learned")
     discard(sample)
     sample = learned.repartition(learned.sparkSession.sparkContext.defaultParallelism)
-    counts = sample.mapInArrow(_count_terms, "term string, toxic bigint, clean bigint").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    found = {r[0]: (r[1], r[2]) for r in counts.filter("term IS NULL OR toxic >= 4 AND toxic > 4 * clean").orderBy("term").collect()}
+
+    def counted(run: Callable, least: str) -> dict[str, tuple[int, int]]:
+        counts = sample.mapInArrow(run, "term string, toxic bigint, clean bigint").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+        return {r[0]: (r[1], r[2]) for r in counts.filter(f"term IS NULL OR {least}").collect()}
+
+    found = counted(_counts(beginnings), "toxic >= 4 AND toxic > 4 * clean")
     n_toxic, n_clean = found.pop(None, (0, 0))
     weights = closed_terms(found, n_toxic, n_clean)
+    # Pairs of words: those of toxic rows, without a word that says it alone, are counted in all rows.
+    alone = lambda w: any(w[:k] in weights for k in range(SHORTEST, len(w) + 1))
+    some = counted(_counts(phrases, bool), "toxic >= 4")
+    some.pop(None, None)
+    among = frozenset(x for x in some if not any(map(alone, x.split())))
+    if among:
+        found = counted(_counts(lambda *row: phrases(*row, among)), "toxic >= 4 AND toxic > 4 * clean")
+        found.pop(None, None)
+        weights |= worth(found, n_toxic, n_clean)
     weights = dict(sorted(weights.items()))
     plain = Lexicon(weights)
 
@@ -271,8 +316,8 @@ def learn(docs: DataFrame, labels: DataFrame) -> Lexicon:
             pairs = Counter((a, b, labels_[r]) for r, t, before, after in hits for a, b in ((before, t), (t, after)) if a and b)
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in pairs], pa.string()), pa.array([k[1] for k in pairs], pa.string()), pa.array([k[2] for k in pairs], pa.int32()), pa.array(list(pairs.values()), pa.int64())], names=["a", "b", "toxic", "n"])
 
-    phrases = sample.mapInArrow(matches, "a string, b string, toxic int, n bigint").groupBy("a", "b").agg(F.sum(F.col("n") * F.col("toxic")).alias("t"), F.sum(F.col("n") * (1 - F.col("toxic"))).alias("c"))
-    exceptions = frozenset((r["a"], r["b"]) for r in phrases.filter("c >= 3 AND c > 3 * t").collect())
+    around = sample.mapInArrow(matches, "a string, b string, toxic int, n bigint").groupBy("a", "b").agg(F.sum(F.col("n") * F.col("toxic")).alias("t"), F.sum(F.col("n") * (1 - F.col("toxic"))).alias("c"))
+    exceptions = frozenset((r["a"], r["b"]) for r in around.filter("c >= 3 AND c > 3 * t").collect())
     model = Lexicon(weights, exceptions)
 
     def features(batches):
