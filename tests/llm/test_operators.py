@@ -512,6 +512,67 @@ def test_toxicity_inner_punctuation():
     assert sums.tolist() == [10.0] and [x[2:] for x in found] == [("you", "fool"), ("fool", "")]
 
 
+def test_toxicity_plain(spark):
+    """Sums and matches against a plain matcher, phrases and exceptions included."""
+    import pyarrow as pa
+
+    from reqtrail.llm.common import string_buffers
+
+    rng = random.Random(21)
+    weights = {"blar": 2.0, "fnord": 3.0, "go away": 5.0, "blarg he": 7.0, "was": 1.5}
+    exceptions = frozenset({("no", "blar"), ("fnord", "day"), ("do", "go away")})
+    model = toxicity.Lexicon(weights, exceptions, (-2.0, 1.0, 0.5))
+    words = ["blarg", "BLARg", "fnord", "fn0rd", "go", "away", "awayness", "here", "no", "do", "day", "was", "b.l.a.r", "x,fnord", "go-away", "--", "12", "wasp", "oblarg"]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 30))) for _ in range(300)] + [None, ""]
+    sums, counts, found = model.measure(*string_buffers(pa.array(texts)))
+    for k, t in enumerate(texts):
+        row, spans = [], []
+        for w in (t or "").split():
+            f = toxicity.forms(w)
+            spans.append((len(row), len(row) + len(f[1:] or f), f[0] if len(f) > 1 else None))
+            row += f[1:] or f
+        hits = {}
+        for a in range(len(row)):
+            fits = [(w, x) for x, w in weights.items() if (row[a].startswith(x) if " " not in x else a + 1 < len(row) and row[a] == x.split()[0] and row[a + 1].startswith(x.split()[1]))]
+            if fits:
+                hits[a] = (*max(fits), a + 1 + max(fits)[1].count(" "))
+        for a, b, whole in spans:
+            fits = [(w, x) for x, w in weights.items() if whole and whole.startswith(x)]
+            if fits and not any(a <= h < b for h in hits):
+                hits[a] = (*max(fits), b)
+        want = [(x, row[a - 1] if a else "", row[b] if b < len(row) else "", w) for a, (w, x, b) in sorted(hits.items())]
+        assert [f[1:] for f in found if f[0] == k] == [x[:3] for x in want]
+        assert sums[k] == pytest.approx(sum(w for x, p, q, w in want if (p, x) not in exceptions and (x, q) not in exceptions)) and counts[k] == len((t or "").split())
+
+
+def test_toxicity_learns_phrases(spark):
+    """Two words that insult only together are learned as a phrase, and a phrase around an insult as an exception."""
+    rng = random.Random(5)
+    plain = [f"word{'abcdefghij'[k % 10]}{'klmnopqrst'[k // 10]}" for k in range(100)]
+    data, labels = [], []
+    for i in range(2000):
+        w = [rng.choice(plain) for _ in range(30)]
+        kind = i % 10
+        at = rng.randrange(1, 29)
+        if kind == 0:
+            w[at:at] = ["drop", "dead"]
+        elif kind == 1:
+            w[at:at] = ["grumpf"]
+        elif kind == 2:
+            w[at:at] = ["drop", "it"]
+        elif kind == 3:
+            w[at:at] = ["half", "dead"]
+        elif i % 50 == 4:
+            w[at:at] = ["mister", "grumpf"]
+        data.append((i, " ".join(w), "en", "s", 0))
+        labels.append((i, int(kind < 2)))
+    docs, marks = frame(spark, data), spark.createDataFrame(labels, "doc_id bigint, toxic int")
+    model = toxicity.learn(docs, marks)
+    assert "drop dead" in model.weights and ("mister", next(t for t in model.weights if t.startswith("gru"))) in model.exceptions
+    out = {r["doc_id"]: r["predicted"] for r in toxicity.toxicity_scores(docs, model).collect()}
+    assert sum(out[i] == y for i, y in labels) > 1980
+
+
 def test_toxicity_without_labels(spark, docs):
     model = toxicity.learn(docs, spark.createDataFrame([], "doc_id bigint, toxic int"))
     assert {r["predicted"] for r in toxicity.toxicity_scores(docs, model).collect()} == {0}
@@ -586,7 +647,31 @@ def test_empty_tables(spark, nothing):
     """No rows in, no rows out."""
     for f in (exact_dedup.duplicate_groups, minhash.near_duplicates, fm_index.repeated_words, suffix_doubling.repeated_bytes, bpe.token_digests, token_files.round_trip, fingerprints.edited_likeness, mixing.mixed_query):
         assert f(nothing).count() == 0, f
-    assert warc.captures(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
+    labels = spark.createDataFrame([], "doc_id bigint, toxic int")
+    for f in (exact_dedup.drop_copies, minhash.drop_near_copies, mixing.mixed_rows, mixing.mixed_documents, fingerprints.fingerprints, lambda d: toxicity.drop_toxic(d, labels), lambda d: toxicity.toxicity_scores(d, toxicity.learn(d, labels)), lambda d: bpe.decoded(bpe.encoded(d))):
+        assert f(nothing).count() == 0, f
+    pages = spark.createDataFrame([], "page_id bigint, url string, html string")
+    assert warc.captures(pages).count() == 0
+    from reqtrail.llm.common import table_path
+
+    path = table_path(spark, "warc-test")
+    warc.write_archives(pages, path)
+    warc.write_index(spark, path)
+    assert warc.lookup(spark, path, ["http://a.example/"]).count() == 0
+
+
+def test_clear(spark):
+    """What the operators wrote can be deleted at once."""
+    import os
+    from urllib.parse import urlsplit
+
+    from reqtrail.llm import common
+
+    made = common.materialise(spark.range(5), "t")
+    folder = urlsplit(common.scratch(spark)).path
+    assert made.count() == 5 and os.listdir(folder)
+    common.clear(spark)
+    assert not os.path.exists(folder)
 
 
 def test_null_and_repeated_ids(spark):
