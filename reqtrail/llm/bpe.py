@@ -23,6 +23,8 @@ from .common import string_buffers
 from .pretokens import Dictionary, take
 
 RANKS = "byte_bpe_50k.tiktoken"
+#: Bytes of distinct pieces that are replayed at once.
+REPLAY_BYTES = 1 << 20
 
 
 class Merges:
@@ -49,7 +51,13 @@ class Merges:
         return np.where(self.pair[where] == key, self.rank[where], -1)
 
     def replay(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of each text, which is a piece of its own: all joined, and how many each has."""
+        """Ids of each text, which is a piece of its own: all joined, and how many each has. Many texts go by parts of about REPLAY_BYTES."""
+        ends = np.cumsum([len(t) for t in texts])
+        cuts = np.unique(np.searchsorted(ends, np.arange(REPLAY_BYTES, int(ends[-1]), REPLAY_BYTES))).tolist() if len(texts) else []
+        done = [self._replay(texts[a:b]) for a, b in zip([0, *cuts], [*cuts, len(texts)], strict=True) if a < b]
+        return tuple(np.concatenate(x) for x in zip(*done, strict=True)) if done else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+    def _replay(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         sizes = np.array([len(t) for t in texts], np.int64)
         data = np.frombuffer(b"".join(texts), np.uint8)
         n = len(data)
@@ -127,7 +135,7 @@ def merges(path: str) -> Merges:
 @cache
 def remembered(path: str) -> Dictionary:
     """The pieces that this worker process has replayed, for all its tasks; bounded."""
-    return Dictionary(merges(path).replay)
+    return Dictionary(merges(path).replay, remembered=500_000)
 
 
 def encoded(docs: DataFrame, path: str | None = None, text: str = "text", ident: str = "doc_id") -> DataFrame:

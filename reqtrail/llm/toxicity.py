@@ -47,7 +47,7 @@ def fold(word: str) -> str:
     return "".join(c for c in (DIGITS.get(x, HOMOGLYPHS.get(x, x)) for x in plain) if c.isalpha())
 
 
-@lru_cache(maxsize=1 << 18)
+@lru_cache(maxsize=1 << 16)
 def forms(word: str) -> list[str]:
     """The folded word; behind it its folded parts, where inner punctuation that stands for no letter parts it."""
     joined = fold(word)
@@ -95,9 +95,9 @@ def _counts(terms_of: Callable, wanted: Callable[[int], bool] = lambda label: Tr
                     rows[labels[i + k]] += 1
                     if wanted(labels[i + k]):
                         (toxic if labels[i + k] else clean).update(terms)
-            if len(toxic) + len(clean) > 400_000:
-                yield _counted(toxic, clean, [0, 0])
-                toxic, clean = Counter(), Counter()
+                if len(toxic) + len(clean) > 100_000:
+                    yield _counted(toxic, clean, [0, 0])
+                    toxic, clean = Counter(), Counter()
         yield _counted(toxic, clean, rows)
 
     return run
