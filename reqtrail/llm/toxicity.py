@@ -36,27 +36,43 @@ HOMOGLYPHS = dict(zip("абвгдеёзикмнорстухѕіјԁԛԝһӏαβ
 DIGITS = {"0": "o", "1": "i", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "l", "€": "e"}
 
 
+ENDS = "!|.,;:?\"'()[]{}<>*_-"
+
+
+class Letters(dict):
+    """For str.translate(): letters for code points, nothing for what is no letter, and with parted a blank for punctuation."""
+
+    def __init__(self, parted: bool):
+        super().__init__()
+        self.parted = parted
+
+    def __missing__(self, point: int) -> str:
+        c = chr(point)
+        c = DIGITS.get(c, HOMOGLYPHS.get(c, c))
+        self[point] = out = c if c.isalpha() else " " if self.parted and unicodedata.category(c)[0] in "PSZ" else ""
+        return out
+
+
+JOINED, PARTED = Letters(False), Letters(True)
+
+
 def fold(word: str) -> str:
     """Lower case, compatibility form, no accents, homoglyphs and digits as letters, all else dropped.
 
     Signs at the ends are punctuation, not letters, unless they are @ or $."""
-    if word.isascii() and word.isalpha():
-        return word.lower()
-    word = word.strip("!|.,;:?\"'()[]{}<>*_-").lower()
-    plain = unicodedata.normalize("NFKD", word)
-    return "".join(c for c in (DIGITS.get(x, HOMOGLYPHS.get(x, x)) for x in plain) if c.isalpha())
+    return forms(word)[0]
 
 
 @lru_cache(maxsize=1 << 16)
 def forms(word: str) -> list[str]:
     """The folded word; behind it its folded parts, where inner punctuation that stands for no letter parts it."""
-    joined = fold(word)
-    if word.isascii() and word.isalpha():
-        return [joined]
-    word = word.strip("!|.,;:?\"'()[]{}<>*_-").lower()
-    plain = (DIGITS.get(x, HOMOGLYPHS.get(x, x)) for x in unicodedata.normalize("NFKD", word))
-    parts = "".join(c if c.isalpha() else " " if unicodedata.category(c)[0] in "PSZ" else "" for c in plain).split()
-    return [joined, *parts] if len(parts) > 1 else [joined]
+    ascii_ = word.isascii()
+    if ascii_ and word.isalpha():
+        return [word.lower()]
+    word = word.strip(ENDS).lower()
+    plain = word if ascii_ else unicodedata.normalize("NFKD", word)
+    parts = plain.translate(PARTED).split()
+    return [plain.translate(JOINED), *parts] if len(parts) > 1 else [parts[0] if parts else ""]
 
 
 def _folded(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[list[list[str]], np.ndarray]:
