@@ -474,7 +474,28 @@ def negative_pairing(spark, sf_dir):
     return relations.negatives(rows, "event_id", "event_type", rows.count(), seed=7)
 
 
-@query()
+_WORD, _SPACE = r"[\p{L}\p{N}_]", r"[\s\x{0B}\x{1C}-\x{1F}\x{85}\p{Z}]"  # as Python has \w and \s
+_HEAD = rf"(?m)^[A-Za-z_](?:{_WORD}|{_SPACE}|[*()])*?{_SPACE}+([A-Za-z_]{_WORD}*){_SPACE}*\([^;{{}}]*\){_SPACE}*\{{"
+BLOCKS_SQL = rf"""
+WITH p AS (SELECT page_id, 'int' || chr(10) || 'open_page(int id)' || chr(10) || '{{' || chr(10) || '  return id;' || chr(10) || '}}' || chr(10) || coalesce(html, '') AS t FROM pages),
+m AS (SELECT page_id, t, regexp_extract_all(t, '{_HEAD}', 0) AS heads, regexp_extract_all(t, '{_HEAD}', 1) AS names,
+             string_split(regexp_replace(t, '{_HEAD}', chr(1), 'g'), chr(1)) AS gaps FROM p),
+f AS (SELECT page_id, t, k - 1 AS nth, names[k] AS name, heads[k] AS head,
+             list_sum(list_transform(gaps[1 : k], lambda g: length(g))) + coalesce(list_sum(list_transform(heads[1 : k - 1], lambda h: length(h))), 0) AS begin
+      FROM (SELECT *, unnest(range(1, len(heads) + 1)) AS k FROM m)),
+g AS (SELECT *, begin + length(head) AS brace FROM f),
+b AS (SELECT page_id, nth, i, sum(CASE WHEN c = '{{' THEN 1 ELSE -1 END) OVER (PARTITION BY page_id, nth ORDER BY i) AS depth
+      FROM (SELECT page_id, nth, unnest(string_split(substr(t, CAST(brace AS BIGINT)), '')) AS c, unnest(range(0, length(substr(t, CAST(brace AS BIGINT))))) AS i FROM g) WHERE c IN ('{{', '}}')),
+e AS (SELECT page_id, nth, min(i) AS last FROM b WHERE depth = 0 GROUP BY 1, 2),
+x AS (SELECT g.*, CASE WHEN last IS NULL THEN length(t) ELSE brace + last END AS stop FROM g LEFT JOIN e USING (page_id, nth))
+SELECT page_id, CAST(nth AS INTEGER) AS "at", name AS function_name,
+       CAST(1 + length(substr(t, 1, CAST(begin AS BIGINT))) - length(replace(substr(t, 1, CAST(begin AS BIGINT)), chr(10), '')) AS INTEGER) AS start_line,
+       CAST(1 + length(substr(t, 1, CAST(stop AS BIGINT))) - length(replace(substr(t, 1, CAST(stop AS BIGINT)), chr(10), '')) AS INTEGER) AS end_line,
+       substr(t, CAST(brace AS BIGINT), CAST(stop - brace + 1 AS BIGINT)) AS source_code FROM x
+"""
+
+
+@query(BLOCKS_SQL)
 def extract_blocks(spark, sf_dir):
     """Functions in the pages' scripts and styles, and in a C head put before each."""
     pages = table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("int\nopen_page(int id)\n{\n  return id;\n}\n"), F.coalesce("html", F.lit(""))).alias("html"))
