@@ -10,6 +10,7 @@ the sum per 100 words into a score.
 from __future__ import annotations
 
 import math
+import re
 import unicodedata
 from collections import Counter
 from collections.abc import Callable
@@ -21,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import RollingHash, discard, materialise, renamed, steps, string_buffers, words_of
+from .common import RollingHash, discard, materialise, renamed, steps, string_buffers, tidy, white_cuts, words_of
 from .fingerprints import shingle_hashes
 
 #: Labelled rows that the model is fitted on at most (those with the smallest hash of their id); what it learns is bounded by them alone.
@@ -40,20 +41,22 @@ ENDS = "!|.,;:?\"'()[]{}<>*_-"
 
 
 class Letters(dict):
-    """For str.translate(): letters for code points, nothing for what is no letter, and with parted a blank for punctuation."""
+    """For str.translate(): letters for code points, nothing for what is no letter, and with parted a blank for punctuation; line feeds are blanks."""
 
     def __init__(self, parted: bool):
-        super().__init__()
+        super().__init__({10: " "})
         self.parted = parted
 
-    def __missing__(self, point: int) -> str:
+    def __missing__(self, point: int) -> str | None:
         c = chr(point)
         c = DIGITS.get(c, HOMOGLYPHS.get(c, c))
-        self[point] = out = c if c.isalpha() else " " if self.parted and unicodedata.category(c)[0] in "PSZ" else ""
+        self[point] = out = c if c.isalpha() else " " if self.parted and unicodedata.category(c)[0] in "PSZ" else None
         return out
 
 
 JOINED, PARTED = Letters(False), Letters(True)
+#: Ends of the words of lines of one word that hold a sign which stands for a letter inside words.
+HEAD, TAIL = re.compile(rf"\n[{re.escape(ENDS)}]*[!|][{re.escape(ENDS)}]*"), re.compile(rf"[!|][{re.escape(ENDS)}]*(?=\n)")
 
 
 def fold(word: str) -> str:
@@ -188,15 +191,17 @@ class Lexicon:
     def __getstate__(self):
         return {"weights": self.weights, "exceptions": self.exceptions, "curve": self.curve, "machine": None, "rows": self.rows}
 
-    def match(self, words: list[str]) -> dict[int, tuple[float, str]]:
-        """For each word at which a term begins the largest weight, and its term."""
-        if self.machine is None:
+    def build(self) -> None:
+        if self.machine is None and self.weights:
             import ahocorasick
 
             self.machine = ahocorasick.Automaton()
             for t, w in self.weights.items():
                 self.machine.add_word(" " + t, (w, t))
             self.machine.make_automaton()
+
+    def match(self, words: list[str]) -> dict[int, tuple[float, str]]:
+        """For each word at which a term begins the largest weight, and its term."""
         text, found = " " + " ".join(words), {}
         for end, hit in self.machine.iter(text):
             k = text.count(" ", 0, end - len(hit[1]) + 1) - 1
@@ -204,18 +209,50 @@ class Lexicon:
                 found[k] = hit
         return found
 
+    def hopeful(self, words: list[bytes]) -> bool:
+        """Whether a term may match in a row of words: their text is folded as a whole, once parted and once not, and searched."""
+        text = "\n" + b"\n".join(words).decode("utf-8", "replace") + "\n"
+        if "!" in text or "|" in text:
+            text = TAIL.sub("", HEAD.sub("\n", text))
+        text = text.lower()
+        if not text.isascii():
+            text = unicodedata.normalize("NFKD", text)
+        parted = " " + " ".join(text.translate(PARTED).split())
+        return next(self.machine.iter(parted), None) is not None or next(self.machine.iter(text.translate(JOINED)), None) is not None
+
     def measure(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, str, str, str]]]:
         """For each row: sum of weights, words; and the matches as (row, term, word before, word after).
 
         The automaton runs over each row's words, with the parts of a word in its place. A word none of whose parts
-        matches counts if it does so as a whole.
+        matches counts if it does so as a whole. Rows in whose text it finds nothing are not looked at word by word.
         """
         sums, counts, found = np.zeros(len(offsets) - 1), np.zeros(len(offsets) - 1, np.int64), []
+        self.build()
+        near = []
+        for r, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
+            cuts, last, hit = white_cuts(data, a, b), [], False
+            for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+                words = data[x:y].tobytes().split()  # at the six characters
+                counts[r] += len(words)
+                hit = hit or bool(self.weights and words and self.hopeful(last + words))
+                last = words[-1:] or last
+            if hit:
+                near.append(r)
+        if near:
+            size = np.diff(offsets)[near]
+            at = np.concatenate([[0], np.cumsum(size)])
+            part = np.concatenate([data[offsets[r] : offsets[r + 1]] for r in near])
+            sums[near], found = self.measure_words(part, at)
+            found = [(near[r], *rest) for r, *rest in found]
+        return sums, counts, found
+
+    def measure_words(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, list[tuple[int, str, str, str]]]:
+        """Sums and matches of measure(), word by word."""
+        sums, found = np.zeros(len(offsets) - 1), []
         for i, j in steps(offsets):
             part, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
             starts, ends, first = words_of(part, at)
-            counts[i:j] = np.diff(first)
-            if not len(starts) or not self.weights:
+            if not len(starts):
                 continue
             names, number = _folded(part, starts, ends)
             words, begin = running(names, number, first)
@@ -237,7 +274,7 @@ class Lexicon:
                     found.append((i + r, t, before, after))
                     if (before, t) not in self.exceptions and (t, after) not in self.exceptions:
                         sums[i + r] += w
-        return sums, counts, found
+        return sums, found
 
     @staticmethod
     def features(sums: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -307,7 +344,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Lexicon:
     sample = learned.repartition(learned.sparkSession.sparkContext.defaultParallelism)
 
     def counted(run: Callable, least: str) -> dict[str, tuple[int, int]]:
-        counts = sample.mapInArrow(run, "term string, toxic bigint, clean bigint").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+        counts = sample.mapInArrow(tidy(run), "term string, toxic bigint, clean bigint").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
         return {r[0]: (r[1], r[2]) for r in counts.filter(f"term IS NULL OR {least}").collect()}
 
     found = counted(_counts(beginnings), "toxic >= 4 AND toxic > 4 * clean")
@@ -332,7 +369,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Lexicon:
             pairs = Counter((a, b, labels_[r]) for r, t, before, after in hits for a, b in ((before, t), (t, after)) if a and b)
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in pairs], pa.string()), pa.array([k[1] for k in pairs], pa.string()), pa.array([k[2] for k in pairs], pa.int32()), pa.array(list(pairs.values()), pa.int64())], names=["a", "b", "toxic", "n"])
 
-    around = sample.mapInArrow(matches, "a string, b string, toxic int, n bigint").groupBy("a", "b").agg(F.sum(F.col("n") * F.col("toxic")).alias("t"), F.sum(F.col("n") * (1 - F.col("toxic"))).alias("c"))
+    around = sample.mapInArrow(tidy(matches), "a string, b string, toxic int, n bigint").groupBy("a", "b").agg(F.sum(F.col("n") * F.col("toxic")).alias("t"), F.sum(F.col("n") * (1 - F.col("toxic"))).alias("c"))
     exceptions = frozenset((r["a"], r["b"]) for r in around.filter("c >= 3 AND c > 3 * t").collect())
     model = Lexicon(weights, exceptions)
 
@@ -341,7 +378,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Lexicon:
             sums, words, _ = model.measure(*string_buffers(batch.column(0)))
             yield pa.RecordBatch.from_arrays([pa.array(sums), pa.array(words), batch.column(1)], names=["s", "w", "toxic"])
 
-    rows = sorted(sample.mapInArrow(features, "s double, w bigint, toxic int").collect())  # at most SAMPLE_ROWS; in one order, so that sums are the same
+    rows = sorted(sample.mapInArrow(tidy(features), "s double, w bigint, toxic int").collect())  # at most SAMPLE_ROWS; in one order, so that sums are the same
     discard(learned)
     model.rows = len(rows)
     if rows:
@@ -365,7 +402,7 @@ def toxicity_scores(docs: DataFrame, model: Lexicon) -> DataFrame:
             scores = model.scores(*string_buffers(batch.column(1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=["doc_id", "score"])
 
-    out = docs.mapInArrow(score, "doc_id bigint, score double")
+    out = docs.mapInArrow(tidy(score), "doc_id bigint, score double")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
@@ -381,4 +418,4 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array(model.scores(*string_buffers(batch.column(at))) < 0.5))
 
-    return plain.mapInArrow(keep, plain.schema).toDF(*docs.columns)
+    return plain.mapInArrow(tidy(keep), plain.schema).toDF(*docs.columns)
