@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import string_buffers
+from .common import string_buffers, tidy
 from .pretokens import Dictionary, take
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -181,7 +181,7 @@ def encoded(docs: DataFrame, path: str | None = None, text: str = "text", ident:
                     names=["doc_id", "ids", "n_tokens", "ids_sha256", "decoded_sha256"],
                 )
 
-    return docs.select(F.col(ident).cast("bigint").alias("doc_id"), F.col(text).alias("_text")).mapInArrow(run, "doc_id bigint, ids binary, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return docs.select(F.col(ident).cast("bigint").alias("doc_id"), F.col(text).alias("_text")).mapInArrow(tidy(run), "doc_id bigint, ids binary, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 
 
 def decoded(tokens: DataFrame, path: str | None = None, ids: str = "ids") -> DataFrame:
@@ -200,7 +200,7 @@ def decoded(tokens: DataFrame, path: str | None = None, ids: str = "ids") -> Dat
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*batch.schema.names, "decoded"])
 
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in tokens.schema.fields]
-    return tokens.mapInArrow(run, ", ".join([*kinds, "decoded binary"]))
+    return tokens.mapInArrow(tidy(run), ", ".join([*kinds, "decoded binary"]))
 
 
 def token_digests(docs: DataFrame, path: str | None = None) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import math
 import uuid
@@ -21,8 +22,8 @@ RANGE_BYTES, LEAST_RANGE_BYTES, MOST_RANGES = 24 << 20, 2 << 20, 50_000
 #: Ids for each range from whose order the bounds come.
 IDS_PER_RANGE = 40
 WHITE = bytes([0x20, *range(0x09, 0x0E)])
-#: Bytes of text that one numpy step works on; arrays of eight bytes a byte stay near 100 MB.
-STEP_BYTES = 2 << 20
+#: Bytes of text that one numpy step works on; arrays of eight bytes a byte stay near 50 MB.
+STEP_BYTES = 1 << 20
 #: Most bytes of a table that is broadcast; a larger one is joined by a shuffle.
 BROADCAST_BYTES = 32 << 20
 #: Stands for a null id where ids are ordered.
@@ -131,7 +132,7 @@ _POWERS: dict[str, np.ndarray] = {}
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_POWERS.get("up", ())) < n:
-        size = 1 << max(16, int(n).bit_length())
+        size = max(1 << 16, n + n // 8)
         for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
             steps_ = np.full(size, base & _MASK, np.uint64)
             steps_[0] = 1
@@ -215,15 +216,19 @@ def white_cuts(data: np.ndarray, a: int, b: int, limit: int = STEP_BYTES) -> lis
     return [*cuts, b]
 
 
-def mapped(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table], schema: str) -> DataFrame:
-    """f over each Arrow batch."""
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, for mapInArrow(); after each task the worker, which lives on for others, gives free memory back to the system."""
 
-    def run(batches):
-        for batch in batches:
-            out = f(batch)
-            yield from out.to_batches() if isinstance(out, pa.Table) else (out,)
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+            if trim:
+                trim(0)
 
-    return df.mapInArrow(run, schema)
+    return task
 
 
 def lowered(data: np.ndarray) -> np.ndarray:

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import SALTS, WHITE, byte_rows, renamed, salted_left_join, scratch
+from .common import SALTS, WHITE, byte_rows, renamed, salted_left_join, scratch, tidy
 
 #: Bytes that a trie holds in memory before subtrees go to files, and bytes of a node besides its label.
 TRIE_BYTES, NODE_BYTES = 64 << 20, 400
@@ -235,9 +235,9 @@ def _owners(folder: str):
 def _owner_table(docs: DataFrame) -> DataFrame:
     """Of docs (doc_id, _text), for each text that several rows have: _length, text_sha256, _keep, _count."""
     return (
-        docs.mapInArrow(_local, OWNED)
+        docs.mapInArrow(tidy(_local), OWNED)
         .repartition("_length", "text_sha256")
-        .mapInArrow(_owners(scratch(docs.sparkSession) + "/spill"), OWNED)
+        .mapInArrow(tidy(_owners(scratch(docs.sparkSession) + "/spill")), OWNED)
         .filter("_count > 1")
         .select("_length", "text_sha256", F.col("_owner").alias("_keep"), "_count")
     )
@@ -251,7 +251,7 @@ def duplicate_groups(docs: DataFrame, text: str = "text", ident: str = "doc_id")
     keep_id and each counts in group_size. An empty table gives no rows; columns other than the two are ignored.
     """
     docs = docs.select(F.col(ident).cast("bigint").alias("doc_id"), F.col(text).alias("_text"))
-    members = docs.mapInArrow(_members, "doc_id bigint, _points bigint, _length bigint, text_sha256 string")
+    members = docs.mapInArrow(tidy(_members), "doc_id bigint, _points bigint, _length bigint, text_sha256 string")
     joined = salted_left_join(members, _owner_table(docs), ["_length", "text_sha256"], SALTS)
     keep = F.when(F.col("_count").isNull(), F.col("doc_id")).otherwise(F.col("_keep"))
     return joined.select(
@@ -280,7 +280,7 @@ def drop_copies(docs: DataFrame, text: str = "text", ident: str = "doc_id") -> D
                 yield pa.RecordBatch.from_arrays([*batch.columns, *key.columns[1:]], names=names)
 
     owners = _owner_table(row.select(F.col("_id").alias("doc_id"), F.col(f"c{at}").alias("_text")))
-    joined = salted_left_join(row.mapInArrow(keyed, T.StructType([*row.schema.fields, *added.fields])), owners, ["_length", "text_sha256"], SALTS)
+    joined = salted_left_join(row.mapInArrow(tidy(keyed), T.StructType([*row.schema.fields, *added.fields])), owners, ["_length", "text_sha256"], SALTS)
     of_owner = joined.filter(F.col("_count").isNull() | F.col("_id").eqNullSafe(F.col("_keep")))
     # One row of each text; a hot text is cut to one row in each partition before the shuffle.
     best = Window.partitionBy("_length", "text_sha256").orderBy(F.desc("_points"), f"c{at}")

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T_
 from pyspark.sql.window import Window
 
-from .common import LARGEST, SALTS, broadcast_below, discard, lowered, materialise, mixed, release, renamed, salted_left_join, string_buffers, word_hashes
+from .common import LARGEST, SALTS, broadcast_below, discard, lowered, materialise, mixed, release, renamed, salted_left_join, string_buffers, tidy, word_hashes
 from .components import components
 
 WORDS = 5
@@ -262,7 +262,7 @@ def near_links(sketches: DataFrame, texts: DataFrame) -> DataFrame:
     spark = sketches.sparkSession
     members = materialise(families(shared_lists(sketches)), "members")
     nodes = members.select("node").distinct()
-    sets = materialise(texts(nodes).mapInArrow(_sets, "node bigint, set binary"), "sets")
+    sets = materialise(texts(nodes).mapInArrow(tidy(_sets), "node bigint, set binary"), "sets")
     release(spark)
     weight = 8 * F.col("n") + ROW_BYTES
     sized = members.join(sketches.select("node", "n"), "node")
@@ -275,7 +275,7 @@ def near_links(sketches: DataFrame, texts: DataFrame) -> DataFrame:
 
     def linked(tasks: DataFrame) -> DataFrame:
         met = tasks.join(sets, "node").select([x.split()[0] for x in MEMBER.split(", ")])
-        return met.repartition("head", "block", "other").sortWithinPartitions("head", "block", "other").mapInArrow(_linked, LINK)
+        return met.repartition("head", "block", "other").sortWithinPartitions("head", "block", "other").mapInArrow(tidy(_linked), LINK)
 
     dealt = materialise(blocks(sized), "blocks")
     one = F.lit(0).alias("other"), F.lit(0).alias("side"), "node", F.col("node").alias("component")
@@ -344,7 +344,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", ident: str = "doc_id")
     columns are ignored. Shingles are compared by 64-bit hashes of their words; full sets are compared hash by hash.
     """
     docs = docs.select(F.col(ident).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("_key"), F.col(text).alias("_text"))
-    made = docs.mapInArrow(_sketches(2, ["doc_id", "_key"]), f"doc_id bigint, _key bigint, {SKETCH}")
+    made = docs.mapInArrow(tidy(_sketches(2, ["doc_id", "_key"])), f"doc_id bigint, _key bigint, {SKETCH}")
     rows = materialise(made.withColumn("_row", F.monotonically_increasing_id()), "sketches")
     unique = rows.groupBy("doc_id", "_key").agg(F.count("*").alias("m")).filter("m > 1").limit(1).count() == 0
 
@@ -368,7 +368,7 @@ def drop_near_copies(docs: DataFrame, text: str = "text", ident: str = "doc_id")
     plain = renamed(docs)
     at = docs.columns.index(text)
     kinds = T_.StructType([*plain.schema.fields, *T_.StructType.fromDDL(SKETCH).fields])
-    made = plain.mapInArrow(_sketches(at, plain.columns), kinds)
+    made = plain.mapInArrow(tidy(_sketches(at, plain.columns)), kinds)
     rows = materialise(made.withColumn("_row", F.monotonically_increasing_id()), "near-rows")
     texts = lambda heads: rows.join(broadcast_below(heads, NODE_BYTES), "_row").select("node", f"c{at}")
     out = _grouped(rows.select("_row", F.col(f"c{docs.columns.index(ident)}").cast("bigint").alias("doc_id"), "n", "d1", "d2", "sketch"), texts)

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import Windows, segments
-from .common import LARGEST, STEP_BYTES, discard, materialise, release, steps, string_buffers
+from .common import LARGEST, STEP_BYTES, discard, materialise, release, steps, string_buffers, tidy
 
 #: Distinct segments of one key that are searched together.
 MOST_SEGMENTS = 20_000
@@ -130,7 +130,7 @@ def repeated_windows(docs: DataFrame, split: Splitter, windows: Windows, search:
     docs as from keyed(). search maps the open segments, sorted by key, to runs of windows. The rows of a key with
     more than MOST_SEGMENTS distinct segments are searched by pairs of blocks, so that no task holds them all.
     """
-    cut = docs.select("_id", "_row", "_text").mapInArrow(_cut(split, windows), "_id bigint, _row bigint, first bigint, more int, key bigint, whole bigint")
+    cut = docs.select("_id", "_row", "_text").mapInArrow(tidy(_cut(split, windows)), "_id bigint, _row bigint, first bigint, more int, key bigint, whole bigint")
     name = F.xxhash64("_id", "_row", "first")
     # Counts, the smallest id, and one segment to show for each kind; then the kinds of each key.
     kinds = cut.groupBy("key", "whole").agg(F.count("*").alias("n"), F.min("_id").alias("least"), F.min_by(name, "_id").alias("shown"))
@@ -150,11 +150,11 @@ def repeated_windows(docs: DataFrame, split: Splitter, windows: Windows, search:
     release(docs.sparkSession)
     wanted = rows.filter("open").groupBy("_id", "_row").agg(F.collect_set(F.struct("key", "whole", "first", "more", "blocks")).alias("_wanted"))
     met = docs.select("_id", "_row", "_text").join(wanted, ["_id", "_row"]).select("_id", "_row", "_text", "_wanted")
-    fetched = met.mapInArrow(_fetch(split, windows), OPEN)
+    fetched = met.mapInArrow(tidy(_fetch(split, windows)), OPEN)
     block = F.pmod("whole", "blocks")
     pair = F.xxhash64("key", F.least(block, "other"), F.greatest(block, "other"))
     dealt = fetched.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("key", F.when(F.col("blocks") > 1, pair).otherwise(F.col("key")))
-    found = materialise(dealt.drop("other", "blocks").repartition("key").sortWithinPartitions("key", "whole").mapInArrow(search, FOUND), "runs")
+    found = materialise(dealt.drop("other", "blocks").repartition("key").sortWithinPartitions("key", "whole").mapInArrow(tidy(search), FOUND), "runs")
     release(docs.sparkSession)
     return rows.filter("settled").select("_id", "_row", "first", "more").unionByName(found)
 
@@ -163,7 +163,7 @@ def removed(docs: DataFrame, found: DataFrame, finish: Callable, schema: str) ->
     """finish(ids, texts, runs) over all rows of docs, where runs are the lists of (first, more) of each row, or null."""
     lists = found.groupBy("_id", "_row").agg(F.collect_set(F.struct("first", "more")).alias("_runs"))
     met = docs.join(lists, ["_id", "_row"], "left").select("doc_id", "_text", F.col("_runs.first").alias("firsts"), F.col("_runs.more").alias("mores"))
-    return met.mapInArrow(finish, schema)
+    return met.mapInArrow(tidy(finish), schema)
 
 
 def covered(firsts: list[int], mores: list[int], length: int) -> list[tuple[int, int]]:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import broadcast_below, discard, id_ranges, materialise, range_of, release, string_buffers, table_path
+from .common import broadcast_below, discard, id_ranges, materialise, range_of, release, string_buffers, table_path, tidy
 from .pretokens import Dictionary, take
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -257,7 +257,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str | None = None, end_id:
     cuts = id_ranges(docs)
     rows = docs.select(range_of(F.col("doc_id"), cuts).alias("_range"), "doc_id", "_text").repartitionById(len(cuts) + 1, "_range")
     rows = rows.sortWithinPartitions("_range", F.col("doc_id").asc_nulls_first(), "_text")
-    raw = materialise(rows.mapInArrow(lambda it: _raw(it, tokenizer_path, end_id), RAW), "token-ids")
+    raw = materialise(rows.mapInArrow(tidy(lambda it: _raw(it, tokenizer_path, end_id)), RAW), "token-ids")
     del rows
     release(spark)
 
@@ -271,7 +271,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str | None = None, end_id:
         at = np.flatnonzero(totals)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(totals[at], pa.int64())], names=["id", "n"])
 
-    counts = raw.filter("_range IS NULL").select("ids").mapInArrow(summed, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n")).collect()  # a row for each id of the vocabulary
+    counts = raw.filter("_range IS NULL").select("ids").mapInArrow(tidy(summed), "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n")).collect()  # a row for each id of the vocabulary
     table = np.zeros(max((r[0] for r in counts), default=-1) + 1, np.int64)
     for i, n in counts:
         table[i] = n
@@ -288,7 +288,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str | None = None, end_id:
                 data = write_block(code, np.frombuffer(r["doc_ids"], "<i8"), np.frombuffer(r["nulls"], np.uint8), counts_, ids)
                 yield pa.RecordBatch.from_arrays([pa.array([r["_range"]], pa.int32()), pa.array([r["block"]], pa.int32()), pa.array([n], pa.int64()), pa.array([data], pa.binary())], names=["shard", "block", "n_tokens", "data"])
 
-    raw.filter("_range IS NOT NULL").mapInArrow(pack, "shard int, block int, n_tokens bigint, data binary").write.option("compression", "none").parquet(f"{path}/blocks")
+    raw.filter("_range IS NOT NULL").mapInArrow(tidy(pack), "shard int, block int, n_tokens bigint, data binary").write.option("compression", "none").parquet(f"{path}/blocks")
     discard(raw)
 
 
@@ -319,7 +319,7 @@ def read(spark: SparkSession, path: str, digests: bool = False) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64(), mask=nulls), pa.array(start + cut[:-1], pa.int64()), pa.array(np.diff(cut), pa.int64()), last], names=["doc_id", "start", "n_tokens", name])
 
     name = "ids_crc32" if digests else "ids"
-    return placed.select("_start", "data").mapInArrow(unpack, f"doc_id bigint, start bigint, n_tokens bigint, {name} {'bigint' if digests else 'binary'}")
+    return placed.select("_start", "data").mapInArrow(tidy(unpack), f"doc_id bigint, start bigint, n_tokens bigint, {name} {'bigint' if digests else 'binary'}")
 
 
 def round_trip(docs: DataFrame) -> DataFrame:

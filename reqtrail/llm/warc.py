@@ -25,7 +25,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SALTS, broadcast_below, byte_rows, discard, materialise, salted_left_join, table_path
+from .common import SALTS, broadcast_below, byte_rows, discard, materialise, salted_left_join, table_path, tidy
 
 #: Bytes of an archive by the mean record, and index lines in one compressed block.
 ARCHIVE_BYTES, BLOCK_LINES = 256 << 20, 3000
@@ -107,7 +107,7 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, archive_by
     pages = pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", "html")
     key = ["_digest", "_bytes"]
     best = (
-        pages.select("page_id", "html").mapInArrow(_digests, "page_id bigint, _digest string, _bytes bigint")
+        pages.select("page_id", "html").mapInArrow(tidy(_digests), "page_id bigint, _digest string, _bytes bigint")
         .filter(F.col("_bytes") >= least_bytes)
         .groupBy(*key).agg(F.count("*").alias("_n"), F.max("page_id").alias("_winner"))
         .filter("_n > 1 AND _winner IS NOT NULL").drop("_n")
@@ -115,11 +115,11 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, archive_by
     winners = pages.select("page_id", F.col("url").alias("_winner_url")).join(best.select(F.col("_winner").alias("page_id")), "page_id", "left_semi").groupBy("page_id").agg(F.min("_winner_url").alias("_winner_url"))
     best = best.join(winners.withColumnRenamed("page_id", "_winner"), "_winner")
     best = materialise(best.select(*key, "_winner", "_winner_url"), "winners")
-    rows = pages.mapInArrow(_digested, "page_id bigint, url string, html string, _digest string, _bytes bigint")
+    rows = pages.mapInArrow(tidy(_digested), "page_id bigint, url string, html string, _digest string, _bytes bigint")
     side = broadcast_below(best, WINNER_BYTES)
     rows = salted_left_join(rows, best, key, SALTS) if side is best else rows.join(side, key, "left")
     rows = rows.withColumn("_winner", F.when(F.col("page_id").isNotNull(), F.col("_winner")))
-    made = rows.select("page_id", "url", "html", "_digest", "_winner", "_winner_url").mapInArrow(_records, "value binary")
+    made = rows.select("page_id", "url", "html", "_digest", "_winner", "_winner_url").mapInArrow(tidy(_records), "value binary")
     mean = pages.agg(F.avg(F.coalesce(F.octet_length("html"), F.lit(0)))).first()[0] or 0
     records = max(1, int((archive_bytes or ARCHIVE_BYTES) / (mean + 600)))  # about 600 bytes of headers
     made.select(F.col("value").cast("string").alias("value")).write.option("lineSep", END.decode()).option("maxRecordsPerFile", records).text(f"{path}/archives")
@@ -282,10 +282,10 @@ def reachable(folder: str) -> bool:
 
 def write_index(spark: SparkSession, path: str) -> None:
     """Read the archives below path and write their index: sorted lines in blocks, and the directory of the blocks."""
-    lines = files(spark, f"{path}/archives").mapInArrow(_captures, "key string, line string")
+    lines = files(spark, f"{path}/archives").mapInArrow(tidy(_captures), "key string, line string")
     ordered = lines.repartitionByRange("key", "line").sortWithinPartitions("key", "line").select("line")
-    ordered.mapInArrow(_blocks, "value binary").select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\n").text(f"{path}/index")
-    directory = files(spark, f"{path}/index").mapInArrow(_places, PLACE)
+    ordered.mapInArrow(tidy(_blocks), "value binary").select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\n").text(f"{path}/index")
+    directory = files(spark, f"{path}/index").mapInArrow(tidy(_places), PLACE)
     directory.repartitionByRange("first_key").sortWithinPartitions("first_key").write.parquet(f"{path}/directory")
 
 
@@ -304,8 +304,8 @@ def at_places(spark: SparkSession, folder: str, places: DataFrame, use, schema:
                 for row in batch.to_pylist():
                     yield [row["content"][x["offset"] : x["offset"] + x["length"]] for x in row["_at"]]
 
-        return near.select("content", "_at").mapInArrow(lambda batches: use(cut(batches)), schema)
-    return near.select("path", "offset", "length").mapInArrow(lambda batches: use(ranges(batches)), schema)
+        return near.select("content", "_at").mapInArrow(tidy(lambda batches: use(cut(batches))), schema)
+    return near.select("path", "offset", "length").mapInArrow(tidy(lambda batches: use(ranges(batches))), schema)
 
 
 def ranges(batches, reader: Reader | None = None) -> Iterator[list[bytes]]:
@@ -389,7 +389,7 @@ def lookup(spark: SparkSession, path: str, urls: Iterable[str | None]) -> DataFr
     directory = spark.read.parquet(f"{path}/directory")
     if keys:  # Parquet's own least and greatest keys leave out most row groups
         directory = directory.filter((F.col("first_key") <= keys[-1]) & (F.col("last_key") >= keys[0]))
-    blocks = directory.mapInArrow(search, LINE)
+    blocks = directory.mapInArrow(tidy(search), LINE)
     return read_records(spark, path, at_places(spark, f"{path}/index", blocks, lambda found: _lines(found, keys), LINE))
 
 
