@@ -522,12 +522,14 @@ def test_toxicity_plain(spark):
     weights = {"blar": 2.0, "fnord": 3.0, "go away": 5.0, "blarg he": 7.0, "was": 1.5}
     exceptions = frozenset({("no", "blar"), ("fnord", "day"), ("do", "go away")})
     model = toxicity.Lexicon(weights, exceptions, (-2.0, 1.0, 0.5))
-    words = ["blarg", "BLARg", "fnord", "fn0rd", "go", "away", "awayness", "here", "no", "do", "day", "was", "b.l.a.r", "x,fnord", "go-away", "--", "12", "wasp", "oblarg"]
-    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 30))) for _ in range(300)] + [None, ""]
+    words = ["blarg", "BLARg", "fnord", "fn0rd", "go", "away", "awayness", "here", "no", "do", "day", "was", "b.l.a.r", "x,fnord", "go-away", "--", "12", "wasp", "oblarg", "!blarg", "fnord!!", "go!", "(!away", "bl!arg", "ÀWAY", "ﬁnord", "blarg|", "|go", "!", "!!.", "w!as", "gо", "x\u00a0fnord", "f\u00adnord", "x\x1cgo"]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 30))) for _ in range(300)] + [" ".join(rng.choice(words) for _ in range(rng.randint(1, 3))) for _ in range(1500)] + [None, ""]
     sums, counts, found = model.measure(*string_buffers(pa.array(texts)))
     for k, t in enumerate(texts):
         row, spans = [], []
-        for w in (t or "").split():
+        for w in re.split("[\x20\x09-\x0d]+", (t or "").strip("\x20\x09\x0a\x0b\x0c\x0d")):
+            if not w:
+                continue
             f = toxicity.forms(w)
             spans.append((len(row), len(row) + len(f[1:] or f), f[0] if len(f) > 1 else None))
             row += f[1:] or f
@@ -542,7 +544,7 @@ def test_toxicity_plain(spark):
                 hits[a] = (*max(fits), b)
         want = [(x, row[a - 1] if a else "", row[b] if b < len(row) else "", w) for a, (w, x, b) in sorted(hits.items())]
         assert [f[1:] for f in found if f[0] == k] == [x[:3] for x in want]
-        assert sums[k] == pytest.approx(sum(w for x, p, q, w in want if (p, x) not in exceptions and (x, q) not in exceptions)) and counts[k] == len((t or "").split())
+        assert sums[k] == pytest.approx(sum(w for x, p, q, w in want if (p, x) not in exceptions and (x, q) not in exceptions)) and counts[k] == len([w for w in re.split("[\x20\x09-\x0d]+", t or "") if w])
 
 
 def test_toxicity_learns_phrases(spark):
