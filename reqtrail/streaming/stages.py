@@ -10,7 +10,7 @@ from pyspark.sql.types import StructType
 
 from ..functions import text
 from ..operators import dictionary
-from ..operators.sizes import broadcast_if_small
+from ..operators.sizes import BROADCAST_BYTES, broadcast_if_small, row_bytes
 
 
 def read_stream(spark: SparkSession, path: str, schema: StructType, files_per_trigger: int = 100) -> DataFrame:
@@ -24,14 +24,23 @@ def keyword_stream(stream: DataFrame, keywords: Mapping, column: str) -> DataFra
     return stream
 
 
-def overlap_stream(stream: DataFrame, requirements: DataFrame, ident: str, column: str, requirement: tuple[str, str] = ("sr_id", "sr")) -> DataFrame:
-    """(ident, requirement id, score) of each streamed function with each requirement that shares a token; requirements are a small static table.
+def overlap_stream(stream: DataFrame, requirements: DataFrame, ident: str, column: str, requirement: tuple[str, str] = ("sr_id", "sr"), limit: int = BROADCAST_BYTES) -> DataFrame:
+    """(ident, requirement id, score) of each streamed function with each requirement that shares a token.
 
-    Scores are made inside the row, so the stream keeps no state.
+    Requirements are a static table, whose tokens with their lists of ids go to every task as one row of at most
+    `limit` bytes; a larger table is an error, and overlap.overlap_scores() in run_available() is for those. Tokens are
+    looked up and counted inside the row, so the stream keeps no state.
     """
-    side = broadcast_if_small(requirements.select(F.col(requirement[0]), text.token_set(F.col(requirement[1])).alias("_want")))
-    met = stream.withColumn("_have", text.token_set(F.col(column))).join(side, F.arrays_overlap("_have", "_want"))
-    return met.select(ident, requirement[0], text.overlap(F.col("_want"), F.col("_have")).alias("score"))
+    tokens = requirements.select(F.col(requirement[0]).alias("_id"), text.token_set(F.col(requirement[1])).alias("_want"))
+    lists = tokens.select(F.struct("_id", F.size("_want").alias("_n")).alias("_s"), F.explode("_want").alias("_token")).groupBy("_token").agg(F.collect_list("_s").alias("_list"))
+    if (lists.agg(F.sum(row_bytes(lists))).first()[0] or 0) > limit:
+        raise ValueError("the requirements' tokens are too many for every task")
+    index = lists.agg(F.map_from_entries(F.collect_list(F.struct("_token", "_list"))).alias("_index"))  # one row
+    none = F.array().cast(lists.schema["_list"].dataType)
+    hits = F.flatten(F.transform(text.token_set(F.col(column)), lambda t: F.coalesce(F.try_element_at("_index", t), none)))
+    met = stream.join(F.broadcast(index)).select(ident, hits.alias("_hits")).select(ident, "_hits", F.explode(F.array_distinct("_hits")).alias("_s"))
+    shared = F.size(F.filter("_hits", lambda x: x["_id"] == F.col("_s._id"))).cast("double")
+    return met.select(ident, F.col("_s._id").alias(requirement[0]), (shared / F.col("_s._n")).alias("score"))
 
 
 def dictionary_stream(stream: DataFrame, requirements: DataFrame, columns: Mapping[str, str], function: str = "function_id", requirement: str = "sr_id") -> DataFrame:
