@@ -208,6 +208,53 @@ def test_long_texts(spark, monkeypatch):
     assert all(np.array_equal(a, b) for a, b in zip(sets, minhash.shingle_sets(*common.string_buffers(part)), strict=True))
 
 
+def test_texts_of_several_steps(spark):
+    """Texts of megabytes, which workers read in pieces: the same rows as plain versions give."""
+    import tiktoken
+    from tokenizers import Tokenizer
+
+    from reqtrail.llm import common
+
+    rng = random.Random(8)
+    long = " ".join(f"{rng.choice('abcdefghij')}{rng.choice(['', 'é', '-x'])}{rng.randrange(3000)}" for _ in range(400_000))
+    assert len(long.encode()) > 2.2 * common.STEP_BYTES
+    data = rows([long, "intro " + long[200_000:1_300_000] + " outro", long[:30_000] + "z" * 1_500_000, "short", long + " end"])
+    docs = frame(spark, data).repartition(2)
+    assert by_id(minhash.near_duplicates(docs), "n_shingles", "component_id", "kept") == near_components(data)
+    assert by_id(fm_index.repeated_words(docs), "n_words", "n_removed", "kept_sha256") == removed_words(data)
+    texts = [r[1].encode() for r in data]
+    count = {}
+    for t in texts:
+        for k in range(len(t) - 199):
+            h = hash(t[k : k + 200])
+            count[h] = count.get(h, 0) + 1
+    want = {}
+    for i, t in enumerate(texts):
+        change = [0] * (len(t) + 1)
+        for k in range(len(t) - 199):
+            if count[hash(t[k : k + 200])] > 1:
+                change[k] += 1
+                change[k + 200] -= 1
+        depth, spans, kept = 0, 0, bytearray()
+        for k, c in enumerate(t):
+            spans += not depth and change[k] > 0
+            depth += change[k]
+            if not depth:
+                kept.append(c)
+        want[i] = (len(t), len(t) - len(kept), spans, hashlib.sha256(kept).hexdigest())
+    assert by_id(suffix_doubling.repeated_bytes(docs), "n_bytes", "n_removed", "n_spans", "kept_sha256") == want
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb"))}
+    plain = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    few = [data[k] for k in (1, 3, 4)]
+    ids = {i: plain.encode_ordinary(t) for i, t, *_ in few}
+    some = docs.filter("doc_id IN (1, 3, 4)")
+    assert by_id(bpe.token_digests(some), "n_tokens", "ids_sha256") == {i: (len(x), hashlib.sha256(" ".join(map(str, x)).encode()).hexdigest()) for i, x in ids.items()}
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert by_id(token_files.round_trip(some), "start", "n_tokens", "ids_crc32") == token_starts(few, lambda t: library.encode(t, add_special_tokens=False).ids)
+    assert by_id(exact_dedup.duplicate_groups(docs), "keep_id", "group_size", "kept", "text_sha256") == exact_groups(data)
+    assert by_id(fingerprints.fingerprints(docs), "fingerprint") == {i: (",".join(retained(t)),) for i, t, *_ in data}
+
+
 def test_forests():
     """In a task: the same components as all links between similar sets give, with fewer links than sets."""
     import numpy as np
@@ -677,9 +724,34 @@ def test_clear(spark):
 
 
 def test_null_and_repeated_ids(spark):
-    """Rows without an id, and rows that repeat one, come through every operator, each as a row."""
-    data = [(None, "a b c d e f", "en", None, 0), (None, None, None, None, None), (1, "a b c d e f", "en", "s", 0), (1, "a b c d e f", "en", "s", 0), (1, "other text here", "en", "s", 0), (2, None, "en", "s", 0)]
-    docs = frame(spark, data)
-    for f in (exact_dedup.duplicate_groups, minhash.near_duplicates, fm_index.repeated_words, suffix_doubling.repeated_bytes, bpe.token_digests, token_files.round_trip, fingerprints.edited_likeness):
-        assert f(docs).count() == len(data), f
-    assert mixing.mixed_query(docs).count() >= 0
+    """Rows without an id, and rows that repeat one, come through every operator, each as a row with its own values."""
+    rng = random.Random(2)
+    t = " ".join(f"{rng.choice('abcdefgh')}{k}" for k in range(60))
+    data = [(None, t, "en", None, 0), (None, None, None, None, None), (1, t, "en", "s", 0), (1, t, "en", "s", 0), (1, "other text here", "en", "s", 0), (2, None, "en", "s", 0), (None, t + " x", "en", "s", 0)]
+    docs = frame(spark, data).repartition(3)
+    got = lambda df, *cols: sorted((tuple(r[c] for c in cols) for r in df.collect()), key=str)
+    n = len(t.encode())
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    assert got(exact_dedup.duplicate_groups(docs), "doc_id", "keep_id", "group_size", "kept") == sorted(
+        [(None, 1, 3, False), (1, 1, 3, True), (1, 1, 3, True), (1, 1, 1, True), (None, 2, 2, False), (2, 2, 2, True), (None, None, 1, True)], key=str)
+    assert got(minhash.near_duplicates(docs), "doc_id", "n_shingles", "component_id", "kept") == sorted(
+        [(None, 56, 1, False), (1, 56, 1, True), (1, 56, 1, True), (1, 1, 1, True), (None, 0, None, True), (2, 0, 2, True), (None, 57, 1, False)], key=str)
+    assert got(fm_index.repeated_words(docs), "doc_id", "n_words", "n_removed", "kept_sha256") == sorted(
+        [(None, 60, 60, sha("")), (1, 60, 0, sha(t)), (1, 60, 0, sha(t)), (1, 3, 0, sha("other text here")), (None, 0, 0, sha("")), (2, 0, 0, sha("")), (None, 61, 60, sha("x"))], key=str)
+    assert got(suffix_doubling.repeated_bytes(docs), "doc_id", "n_bytes", "n_removed", "n_spans") == sorted(
+        [(None, n, n, 1)] + 2 * [(1, n, n, 1)] + [(1, 15, 0, 0), (None, 0, 0, 0), (2, 0, 0, 0), (None, n + 2, n, 1)], key=str)
+    decoded = got(bpe.token_digests(docs), "doc_id", "decoded_sha256")
+    assert decoded == sorted([(i, sha(x or "")) for i, x, *_ in data], key=str)
+    tokens = token_files.round_trip(docs).collect()
+    sizes = {r["start"]: r["n_tokens"] for r in tokens}
+    assert len(tokens) == len(data) and all(a + sizes[a] in sizes or a == max(sizes) for a in sizes)
+    assert [r["doc_id"] for r in sorted(tokens, key=lambda r: r["start"])] == [None, None, None, 1, 1, 1, 2]
+    prints = got(fingerprints.edited_likeness(docs), "doc_id", "fingerprint", "n_chars")
+    assert prints == sorted([(i, ",".join(retained(x)), len(x or "")) for i, x, *_ in data], key=str)
+    model = toxicity.Lexicon({"oth": 5.0}, frozenset(), (-2.0, 3.0, 0.0))
+    assert got(toxicity.toxicity_scores(docs, model), "doc_id", "predicted") == sorted([(i, int(x == "other text here")) for i, x, *_ in data], key=str)
+    copies = got(mixing.mixed_query(docs), "doc_id", "copy")
+    assert all(copies.count(c) == sum(i == c[0] for i, *_ in data) for c in copies if c[0] is not None)
+    pages = spark.createDataFrame([(None, "u", "same"), (3, "u", "same"), (3, "v", "same"), (2, None, "same"), (None, None, None), (1, "u", "")], "page_id bigint, url string, html string")
+    assert got(warc.captures(pages), "page_id", "payload_bytes", "record_type", "refers_to") == sorted(
+        [(None, 4, "response", None), (3, 4, "response", None), (3, 4, "response", None), (2, 4, "revisit", 3), (None, 0, "response", None), (1, 0, "response", None)], key=str)
