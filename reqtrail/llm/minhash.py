@@ -38,7 +38,7 @@ BLOCK_BYTES, ROW_BYTES = 4 << 20, 2048
 #: Rows whose overlaps with all others are counted at once.
 TILE = 256
 #: Bytes of a row in tables that are broadcast below common.BROADCAST_BYTES.
-NODE_BYTES = 64
+NODE_BYTES = 96
 _FACTOR = np.random.default_rng(75).integers(1, 2**63, WORDS, dtype=np.uint64) | np.uint64(1)
 
 
