@@ -8,6 +8,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import schemas
 from ..functions.text import ordered_keywords
 from ..functions.vocab import pad
 from ..operators.kept import numbered
@@ -57,7 +58,7 @@ def read_keywords(spark: SparkSession, path: str, protocol: str) -> DataFrame:
         rows = [(c, str(k), None) for c, v in data.items() for k in v.get("keywords", [])]
     else:
         raise ValueError(f"unsupported protocol {protocol!r}")
-    return spark.createDataFrame(rows, "category string, keyword string, description string")
+    return spark.createDataFrame(rows, schemas.KEYWORD)
 
 
 def flat_keywords(table: DataFrame) -> list[str]:
@@ -112,13 +113,29 @@ def ragged_slices(sequences: DataFrame, start: int, count: int, rows: int) -> Da
 
 
 def read_vectors(spark: SparkSession, path: str) -> DataFrame:
-    """Vectors of all part files below path."""
-    return spark.read.parquet(path)
+    """(id, vec) of all part files below path."""
+    return spark.read.schema(schemas.VECTOR).parquet(path)
+
+
+def read_functions(spark: SparkSession, path: str) -> DataFrame:
+    """Functions from JSON lines, with all fields of their schema; those that a line lacks are null."""
+    return spark.read.schema(schemas.FUNCTION).json(path)
+
+
+def read_sequences(spark: SparkSession, path: str, lengths: Mapping[str, int] = SEQUENCE_LENGTHS, seed: int = 1) -> DataFrame:
+    """sequence_set() of a Parquet table (id, name, api, tokens, desc); without descriptions where the table has none.
+
+    A column that lacks some rows' sequences (null) differs in its rows from the others, which is an error.
+    """
+    rows = spark.read.schema(schemas.SEQUENCE).parquet(path)
+    sides = [rows.select("id", F.col(c).alias("ids")).filter("ids IS NOT NULL") for c in ("name", "api", "tokens", "desc")]
+    described = not sides[3].isEmpty()
+    return sequence_set(*sides[:3], sides[3] if described else None, lengths, seed)
 
 
 def read_vocabulary(spark: SparkSession, path: str) -> DataFrame:
     """(word, id) from JSON text that is one object of words and ids."""
-    return spark.createDataFrame([(k, int(v)) for k, v in json.loads(read_text(spark, path)).items()], "word string, id int")
+    return spark.createDataFrame([(k, int(v)) for k, v in json.loads(read_text(spark, path)).items()], schemas.VOCABULARY)
 
 
 def check_counts(*tables: DataFrame) -> int:

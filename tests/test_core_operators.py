@@ -276,6 +276,29 @@ def test_sequence_set(spark):
         tables.sequence_set(one, one, one.limit(1))
 
 
+def test_read_sequences(spark, tmp_path):
+    from reqtrail.sources import tables
+
+    rows = [(k, [k], [k, k], [1] * k, [2]) for k in range(4)]
+    kinds = "id bigint, name array<int>, api array<int>, tokens array<int>, desc array<int>"
+    spark.createDataFrame(rows, kinds).write.parquet(f"{tmp_path}/all")
+    out = {r["id"]: r for r in tables.read_sequences(spark, f"{tmp_path}/all").collect()}
+    assert len(out) == 4 and out[3]["tokens_len"] == 3 and out[3]["api"][:3] == [3, 3, 0] and out[2]["bad_desc"][:2] == [2, 0]
+    spark.createDataFrame(rows, kinds).drop("desc").write.parquet(f"{tmp_path}/plain")
+    assert "bad_desc" not in tables.read_sequences(spark, f"{tmp_path}/plain").columns
+    spark.createDataFrame([*rows, (4, None, [1], [1], [1])], kinds).write.parquet(f"{tmp_path}/short")
+    with pytest.raises(ValueError):
+        tables.read_sequences(spark, f"{tmp_path}/short")
+
+
+def test_read_functions(spark, tmp_path):
+    from reqtrail.sources import tables
+
+    (tmp_path / "f.jsonl").write_text('{"function_id": 3, "function_name": "f", "dependencies": {"g": ["int g();"]}}\n')
+    row = tables.read_functions(spark, str(tmp_path / "f.jsonl")).first()
+    assert (row["function_id"], row["function_name"], row["dependencies"], row["source_code"]) == (3, "f", {"g": ["int g();"]}, None)
+
+
 def test_encoders(spark):
     """Against a step-by-step version for single rows."""
     import math
