@@ -274,7 +274,7 @@ def near_links(sketches: DataFrame, texts: DataFrame) -> DataFrame:
         return dealt.withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), "blocks").cast("int"))
 
     def linked(tasks: DataFrame) -> DataFrame:
-        met = tasks.join(sets, "node").select([x.split()[0] for x in MEMBER.split(", ")])
+        met = broadcast_below(tasks, NODE_BYTES).join(sets, "node").select([x.split()[0] for x in MEMBER.split(", ")])
         return met.repartition("head", "block", "other").sortWithinPartitions("head", "block", "other").mapInArrow(tidy(_linked), LINK)
 
     dealt = materialise(blocks(sized), "blocks")
@@ -284,6 +284,9 @@ def near_links(sketches: DataFrame, texts: DataFrame) -> DataFrame:
     links = materialise(linked(dealt.select("head", "block", *one).unionByName(several.select("head", "block", *one))), "links")
     first = components(links)
     release(spark)
+    if dealt.filter("blocks > 1").isEmpty():
+        discard(members, sets, dealt, links)
+        return first
 
     # Families of several blocks: who is outside the largest component of the family meets all of it, by pairs of blocks.
     placed = dealt.filter("blocks > 1").select("head", "node", "n", "block", "blocks").join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))
