@@ -66,7 +66,7 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC,
 @query(f"WITH {TOKENS_SQL} SELECT doc_id, item_id, round(score, 9) AS score, rank::BIGINT AS rank FROM ranked WHERE rank <= 10")
 def overlap_topk(spark, sf_dir):
     docs, items = _sides(spark, sf_dir)
-    best = overlap.top_candidates(overlap.overlap_scores(docs, items, ("doc_id", "text"), ("item_id", "sr")), "doc_id", "item_id")
+    best = overlap.best_overlaps(docs, items, function=("doc_id", "text"), requirement=("item_id", "sr"))
     return best.select("doc_id", "item_id", F.round("score", 9).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 

@@ -203,6 +203,30 @@ def test_schemas(spark):
     assert spark.createDataFrame([], dual_filter(HTTP_COLUMNS)).columns == [*HTTP_COLUMNS, "status", "error"]
 
 
+def test_best_overlaps(spark):
+    """The same rows as by the join of all pairs, for ids of text and numbers, ties, empty and null texts, and tables without tokens."""
+    import random
+
+    from reqtrail.operators import overlap
+
+    rng = random.Random(6)
+    words = [f"token{k}" for k in range(25)] + ["A", "42", "_x"]
+    say = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    functions = spark.createDataFrame([(k, say(rng.randint(0, 30))) for k in range(200)] + [(900, None), (901, "")], "function_id int, source_code string").repartition(3)
+    requirements = spark.createDataFrame([(f"r{k % 40:02d}", say(rng.randint(0, 9))) for k in range(60)] + [("none", None), (None, "token1 token2")], "sr_id string, sr string")
+    for reqs in (requirements, requirements.select(F.length("sr").alias("sr_id"), "sr").dropDuplicates(["sr_id"]), requirements.limit(0), requirements.select("sr_id", F.lit("1 2").alias("sr"))):
+        for k in (1, 4, 1000):
+            want = overlap.top_candidates(overlap.overlap_scores(functions, reqs), k=k)
+            got = overlap.best_overlaps(functions, reqs, k)
+            assert got.columns == want.columns
+            # Entries of one id with different numbers of tokens are in no set order.
+            key = lambda r: (r["function_id"], r["score"], r["rank"])
+            assert sorted(map(key, got.collect())) == sorted(map(key, want.collect()))
+    one = requirements.dropDuplicates(["sr_id"])
+    assert sorted(map(tuple, overlap.best_overlaps(functions, one, 5).collect()), key=str) == sorted(map(tuple, overlap.top_candidates(overlap.overlap_scores(functions, one), k=5).collect()), key=str)
+    assert sorted(map(tuple, overlap.best_overlaps(functions, one, 5, limit=0).collect()), key=str) == sorted(map(tuple, overlap.best_overlaps(functions, one, 5).collect()), key=str)
+
+
 def test_numbers_in_any_order(spark):
     """Numbers in orders of text, with one first value for all rows, with nulls, and in the order of the source."""
     from reqtrail.operators.kept import numbered
@@ -220,6 +244,19 @@ def test_numbers_in_any_order(spark):
     assert numbered(spark.range(0), "n").count() == 0
 
 
+def test_clear(spark):
+    import os
+    from urllib.parse import urlsplit
+
+    from reqtrail.operators import kept
+
+    assert kept.kept(spark.range(3), "t").count() == 3
+    folder = urlsplit(kept.own_folder(spark)).path
+    assert os.listdir(folder)
+    kept.clear(spark)
+    assert not os.path.exists(folder)
+
+
 def test_broadcast_by_bytes(spark, monkeypatch):
     from reqtrail.operators import sizes
 
