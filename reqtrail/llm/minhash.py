@@ -269,7 +269,7 @@ def near_links(sketches: DataFrame, texts: DataFrame) -> DataFrame:
 
     def blocks(rows: DataFrame) -> DataFrame:
         """rows with the number of blocks of their family, and theirs."""
-        number = rows.groupBy("head").agg(F.ceil(F.sum(weight) / BLOCK_BYTES).cast("int").alias("blocks"))
+        number = rows.groupBy("head").agg(F.least(F.ceil(F.sum(weight) / BLOCK_BYTES), F.count("*")).cast("int").alias("blocks"))
         dealt = salted_left_join(rows, number.filter("blocks > 1"), ["head"]).withColumn("blocks", F.coalesce("blocks", F.lit(1)))
         return dealt.withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), "blocks").cast("int"))
 
