@@ -32,6 +32,8 @@ SHORTEST, LONGEST = 3, 14
 LEAST_WEIGHT = 3.0
 #: About the log of the number of candidate terms: fewer than one is expected to pass by chance.
 LEAST_SURPRISE = 12.0
+#: The same for pairs of words: edited copies of a toxic text share its pairs, so a pair needs many more documents than a word (65 where one in ten is toxic).
+LEAST_PAIR_SURPRISE = 150.0
 # Letters of other scripts that look like Latin ones, and digits and signs that stand for letters.
 HOMOGLYPHS = dict(zip("абвгдеёзикмнорстухѕіјԁԛԝһӏαβγεηικνορτυχω", "abbrdeeeukmhopctyxsijdqwhlabyenikvoptuxw", strict=True))
 DIGITS = {"0": "o", "1": "i", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "l", "€": "e"}
@@ -146,7 +148,7 @@ def _counted(toxic: Counter, clean: Counter, rows: list[int]) -> pa.RecordBatch:
     )
 
 
-def worth(counts: dict[str, tuple[int, int]], n_toxic: int, n_clean: int) -> dict[str, float]:
+def worth(counts: dict[str, tuple[int, int]], n_toxic: int, n_clean: int, least: float = LEAST_SURPRISE) -> dict[str, float]:
     """Log odds of the terms that have high ones and are unlikely to have them by chance."""
     odds = lambda t, c: math.log((t + 0.5) / (n_toxic - t + 0.5)) - math.log((c + 0.5) / (n_clean - c + 0.5))
     rate = (n_toxic + 0.5) / (n_toxic + n_clean + 1)
@@ -156,7 +158,7 @@ def worth(counts: dict[str, tuple[int, int]], n_toxic: int, n_clean: int) -> dic
         p = t / (t + c)
         return (t + c) * (p * math.log(p / rate) + (1 - p) * math.log(max(1 - p, 1e-12) / (1 - rate))) if p > rate else 0.0
 
-    return {x: w for x, (t, c) in counts.items() if (w := odds(t, c)) >= LEAST_WEIGHT and surprise(t, c) >= LEAST_SURPRISE}
+    return {x: w for x, (t, c) in counts.items() if (w := odds(t, c)) >= LEAST_WEIGHT and surprise(t, c) >= least}
 
 
 def closed_terms(counts: dict[str, tuple[int, int]], n_toxic: int, n_clean: int) -> dict[str, float]:
@@ -358,7 +360,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Lexicon:
     if among:
         found = counted(_counts(lambda *row: phrases(*row, among)), "toxic >= 4 AND toxic > 4 * clean")
         found.pop(None, None)
-        weights |= worth(found, n_toxic, n_clean)
+        weights |= worth(found, n_toxic, n_clean, LEAST_PAIR_SURPRISE)
     weights = dict(sorted(weights.items()))
     plain = Lexicon(weights)
 
