@@ -103,7 +103,7 @@ def negatives(rows: DataFrame, ident: str, value: str, n: int, seed: int) -> Dat
     other = rows.select(F.col(ident).alias("_other"), F.col(value).alias("negative"))
     digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(ident).cast("string")))
     chosen = F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint") % F.lit(n)
-    return rows.withColumn("_other", chosen).join(other, "_other", "left").drop("_other")
+    return rows.withColumn("_other", chosen).join(other.hint("merge"), "_other", "left").drop("_other")  # never by way of the driver
 
 
 def flattened(rows: DataFrame, text: str = "SR Text", name: str = "sr", without: Sequence[str] = ("Conditions", "Actions")) -> DataFrame:

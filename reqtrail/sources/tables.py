@@ -78,19 +78,21 @@ def sequence_set(names: DataFrame, apis: DataFrame, tokens: DataFrame, descripti
 
     Each sequence is cut and padded with zeros to its greatest length, with the length before padding (`name_len`, ...).
     With descriptions each row also has those of a row chosen by a hash of the seed (`bad_desc`). Tables that differ in
-    their rows are an error.
+    their rows are an error. Joins are by merging: a file of compressed ids says little of the rows that come of it, and
+    no side is to pass through the driver. Sequences are cut before and padded after.
     """
     parts = {"name": names, "api": apis, "tokens": tokens} | ({"desc": descriptions} if descriptions is not None else {})
     rows = check_counts(*parts.values())
     out = None
     for name, part in parts.items():
         most = lengths[name]
-        one = part.select("id", pad(F.col("ids"), most).alias(name), F.least(F.size("ids"), F.lit(most)).alias(f"{name}_len"))
-        out = one if out is None else out.join(one, "id")
+        one = part.select("id", F.slice("ids", 1, most).alias(name), F.least(F.size("ids"), F.lit(most)).alias(f"{name}_len"))
+        out = one if out is None else out.join(one.hint("merge"), "id")
     if descriptions is not None:
-        paired = negatives(out.select("id", F.struct("desc", "desc_len").alias("_desc")), "id", "_desc", rows, seed)
-        out = out.join(paired.select("id", F.col("negative.desc").alias("bad_desc"), F.col("negative.desc_len").alias("bad_desc_len")), "id")
-    return out
+        paired = negatives(one.select("id", F.struct("desc", "desc_len").alias("_desc")), "id", "_desc", rows, seed)
+        out = out.join(paired.select("id", F.col("negative.desc").alias("bad_desc"), F.col("negative.desc_len").alias("bad_desc_len")).hint("merge"), "id")
+    most = {**lengths, "bad_desc": lengths.get("desc")}
+    return out.select(*[pad(F.col(c), most[c]).alias(c) if c in parts or c == "bad_desc" else c for c in out.columns])
 
 
 def read_lines(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:

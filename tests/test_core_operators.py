@@ -313,6 +313,21 @@ def test_sequence_set(spark):
         tables.sequence_set(one, one, one.limit(1))
 
 
+def test_sequence_set_broadcasts_no_side(spark):
+    """However small the tables seem to be: compressed ids become long sequences."""
+    from reqtrail.sources import tables
+
+    side = spark.range(40).select("id", F.sequence(F.lit(0), (F.col("id") % 70).cast("int")).alias("ids"))
+    out = tables.sequence_set(side, side, side, side)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    for r in out.collect():
+        n = r["id"] % 70 + 1
+        for c, most in tables.SEQUENCE_LENGTHS.items():
+            assert r[c] == ([*range(n)] + [0] * most)[:most] and r[f"{c}_len"] == min(n, most)
+        assert len(r["bad_desc"]) == 30 and 1 <= r["bad_desc_len"] <= 30
+
+
 def test_read_sequences(spark, tmp_path):
     from reqtrail.sources import tables
 
