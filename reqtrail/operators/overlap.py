@@ -14,8 +14,10 @@ from ..functions.text import token_set
 from .sizes import BROADCAST_BYTES, broadcast_if_small, row_bytes
 
 TOP_K = 10
-#: Counts of functions and requirements that a task holds at once.
-CELLS = 1 << 22
+#: Counts of functions and requirements, and shared tokens, that a task holds at once.
+CELLS = 1 << 20
+#: Functions, tokens of one batch included, that a task takes at once.
+ROWS = 512
 
 
 def _postings(requirements: DataFrame, requirement: tuple[str, str]) -> DataFrame:
@@ -73,19 +75,22 @@ def best_overlaps(functions: DataFrame, requirements: DataFrame, k: int = TOP_K,
     words, held, at = tokens.dictionary, place[order], np.searchsorted(code[order], np.arange(len(tokens.dictionary) + 1))
 
     def run(batches):
-        for batch in batches:
+        for batch in (b.slice(lo, ROWS) for b in batches for lo in range(0, b.num_rows, ROWS)):
             lists = batch.column(1)
             found = np.asarray(pc.index_in(lists.flatten(), value_set=words).fill_null(-1)).astype(np.int64)
             owner = np.repeat(np.arange(len(lists)), np.asarray(pc.fill_null(pc.list_value_length(lists), 0)))[found >= 0]
             found = found[found >= 0]
-            step = max(1, CELLS // max(1, len(share)))
-            for lo in range(0, len(lists) if len(share) else 0, step):
-                rows = min(step, len(lists) - lo)
+            n = at[found + 1] - at[found]
+            # Functions up to each, and their hits: a step has at most so many cells and hits, or one function.
+            until = np.append(0, np.cumsum(n))[np.searchsorted(owner, np.arange(len(lists) + 1))]
+            most, lo = max(1, CELLS // max(1, len(share))), 0
+            while lo < len(lists) and len(share):
+                rows = max(1, min(most, len(lists) - lo, int(np.searchsorted(until, until[lo] + CELLS, "right")) - 1 - lo))
                 a, b = np.searchsorted(owner, [lo, lo + rows])
-                n = at[found[a:b] + 1] - at[found[a:b]]
-                ends = np.cumsum(n)
-                hits = held[np.repeat(at[found[a:b]] - (ends - n), n) + np.arange(int(n.sum()))]
-                counts = np.bincount(np.repeat(owner[a:b] - lo, n) * len(share) + hits, minlength=rows * len(share)).reshape(rows, -1)
+                some = n[a:b]
+                ends = np.cumsum(some)
+                hits = held[np.repeat(at[found[a:b]] - (ends - some), some) + np.arange(int(some.sum()))]
+                counts = np.bincount(np.repeat(owner[a:b] - lo, some) * len(share) + hits, minlength=rows * len(share)).reshape(rows, -1)
                 row, what = np.nonzero(counts)
                 score = counts[row, what] / share[what]
                 best = np.lexsort((what, -score, row))
@@ -93,6 +98,7 @@ def best_overlaps(functions: DataFrame, requirements: DataFrame, k: int = TOP_K,
                 rank = np.arange(len(row)) - np.searchsorted(row, row) + 1
                 top = rank <= k
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[top] + lo)), names.take(pa.array(what[top])), pa.array(score[top]), pa.array(rank[top].astype(np.int32))], names=[f_id, s_id, "score", "rank"])
+                lo += rows
 
     kinds = T.StructType([functions.schema[f_id], requirements.schema[s_id], T.StructField("score", T.DoubleType()), T.StructField("rank", T.IntegerType())])
     return functions.select(f_id, token_set(F.col(function[1])).alias("_tokens")).mapInArrow(run, kinds)

@@ -393,3 +393,25 @@ def test_encoders(spark):
         pooled = weights["tokens.weight"] @ weights["tokens.embedding"][tokens].max(0) + weights["tokens.bias"]
         want = weights["fuse.weight"] @ np.tanh(both("name", name[:n]) + both("api", api[:m]) + pooled) + weights["fuse.bias"]
         assert np.allclose(code[i], want, atol=1e-5) and np.allclose(desc[i], both("desc", words[:k]), atol=1e-5)
+
+
+def test_best_overlaps_in_bounded_memory(spark, monkeypatch):
+    """A batch of functions that share many tokens with many requirements is counted in steps."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    words = [f"w{j}" for j in range(60)]
+    reqs = spark.createDataFrame([(i, " ".join(words)) for i in range(60)], "sr_id int, sr string")
+    functions = spark.createDataFrame([(0, "w0")], "function_id int, source_code string")
+    made = []
+    monkeypatch.setattr(type(functions), "mapInArrow", lambda self, run, kinds: made.append(run))
+    overlap.best_overlaps(functions, reqs, 3)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(4000), pa.int32()), pa.array([[w.upper() for w in words]] * 4000)], names=["function_id", "_tokens"])
+    tracemalloc.start()
+    try:
+        rows = sum(out.num_rows for out in made[0](iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert rows == 12_000 and peak < 150 << 20
