@@ -415,3 +415,41 @@ def test_best_overlaps_in_bounded_memory(spark, monkeypatch):
     finally:
         tracemalloc.stop()
     assert rows == 12_000 and peak < 150 << 20
+
+
+def _pairwise(vectors, queries, k, chunk):
+    """search() by a score for each pair in the JVM."""
+    from pyspark.sql.window import Window
+
+    from reqtrail.functions.vectors import similarity
+
+    met = vectors.crossJoin(queries).select("query", "id", F.floor(F.col("id") / chunk).alias("c"), similarity(F.col("vec"), F.col("qvec")).alias("score"))
+    kept = met.withColumn("n", F.row_number().over(Window.partitionBy("query", "c").orderBy(F.desc("score"), "id"))).filter(F.col("n") <= k)
+    return kept.select("query", "id", "score", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id")).alias("rank"))
+
+
+def test_search_as_pairwise(spark, monkeypatch):
+    """Exactly the scores of the column functions, with copies, turned vectors, and vectors that have none; few pairs meet in the JVM."""
+    import random
+
+    dice = random.Random(5)
+    vecs = [[dice.gauss(0, 1) for _ in range(7)] for _ in range(300)]
+    vecs[50:120] = [vecs[50]] * 70
+    vecs[120:150] = [[x * 3 for x in v] for v in vecs[90:120]]
+    odd = [None, [], [0.0] * 7, [None, *vecs[0][1:]], vecs[0][:5], [*vecs[0], 1.0], [1e200] * 7, [float("inf"), *vecs[0][1:]]]
+    rows = spark.createDataFrame([(dice.randrange(10**6) * 400 + i, v) for i, v in enumerate(vecs + odd)], "id bigint, vec array<double>")
+    queries = spark.createDataFrame([(f"q{i}", vecs[i * 10]) for i in range(12)] + [("odd", [None] * 7), ("none", None), ("short", vecs[0][:5])], "query string, qvec array<double>")
+    for cells, chunk in ((1 << 21, 10**12), (50, 10**8)):
+        monkeypatch.setattr(search, "CELLS", cells)
+        got = sorted(str(tuple(r)) for r in search.search(rows, queries, 10, chunk=chunk).collect())  # as text, where NaN is itself
+        assert got == sorted(str(tuple(r)) for r in _pairwise(rows, queries, 10, chunk).collect()) and len(got) >= 150
+
+
+def test_search_multiplies_matrices(spark, monkeypatch):
+    """No row of the JVM for a pair of plain vectors."""
+    met = []
+    pairs = search._scores
+    monkeypatch.setattr(search, "_scores", lambda rows, asked, measure: met.append(pairs(rows, asked, measure)) or met[-1])
+    rows = spark.range(500).select("id", F.array(F.sin("id"), F.cos("id")).alias("vec"))
+    out = search.search(rows, rows.filter("id % 100 = 0").select(F.col("id").alias("query"), F.col("vec").alias("qvec")), 3)
+    assert out.count() == 15 and sum(df.count() for df in met) == 0
