@@ -6,6 +6,7 @@ The core makes no network calls: the scorers here are rules. Others implement Sc
 from __future__ import annotations
 
 import asyncio
+import functools
 import hashlib
 import json
 import math
@@ -139,6 +140,12 @@ class DualRules:
         return {c: [k for k in v if k and k.lower() in low] for c, v in self.keywords.items()} | {"matched_subcategories": [s for s, v in self.subcategories.items() if any(w.lower() in low for w in v)]}
 
 
+@functools.lru_cache(maxsize=256)
+def _tokens(text: str) -> frozenset[str]:
+    """Tokens of a text, which pairs of one function and of few requirements ask for again and again."""
+    return frozenset(x.upper() for x in re.findall("[A-Za-z_][A-Za-z0-9_]+", text))
+
+
 class OverlapVerifier:
     """Outcome of a pair of requirement and function: free text; here by the share of the requirement's tokens."""
 
@@ -148,9 +155,8 @@ class OverlapVerifier:
         self.full, self.part = full, part
 
     async def answer(self, row):
-        tokens = lambda t: {x.upper() for x in re.findall("[A-Za-z_][A-Za-z0-9_]+", t or "")}
-        a, b = tokens(row.get("sr")), tokens(row.get("source_code")) | tokens(row.get("dependencies"))
-        share = len(a & b) / len(a) if a else 0.0
+        a, b, c = (_tokens(row.get(x) or "") for x in ("sr", "source_code", "dependencies"))
+        share = len((a & b) | (a & c)) / len(a) if a else 0.0
         return {"outcome": "Fully Matches" if share >= self.full else "Partially Matches" if share >= self.part else "Does Not Match", "reason": f"{share:.3f}"}
 
 
@@ -174,8 +180,11 @@ def scored(df: DataFrame, scorer: Scorer, inputs: Sequence[str], concurrency: in
     """
     fields = [x.strip() for x in scorer.schema.split(", ")]
     names, kinds = [f.split()[0].strip("`") for f in fields], [f.split(" ", 1)[1] for f in fields]
-    keyed = df.withColumn("_key", F.sha2(F.concat_ws("\u0001", F.lit(scorer.name), F.to_json(F.struct(*inputs), {"ignoreNullFields": "false"})), 256))
-    keyed = keyed.join(cache.select("_key", "_answer"), "_key", "left") if cache is not None else keyed.withColumn("_answer", F.lit(None).cast("string"))
+    if cache is not None:
+        keyed = df.withColumn("_key", F.sha2(F.concat_ws("\u0001", F.lit(scorer.name), F.to_json(F.struct(*inputs), {"ignoreNullFields": "false"})), 256))
+        keyed = keyed.join(cache.select("_key", "_answer"), "_key", "left").drop("_key")
+    else:
+        keyed = df.withColumn("_answer", F.lit(None).cast("string"))
     out_schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in keyed.schema.fields] + ["_status string", "_error string"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

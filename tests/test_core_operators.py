@@ -453,3 +453,15 @@ def test_search_multiplies_matrices(spark, monkeypatch):
     rows = spark.range(500).select("id", F.array(F.sin("id"), F.cos("id")).alias("vec"))
     out = search.search(rows, rows.filter("id % 100 = 0").select(F.col("id").alias("query"), F.col("vec").alias("qvec")), 3)
     assert out.count() == 15 and sum(df.count() for df in met) == 0
+
+
+def test_pairs_are_read_once(spark, monkeypatch):
+    """A function's text is cut into tokens once for all its pairs, and hashed only where there is a cache."""
+    cut = []
+    monkeypatch.setattr(scorers.re, "findall", lambda rule, said, f=scorers.re.findall: cut.append(said) or f(rule, said))
+    rows = [{"sr": f"send header{i % 3}_", "source_code": "only_here send(header0_)"} for i in range(30)]
+    out = [asyncio.run(scorers.OverlapVerifier().answer(r)) for r in rows]
+    assert [r["reason"] for r in out[:3]] == ["1.000", "0.500", "0.500"] and len(cut) <= 5
+    pairs = spark.createDataFrame([(1, "send", "send()")], "k int, sr string, source_code string")
+    out = scorers.scored(pairs, scorers.OverlapVerifier(), ["sr", "source_code"])
+    assert "sha2" not in out._jdf.queryExecution().optimizedPlan().toString() and out.first()["outcome"] == "Fully Matches"
