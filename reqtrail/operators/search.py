@@ -129,9 +129,20 @@ def fuzzy_distinct(ranked: DataFrame, text: str, score: str = "score", rank: str
     return ranked.join(side, like, "left_anti")
 
 
-def best_results(vectors: DataFrame, texts: DataFrame, queries: DataFrame, k: int, measure: str = "cos", ident: str = "id", vector: str = "vec", text: str = "text") -> DataFrame:
-    """Each query's k best results with their text, de-duplicated; fewer than k where results are alike."""
-    found = search(vectors, queries, k, measure, ident=ident, vector=vector)
+def distinct_results(found: DataFrame, texts: DataFrame, k: int, ident: str = "id", text: str = "text") -> DataFrame:
+    """What search() found with its texts, each query's first k without what fuzzy_distinct() drops; fewer than k where results are alike.
+
+    Ranks go by score, so of the earlier results with the same first characters the last one is the nearest: a query's
+    results are read in one pass, and the search is not run again for a join with itself.
+    """
     met = found.join(texts.select(F.col(ident).alias("id"), F.col(text).alias("text")), "id")
-    distinct = fuzzy_distinct(met, "text", group="query")
+    head = F.substring("text", 1, SAME_CHARACTERS)
+    earlier = Window.partitionBy("query", head).orderBy("rank").rangeBetween(Window.unboundedPreceding, -1)
+    like = head.isNotNull() & F.col("query").isNotNull() & (F.abs(F.col("score") - F.last("score").over(earlier)) < SAME_SCORE)
+    distinct = met.withColumn("_like", F.coalesce(like, F.lit(False))).filter(~F.col("_like")).drop("_like")
     return distinct.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("rank"))).filter(F.col("rank") <= k)
+
+
+def best_results(vectors: DataFrame, texts: DataFrame, queries: DataFrame, k: int, measure: str = "cos", ident: str = "id", vector: str = "vec", text: str = "text") -> DataFrame:
+    """Each query's k best results with their text, de-duplicated; fewer than k where results are alike."""
+    return distinct_results(search(vectors, queries, k, measure, ident=ident, vector=vector), texts, k, ident, text)

@@ -465,3 +465,37 @@ def test_pairs_are_read_once(spark, monkeypatch):
     pairs = spark.createDataFrame([(1, "send", "send()")], "k int, sr string, source_code string")
     out = scorers.scored(pairs, scorers.OverlapVerifier(), ["sr", "source_code"])
     assert "sha2" not in out._jdf.queryExecution().optimizedPlan().toString() and out.first()["outcome"] == "Fully Matches"
+
+
+def test_results_are_searched_once(spark):
+    """De-duplication needs no second search, and drops what fuzzy_distinct() drops: with odd scores, copies, repeated ids and texts that are missing."""
+    import random
+
+    from pyspark.sql.window import Window
+
+    dice = random.Random(3)
+    rows = spark.createDataFrame([(i, [dice.random(), 1.0]) for i in range(400)] + [(400 + i, v) for i, v in enumerate([None, [0.0, 0.0], [float("nan"), 1.0], [1.0], [0.5, 1.0], [0.5, 1.0]])], "id bigint, vec array<double>")
+    texts = rows.select("id", F.when(F.col("id") % 9 > 0, F.concat(F.lit("x" * 79), F.col("id") % 7, "id")).alias("text"))
+    texts = texts.unionByName(texts.filter("id % 5 = 0"))
+    queries = rows.filter("id % 40 = 0").select(F.when(F.col("id") > 0, F.col("id")).alias("query"), F.col("vec").alias("qvec"))
+    found = search.search(rows, queries, 60, chunk=100)
+    met = search.fuzzy_distinct(found.join(texts, "id"), "text", group="query")
+    want = met.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("rank"))).filter("rank <= 50")
+    got = search.distinct_results(found, texts, 50)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    kept = [sorted(str((r["query"], r["text"], r["score"], r["rank"])) for r in df.collect()) for df in (got, want)]  # as text, where NaN is itself
+    assert kept[0] == kept[1] and 100 < len(kept[0]) < got.select("query").distinct().count() * 50
+
+
+def test_dedup_of_ids_beyond_a_chunk(spark, tmp_path):
+    """vector_topk_dedup takes the 20 best of all ids, as its SQL does, before it drops what is alike."""
+    import duckdb
+
+    from reqtrail.plans import queries
+
+    rows = spark.range(60).select((F.col("id") * 100_000).alias("vec_id"), F.array(F.cos(F.col("id") / 40), F.sin(F.col("id") / 40)).cast("array<float>").alias("embedding"), F.when(F.col("id") % 6 > 0, F.col("id") % 6).cast("int").alias("label"))
+    rows.coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW embeddings AS FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    out = queries.QUERIES["vector_topk_dedup"](spark, str(tmp_path))
+    assert sorted(map(tuple, out.collect())) == sorted(con.sql(queries.ORACLE_SQL["vector_topk_dedup"]).fetchall())
