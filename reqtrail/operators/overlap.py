@@ -15,7 +15,7 @@ from .sizes import BROADCAST_BYTES, broadcast_if_small, row_bytes
 
 TOP_K = 10
 #: Counts of functions and requirements, and shared tokens, that a task holds at once.
-CELLS = 1 << 20
+CELLS = 1 << 17
 #: Functions, tokens of one batch included, that a task takes at once.
 ROWS = 512
 

@@ -499,3 +499,29 @@ def test_dedup_of_ids_beyond_a_chunk(spark, tmp_path):
     con.sql(f"CREATE VIEW embeddings AS FROM '{tmp_path}/embeddings.parquet/*.parquet'")
     out = queries.QUERIES["vector_topk_dedup"](spark, str(tmp_path))
     assert sorted(map(tuple, out.collect())) == sorted(con.sql(queries.ORACLE_SQL["vector_topk_dedup"]).fetchall())
+
+
+def test_candidates_in_bounded_memory(spark, monkeypatch):
+    """Memory of the counts follows neither the rows of a batch nor the number of batches, and candidates() are those of the plain join."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    words = [f"w{j}" for j in range(60)]
+    reqs = spark.createDataFrame([(i, " ".join(words[i % 7 :])) for i in range(60)], "sr_id int, sr string")
+    functions = spark.createDataFrame([(i, " ".join(words[i : i + 9])) for i in range(70)] + [(70, None)], "function_id int, source_code string")
+    made, given = [], type(functions).mapInArrow
+    monkeypatch.setattr(type(functions), "mapInArrow", lambda self, run, kinds: made.append(run) or given(self, run, kinds))
+    got = {r["function_id"]: r["sr_ids"] for r in overlap.candidates(functions, reqs, 3).collect()}
+    want = {}
+    for r in overlap.top_candidates(overlap.overlap_scores(functions, reqs), k=3).orderBy("function_id", "rank").collect():
+        want.setdefault(r["function_id"], []).append(r["sr_id"])
+    assert got == {i: want.get(i, []) for i in range(71)} and got[70] == [] and len(got[0]) == 3
+    batch = pa.RecordBatch.from_arrays([pa.array(range(2000), pa.int32()), pa.array([[w.upper() for w in words]] * 2000)], names=["function_id", "_tokens"])
+    tracemalloc.start()
+    try:
+        rows = sum(out.num_rows for out in made[0](iter([batch] * 3)))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert rows == 18_000 and peak < 12 << 20
